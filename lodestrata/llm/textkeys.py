@@ -11,7 +11,7 @@ import xxhash
 
 _HEADER = re.compile(r"\[hm [^\]]{0,200}\]", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
-_UNSEEN = re.compile("[­​-‏⁠﻿]")
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
 
 
