@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import plans_history, plans_names, plans_quality, plans_splitting, plans_tokens
+from lodestrata.llm import plans_history, plans_names, plans_pii, plans_quality, plans_splitting, plans_tokens
 
-_MODULES = [plans_names, plans_splitting, plans_history, plans_tokens, plans_quality]
+_MODULES = [plans_names, plans_splitting, plans_pii, plans_history, plans_tokens, plans_quality]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
