@@ -19,8 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestrata.llm.textkeys import WordHashes, shingle_hashes, winnowed, words_of
 from lodestrata.operators.components import connected_components
@@ -30,6 +31,8 @@ SHINGLE, WINDOW = 5, 6
 NEAR, COMMON = 0.35, 4
 SAME = 0.6
 BUCKET_BITS = 18
+#: Cells with more texts are joined class by class, not text by text.
+CROWDED = 256
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,16 +122,41 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(score, pa.float64())], ["a", "b", "similarity"])
 
 
-def _candidates(probing: DataFrame, entered: DataFrame) -> DataFrame:
-    """Pairs a, b that share enough of the probed cells."""
-    x, y = probing.alias("x"), entered.filter("entered").alias("y")
+def _may_match() -> Column:
+    """The conditions under which y, entered, can be similar to x, probing: not longer, not too short, one of them new."""
     longer = (F.col("y.size") < F.col("x.size")) | ((F.col("y.size") == F.col("x.size")) & (F.col("y.id") < F.col("x.id")))
-    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & longer & (F.col("y.size") >= F.col("x.size") * F.lit(NEAR)))
+    return F.col("y.entered") & longer & (F.col("y.size") >= F.col("x.size") * F.lit(NEAR)) & (F.col("x.fresh") | F.col("y.fresh"))
+
+
+def _calm_pairs(sized: DataFrame) -> DataFrame:
+    """Pairs a, b that share enough cells of ordinary size."""
+    calm = sized.filter(F.col("n") <= CROWDED)
+    met = calm.alias("x").join(calm.alias("y"), (F.col("x.cell") == F.col("y.cell")) & _may_match())
     need = F.least(F.lit(COMMON), F.ceil(F.lit(NEAR / (1 + NEAR)) * F.col("both") - F.lit(1e-9)))
     pairs = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("shared"), F.first(F.col("x.size") + F.col("y.size")).alias("both"))
     return pairs.filter(F.col("shared") >= need).select("a", "b")
 
 
+def _crowded_links(crowded: DataFrame, full: DataFrame) -> DataFrame:
+    """Links between the texts of crowded cells, without forming all pairs of a cell.
+
+    First every text meets only the earliest one of its cell, which joins a large
+    group of near copies at linear cost.  Then texts of one cell meet only where
+    they still are in different classes.
+    """
+    first = crowded.groupBy("cell").agg(F.min("id").alias("pivot"))
+    stars = crowded.join(first, "cell").filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    star = written(links(stars, full), "links")
+    parts = connected_components(star.select("a", "b"))
+    classed = written(crowded.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component"), "crowded")
+    kinds = classed.select("cell", "class").distinct()
+    meeting = kinds.select("cell", F.col("class").alias("class_x")).join(kinds.select("cell", F.col("class").alias("class_y")), "cell").filter("class_x <> class_y")
+    x = meeting.alias("m").join(classed.alias("x"), (F.col("m.cell") == F.col("x.cell")) & (F.col("m.class_x") == F.col("x.class")))
+    met = x.join(classed.alias("y"), (F.col("m.cell") == F.col("y.cell")) & (F.col("m.class_y") == F.col("y.class")) & _may_match())
+    cross = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return star.unionByName(links(cross, full))
+
+
 def links(candidates: DataFrame, full: DataFrame) -> DataFrame:
     """The candidate pairs whose full vectors are similar: a, b, similarity."""
     a = full.select(F.col("id").alias("a"), F.col("words").alias("words_a"))
@@ -153,15 +181,17 @@ class History:
         paths = [f"{b}/{name}" for b in self.batches]
         return self.spark.read.parquet(*paths) if paths else None
 
-    def admit(self, contents: DataFrame) -> DataFrame:
+    def admit(self, contents: DataFrame, repeated_ids: bool = True) -> DataFrame:
         """Check ``contents(id, content)`` and append it; returns id, class_id of its rows.
 
         class_id is the smallest id, of this batch or earlier, that holds the
         content; rows with class_id = id are new.  Ids must rise from batch to
-        batch.  Null and blank contents and null ids give no row; repeated ids
-        count as one row.
+        batch.  Null and blank contents and null ids give no row; of repeated ids
+        the smallest content counts (``repeated_ids=False`` says there are none).
         """
         at = f"{self.folder}/batch-{len(self.batches):05d}"
+        if repeated_ids:
+            contents = contents.groupBy("id").agg(F.min("content").alias("content"))
         vectors(contents).write.parquet(f"{at}/vectors")
         fresh = self.spark.read.parquet(f"{at}/vectors")
         groups = fresh.groupBy("key").agg(F.min("id").alias("id"))
@@ -174,17 +204,23 @@ class History:
             new_groups = groups
             groups = groups.withColumn("old_id", F.lit(None).cast("long"))
         new_groups.write.parquet(f"{at}/keys")
-        firsts = fresh.select("id", "words").join(self.spark.read.parquet(f"{at}/keys").select("id"), "id", "left_semi").dropDuplicates(["id"])
+        firsts = fresh.select("id", "words").join(self.spark.read.parquet(f"{at}/keys").select("id"), "id", "left_semi")
         if self.order is None:
             self.order = rarity(self.spark, fresh)
         cells(firsts, self.order).write.parquet(f"{at}/cells")
-        mine = self.spark.read.parquet(f"{at}/cells")
-        full, candidates = fresh, _candidates(mine, mine)
+        entries = self.spark.read.parquet(f"{at}/cells").withColumn("fresh", F.lit(True))
+        full = fresh
         old_cells = self._stored("cells")
         if old_cells is not None:
-            candidates = candidates.unionByName(_candidates(mine, old_cells)).unionByName(_candidates(old_cells, mine))
+            probed = entries.select("cell").distinct()
+            entries = entries.unionByName(old_cells.join(probed, "cell", "left_semi").withColumn("fresh", F.lit(False)))
             full = fresh.unionByName(self._stored("vectors"))
-        found = written(links(candidates, full.select("id", "words").dropDuplicates(["id"])), "links")
+        full = full.select("id", "words")
+        sized = entries.withColumn("n", F.count("*").over(Window.partitionBy("cell")))
+        found = written(links(_calm_pairs(sized), full), "links")
+        crowded = written(sized.filter(F.col("n") > CROWDED), "crowded")
+        if not crowded.isEmpty():
+            found = found.unionByName(written(_crowded_links(crowded, full), "links"))
         old = self._stored("classes")
         edges = found.select("a", "b")
         if old is not None:

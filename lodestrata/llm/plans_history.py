@@ -15,7 +15,7 @@ def live_contents(spark: SparkSession, root: str) -> DataFrame:
 
 
 def classes(spark: SparkSession, root: str) -> DataFrame:
-    return History(spark, scratch_path(spark, "history")).admit(live_contents(spark, root))
+    return History(spark, scratch_path(spark, "history")).admit(live_contents(spark, root), repeated_ids=False)
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
