@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import times
+from lodestrata.plans import frames, search, times
+
+_MODULES = [frames, search, times]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(times.QUERIES)
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _MODULES for k, v in getattr(m, "SQL", {}).items()}
 
 
 def entry(spark: SparkSession, root: str) -> DataFrame:
-    return queries()["p1_found"](spark, root)
+    return queries()["frame_stats"](spark, root)
