@@ -85,9 +85,12 @@ def is_noise_entity(name: Column, kind: Column) -> Column:
 
 
 def candidate_entities(c: Column) -> Column:
-    """Capitalised phrases of several words, then single words that aren't noise; distinct, in order."""
-    phrases = F.regexp_extract_all(c, F.lit(r"\b([A-Z][a-zA-Z]+(?:\s+(?:de|of|&)\s+|\s+)[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)\b"), F.lit(1))
-    words = F.regexp_extract_all(c, F.lit(r"\b([A-Z][a-zA-Z]{2,})\b"), F.lit(1))
+    """Capitalised phrases of several words, then single words that aren't noise; distinct, in order.
+
+    Word borders are those of ASCII words, whatever letter stands beyond.
+    """
+    phrases = F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-zA-Z]+(?:\s+(?:de|of|&)\s+|\s+)[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)(?![A-Za-z0-9_])"), F.lit(1))
+    words = F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-zA-Z]{2,})(?![A-Za-z0-9_])"), F.lit(1))
     return F.array_distinct(F.concat(F.filter(phrases, lambda x: F.length(x) >= 4), F.filter(words, lambda x: ~is_noise_name(x))))
 
 
