@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import frames, search, texts, times
+from lodestrata.plans import frames, graph, lifecycle, search, texts, times
 
-_MODULES = [frames, search, texts, times]
+_MODULES = [frames, graph, lifecycle, search, texts, times]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
