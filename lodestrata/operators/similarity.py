@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from lodestrata.functions import fixed
 from lodestrata.functions.text import normalized
+from lodestrata.tables import written
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -24,23 +25,31 @@ def trigrams(texts: DataFrame) -> DataFrame:
     return texts.select("id", normalized(F.col("text")).alias("text")).filter("text IS NOT NULL").mapInArrow(_grams, "id long, grams array<string>")
 
 
+#: So many of the rarest grams must be common before two sets are compared.
+COMMON = 6
+
+
 def similar_pairs(texts: DataFrame, least: float) -> DataFrame:
     """a < b and their similarity, |A and B| / max(|A|, |B|), where it is at least ``least``.
 
-    Sets that similar share one of their rarest n - ceil(least n) + 1 grams, and
-    their sizes differ by at most the factor ``least``: only such pairs meet.
+    Sets that similar share at least ``c`` of their rarest n - ceil(least n) + c
+    grams, and their sizes differ by at most the factor ``least``: only pairs that
+    do are compared.
     """
     sets = trigrams(texts).filter(F.size("grams") > 0).withColumn("n", F.size("grams"))
     each = sets.select("id", "n", F.explode("grams").alias("gram"))
     df = each.groupBy("gram").agg(F.count("*").alias("df"))
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))
-    prefix = each.join(df, "gram").withColumn("nth", nth).filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("gram", "id", "n")
+    # Numbers by rarity: what is rare comes first in every set, and sets of numbers are quick to compare.
+    coded = each.join(df, "gram").select("id", "n", (F.col("df") * (1 << 40) + F.pmod(F.xxhash64("gram"), F.lit(1 << 40))).alias("code"))
+    full = written(coded.groupBy("id", "n").agg(F.array_sort(F.collect_list("code")).alias("codes")), "grams")
+    wanted = F.ceil(F.col("n") * least - 1e-9).cast("int")
+    prefix = full.select("id", "n", F.explode(F.slice("codes", F.lit(1), F.least(F.col("n"), F.col("n") - wanted + COMMON))).alias("code"))
     x, y = prefix.alias("x"), prefix.alias("y")
-    close = (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least))
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    full = sets.select("id", "grams", "n")
-    joined = met.join(full.select(F.col("id").alias("a"), F.col("grams").alias("ga"), F.col("n").alias("na")), "a").join(full.select(F.col("id").alias("b"), F.col("grams").alias("gb"), F.col("n").alias("nb")), "b")
-    score = F.size(F.array_intersect("ga", "gb")) / F.greatest("na", "nb")
+    close = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least)
+    met = x.join(y, (F.col("x.code") == F.col("y.code")) & (F.col("x.id") < F.col("y.id")) & close).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.first(F.greatest("x.n", "y.n")).alias("n"))
+    likely = met.filter(F.col("c") >= F.least(F.lit(COMMON), wanted)).select("a", "b")
+    joined = likely.join(full.select(F.col("id").alias("a"), F.col("codes").alias("ca"), F.col("n").alias("na")), "a").join(full.select(F.col("id").alias("b"), F.col("codes").alias("cb"), F.col("n").alias("nb")), "b")
+    score = F.size(F.array_intersect("ca", "cb")) / F.greatest("na", "nb")
     return joined.select("a", "b", score.alias("similarity")).filter(F.col("similarity") >= least)
 
 

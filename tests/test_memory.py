@@ -1,0 +1,132 @@
+import pytest
+from pyspark.sql import functions as F
+
+from lodestrata.api import Memory
+from lodestrata.operators import lanes, search, state
+from lodestrata.operators.similarity import links_per_text, similar_pairs
+from lodestrata.store import Store
+from lodestrata.streaming import feeds
+
+NOW = "2025-01-01 00:00:00"
+
+
+@pytest.fixture()
+def memory(spark, tmp_path):
+    return Memory(spark, str(tmp_path / "memory"))
+
+
+def contents(spark, *texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts, 1)], "id long, content string")
+
+
+def test_save_recall_and_dedupe(spark, memory):
+    plan = {(r.action, r.frame_id): r.touches for r in memory.save(contents(spark, "the recall lane is slow", "a garden diary", "[hm x] the recall lane is slow", None), NOW).collect()}
+    assert plan == {("insert", 1): 1, ("insert", 2): 0}
+    assert memory.table("frames").count() == 2
+    memory.save(contents(spark, "a garden diary", "something new"), "2025-01-02 00:00:00")
+    rows = {r.id: r for r in memory.table("frames").collect()}
+    assert len(rows) == 3 and rows[2].access_count == 1 and rows[3].t == 2
+    hits = memory.recall(spark.createDataFrame([(1, "recall lane"), (2, "zzz")], "qid long, text string"), NOW).collect()
+    assert [(h.qid, h.content) for h in hits] == [(1, "the recall lane is slow")]
+    assert memory.context(spark.createDataFrame([(1, "recall lane")], "qid long, text string"), NOW).first().context == "## frames\n- the recall lane is slow"
+    assert {r.value: r.n for r in memory.status().collect() if r.kind == "importance"} == {"normal": 3}
+
+
+def test_entities(spark, memory):
+    schema = "name string, entity_type string, properties string"
+    memory.save_entities(spark.createDataFrame([("Postgres", "tool", "{}"), ("pg", "tool", "{}"), ("Ada", "person", "{}")], schema), NOW)
+    memory.save_entities(spark.createDataFrame([("ada", "person", "{}")], schema), NOW)
+    ids = {r.name: r.id for r in memory.table("entities").collect()}
+    assert len(ids) == 3
+    memory.relate(spark.createDataFrame([(ids["Ada"], ids["pg"], "uses"), (ids["Ada"], ids["Postgres"], "uses"), (ids["pg"], ids["Ada"], "by")], "source_id long, target_id long, relation_type string"), NOW)
+    folded = {r.id: r.survivor for r in memory.dedupe_entities(NOW).collect()}
+    assert folded == {ids["Postgres"]: ids["pg"]}
+    live = memory.table("relations").filter("valid_to IS NULL").collect()
+    assert {(r.source_id, r.target_id, r.relation_type) for r in live} == {(ids["Ada"], ids["pg"], "uses"), (ids["pg"], ids["Ada"], "by")}
+    assert [r.name for r in memory.search_entities("D").collect()] == ["Ada"]
+    memory.retire(spark.createDataFrame([(ids["Ada"],)], "id long"), NOW)
+    assert memory.search_entities("a").count() == 0 and memory.table("relations").filter("valid_to IS NULL").count() == 0
+
+
+def test_erasure(spark, memory):
+    archive = [(1, "u1", "s", "r1", "t", "body", "h", None, None), (2, "u2", "s", "r12", "t", "other", "h", None, None)]
+    memory.store.write(archive=spark.createDataFrame(archive, memory.table("archive").schema))
+    memory.save(contents(spark, "one", "two", '{"description": "d", "references": [1]}'), NOW)
+    f = memory.table("frames")
+    changed = f.withColumn("metadata", F.when(F.col("id") == 1, '{"archiveUid": "u1"}').when(F.col("id") == 2, '{"archiveUids": ["u2"]}').otherwise("{}")).withColumn("frame_type", F.when(F.col("id") == 3, "B").otherwise("I"))
+    memory.store.write(frames=changed)
+    gone = memory.erase(spark.createDataFrame([("s", "r1")], "source string, source_ref string"), NOW, "asked")
+    assert {r.id for r in memory.table("frames").collect()} == {2}
+    a = {r.id: r for r in memory.table("archive").collect()}
+    assert a[1].title is None and a[1].archive_uid != "u1" and a[2].content == "other"
+    assert gone is not None
+
+
+def test_store(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.read("a") is None and store.tables() == []
+    store.write(a=spark.range(3), b=spark.range(1))
+    store.write(a=store.read("a").filter("id > 0"))
+    assert store.read("a").count() == 2 and store.read("b").count() == 1 and store.tables() == ["a", "b"]
+    assert store.vacuum() == 1 and store.read("a").count() == 2
+
+
+def test_streams(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    rows = lambda *x: spark.createDataFrame(list(x), "k long, at timestamp_ntz").coalesce(1)
+    from datetime import datetime
+
+    rows((1, datetime(2024, 1, 1)), (1, datetime(2024, 1, 2)), (None, datetime(2024, 1, 2))).write.mode("append").parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    out = str(tmp_path / "out")
+    assert sorted(r.k for r in feeds.admit_new(spark, feeds.stream(spark, folder, schema), "k", out).collect()) == [1]
+    rows((1, datetime(2024, 1, 3)), (2, datetime(2024, 1, 9))).write.mode("append").parquet(folder)
+    assert sorted(r.k for r in feeds.admit_new(spark, feeds.stream(spark, folder, schema), "k", out).collect()) == [1, 2]
+    windows = feeds.tumbling_counts(spark, feeds.stream(spark, folder, schema), "at", "k", "1 day").collect()
+    assert sum(w.n for w in windows) == 5
+    assert {r.k for r in feeds.dirty_keys(spark, feeds.stream(spark, folder, schema), "at", "k").collect()} == {1, 2, None}
+    assert [r.k for r in feeds.after_watermark(spark.read.parquet(folder), "k", 1).collect()] == [2]
+
+
+def test_mastery_folds_like_one_by_one(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(3), datetime(2024, 1, 1) + timedelta(hours=rng.randrange(500)), i, rng.random() < 0.5) for i in range(300)]
+    level = {}
+    for c, _, _, right in sorted(rows, key=lambda r: (r[1], r[2])):
+        level[c] = max(1, min(5, level.get(c, 1) + (1 if right else -1)))
+    df = spark.createDataFrame(rows, "concept long, at timestamp_ntz, id long, correct boolean")
+    assert {r.concept: r.mastery_level for r in state.mastery(df).collect()} == level
+    with pytest.raises(ValueError):
+        state.check_fingerprint({"model": "a", "dim": "3"}, "a", 4)
+    assert [state.check_fingerprint(None, "a", 3), state.check_fingerprint({"model": "a", "dim": "3"}, "b", 3)] == ["recorded", "model-changed"]
+
+
+def test_vectors_of_odd_shapes(spark):
+    v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0]), (4, None), (5, [1.0, 0.0])], "id long, embedding array<float>")
+    q = spark.createDataFrame([(10, [1.0, 0.1]), (11, None), (12, [2.0])], "qid long, embedding array<float>")
+    got = [(r.qid, r.id, r.rank) for r in search.nearest(q, v, 2, block_bytes=8).orderBy("qid", "rank").collect()]
+    assert got == [(10, 2, 0), (10, 5, 1), (12, 3, 0)]
+    assert search.nearest(q.limit(0), v, 2).count() == 0
+    assert [r.id for r in search.nearest(q, v, 3, "cosine").filter("qid = 10").orderBy("rank").collect()] == [2, 5, 1]
+    pairs = spark.createDataFrame([(1, [1.0, 0.0], [1.0, 0.0]), (2, [1.0, 0.0], [0.0, 1.0]), (3, None, None)], "id long, a array<float>, b array<float>")
+    assert [r.id for r in lanes.verified(pairs).orderBy("id").collect()] == [1]
+
+
+def test_similarity_join_is_exact(spark):
+    import random
+
+    rng = random.Random(2)
+    base = ["".join(rng.choice("abcde ") for _ in range(30)) for _ in range(25)]
+    texts = base + [t[:-2] + "zz" for t in base[:15]] + [t.upper() for t in base[:5]] + ["", "ab"]
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "id long, text string")
+    clean = [" ".join(t.lower().split()) for t in texts]
+    grams = {i: {t[k : k + 3] for k in range(len(t) - 2)} for i, t in enumerate(clean)}
+    sim = lambda a, b: len(grams[a] & grams[b]) / max(len(grams[a]), len(grams[b]), 1)
+    for least in (0.4, 0.75):
+        want = {(a, b) for a in grams for b in grams if a < b and grams[a] and grams[b] and sim(a, b) >= least}
+        assert {(r.a, r.b) for r in similar_pairs(df, least).collect()} == want
+    rows = {r.id: r for r in links_per_text(df).collect()}
+    assert rows[40].class_id == clean.index(clean[40]) and len(rows) == len(texts)
