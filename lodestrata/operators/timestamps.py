@@ -21,6 +21,7 @@ from lodestrata.functions.instants import ORDERS, candidates, is_plain
 
 PLAIN = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z$"
 _NUMBERS = r"^\s*(\p{L}+\.?,?\s+)?\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}\b"
+FEW_SOURCES = 10_000
 _DATE_ONLY = r"^\s*(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|\d{8})\s*$"
 
 
@@ -110,10 +111,12 @@ def normalize_times(values: DataFrame, sources: DataFrame, sure: float = 0.95, p
     source is unknown or names no zone is ``unreadable``.  Rows repeat as given.
     """
     homes = sources.select(F.col("source").alias("s_source"), "home_zone", "date_order").filter("s_source IS NOT NULL").dropDuplicates(["s_source"])
-    known = values.select("src_field", "row_key", "value", "source").join(homes, F.col("source") == F.col("s_source"), "left").drop("s_source")
+    # Both tables have a row per source. Few sources go to every task, so that no value moves; many are joined by key.
+    near = F.broadcast if homes.count() <= FEW_SOURCES else (lambda df: df)
+    known = values.select("src_field", "row_key", "value", "source").join(near(homes), F.col("source") == F.col("s_source"), "left").drop("s_source")
     mixture = order_mixtures(known, prior).filter("source IS NOT NULL").select(F.col("source").alias("m_source"), "w_dmy", "w_mdy", "w_ymd")
     third = F.lit(1 / 3)
-    ready = known.join(mixture, F.col("source") == F.col("m_source"), "left").select("src_field", "row_key", "value", "home_zone", *(F.coalesce(c, third).alias(c) for c in ("w_dmy", "w_mdy", "w_ymd")))
+    ready = known.join(near(mixture), F.col("source") == F.col("m_source"), "left").select("src_field", "row_key", "value", "home_zone", *(F.coalesce(c, third).alias(c) for c in ("w_dmy", "w_mdy", "w_ymd")))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["src_field", "row_key", "value", "status", "format", "utc_us", "posterior"]
