@@ -160,16 +160,18 @@ def _slots(patterns: list[Pattern]) -> dict[str, np.ndarray]:
     return {"size": table[:, 0], "start": table[:, 1], "base": table[:, 2], "each": table[:, 3], "containers": np.int64(base)}
 
 
-def pack(texts: DataFrame, key: str, column: str, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, salts: int = 64) -> DataFrame:
+def pack(texts: DataFrame, key: str, column: str, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, per_salt: int = 1_000_000) -> DataFrame:
     """Pieces of every text with their container.
 
     Result: ``key``, piece (from 0), token_start, token_end, n_tokens,
     container_id.  A text above ``capacity`` tokens is cut into pieces of
     ``capacity`` and a last one; nothing else is cut.  Texts without tokens (null
     or empty) need no room and are spread over the containers; where there is
-    none, they share container 0.  Repeated keys are texts of their own.
+    none, they share container 0.  Repeated keys are texts of their own.  A size
+    that very many texts have is ranked in salted parts of about ``per_salt`` or fewer.
     """
     counts = written(count_tokens(texts, key, column, vocabulary), "token-counts")
+    salts = max(64, -(-counts.count() // per_salt))
     parts = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.lit(capacity))).cast("int")
     cut = counts.select(key, "n_tokens", F.explode(F.sequence(F.lit(0), parts - 1)).alias("piece"))
     cut = cut.select(key, "piece", (F.col("piece") * F.lit(capacity)).cast("long").alias("token_start"), F.least(F.col("n_tokens"), (F.col("piece") + 1) * F.lit(capacity)).cast("long").alias("token_end"))
