@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import derived, flows, frames, graph, lifecycle, search, texts, times
+from lodestrata.plans import derived, flows, frames, graph, ingest, lifecycle, search, texts, times
 
-_MODULES = [frames, graph, lifecycle, search, derived, texts, flows, times]
+_MODULES = [frames, graph, lifecycle, search, derived, texts, flows, ingest, times]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
