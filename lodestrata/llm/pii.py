@@ -51,9 +51,9 @@ _BLANKS = re.compile("[\u00a0\u2000-\u200a\u202f\u205f\u3000]")
 _EMAIL_LEFT = re.compile(r"(?:[\w+%-]+(?:\s+dot\s+|\s*[(\[{]dot[)\]}]\s*|\.))*[\w+%-]+\s{0,2}$", re.I)
 _DOT = r"(?:\.|\s*[(\[{<]\s*(?:dot|punkt|point|punto)\s*[)\]}>]\s*|\s+(?:dot|punkt|point|punto)\s+)"
 _EMAIL_RIGHT = re.compile(rf"\s{{0,2}}((?:[^\W_](?:[\w-]*[^\W_])?{_DOT})+[^\W\d_]{{2,24}})(?![\w@])", re.I)
-_DIGITS = re.compile(r"(?<![\w.,@/#])(?:\(?\+\s?)?\(?\d[\d\s().\-/]{5,24}\d(?![\w@])")
+_DIGITS = re.compile(r"(?<![\w.,@/#])(?:\(?\+ ?)?\(?\d[\d \t().\-/]{5,24}\d(?![\w@])")
 _GROUPS = re.compile(r"\d+")
-_ID_VALUE = re.compile(r"(?:\s*(?:number|nummer|numéro|número|no\.?|nr\.?|n[º°o]\.?|#|:|=|\.|is|ist|est|es|lautet|card|\(us\)|\"|'|’|“)){0,5}\s*([A-Za-z0-9](?:[\s.\-/]?[A-Za-z0-9]){4,24})(?![A-Za-z0-9])", re.I)
+_ID_VALUE = re.compile(r"(?:\s*(?:number|nummer|numéro|número|no\.?|nr\.?|n[º°o]\.?|#|:|=|\.|is|ist|est|es|lautet|card|\(us\)|\"|'|’|“)){0,5}\s*([A-Za-z0-9](?:[ .\-/]?[A-Za-z0-9]){4,24})(?![A-Za-z0-9])", re.I)
 _NINO = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-Da-d](?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _DNI = re.compile(r"(?<![\w-])(\d{8})[\s-]?([A-Za-z])(?![\w])")
@@ -200,6 +200,8 @@ def _name_at(text: str, low: str, start: int, end: int) -> tuple[int, int] | Non
     if given in _AMBIGUOUS and (not shown or caseless):
         return None
     right = _NEXT.match(text, end)
+    if right and "\n" in text[end : right.start(1)] and re.search(r"[^\W\d_]{3,}, $", text[max(0, start - 40) : start]):
+        right = None  # "Family, Given" ends the line
     if right and _plausible_family(right[1], text[start:end], caseless and given not in _AMBIGUOUS) and "\n\n" not in right[0]:
         return start, right.end()
     left = _BEFORE.search(text, max(0, start - 40), start)

@@ -53,3 +53,8 @@ def test_table(spark):
     assert [list(r.types) for r in got] == [["phone"], ["phone"], [], [], ["email"]] and got[2].text is None and got[3].text == ""
     assert got[4].text.endswith("x [EMAIL]")
     assert redact_texts(spark.createDataFrame([], "src_field string, row_id long, text string")).count() == 0
+
+
+def test_lines_of_a_signature():
+    text = "cc Doe, Ulrich\nBuild 2010-19-19.4109 passed.\n--\nMercedes Dugetruhek\n+44 (0)7700 900743\n36 Morigrup Street\n020 7946 0012\n5 Krado Road"
+    assert redact(text)[0] == "cc [NAME]\nBuild 2010-19-19.4109 passed.\n--\n[NAME]\n[PHONE]\n[ADDRESS]\n[PHONE]\n[ADDRESS]"
