@@ -20,4 +20,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, root: str) -> DataFrame:
-    return queries()["frame_stats"](spark, root)
+    """The flagship: hybrid retrieval over the frames, balanced profile."""
+    return queries()["hybrid_balanced"](spark, root)
