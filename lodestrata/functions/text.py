@@ -159,6 +159,13 @@ def rule_tokens(c: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(words, lambda w: ~w.isin(fixed.RULE_STOP_WORDS)), stem))
 
 
+def forbidden_words(c: Column, zone: int = 120) -> Column:
+    """Rule words within ``zone`` characters from each prohibition, distinct."""
+    marker = "|".join(p for p in fixed.NEGATION)
+    zones = F.regexp_extract_all(F.lower(c), F.lit(rf"(?s)(?=(?:{marker}))(?=(.{{0,{zone}}}))"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(zones, rule_tokens)))
+
+
 def bold_terms(c: Column) -> Column:
     terms = F.transform(F.regexp_extract_all(c, F.lit(r"\*\*([^*]+)\*\*"), F.lit(1)), lambda t: F.trim(t))
     return F.array_distinct(F.filter(terms, lambda t: (F.length(t) > 1) & (F.length(t) < 80)))

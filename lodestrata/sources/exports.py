@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions import fixed
-from lodestrata.functions.text import content_type, front_matter, stable_id, trimmed
+from lodestrata.functions.text import content_type, front_matter, html_description, html_title, stable_id, strip_html, trimmed
 
 #: Where each source keeps its conversations, beside a bare array.
 WRAPPERS = {
@@ -158,6 +158,20 @@ def queue_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
 
 
+def page_items(pages: DataFrame, least: int = 50, most: int = 4000, section: int = 30) -> DataFrame:
+    """Items of web pages ``pages(id, title, html)``: id, section, title, content, description.
+
+    A page under ``least`` characters of text has none, one up to ``most`` is one
+    item, a longer one is cut before its headings; sections under ``section``
+    characters are left out, longer ones than ``most`` cut.
+    """
+    plain = pages.select("id", F.coalesce(html_title(F.col("html")), "title").alias("title"), html_description(F.col("html")).alias("description"), strip_html(F.col("html")).alias("plain")).filter(F.length("plain") >= least)
+    size = F.length("plain")
+    parts = F.when(size <= most, F.array("plain")).otherwise(F.split("plain", r"\n(?=#{1,3}\s)"))
+    cut = plain.select("id", "title", "description", size.alias("size"), F.posexplode(parts).alias("section", "part")).withColumn("part", trimmed(F.col("part")))
+    return cut.filter((F.col("size") <= most) | (F.length("part") >= section)).select("id", "section", "title", F.substring("part", 1, most).alias("content"), "description")
+
+
 def export_pages(pages: DataFrame, folder: str) -> None:
     """Write ``pages(slug, markdown)`` as one folder of text per slug."""
     pages.select("slug", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("slug").text(folder)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,7 +30,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
+        local = tempfile.mkdtemp(prefix="lodestrata-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        folder = "file://" + local
         sc.setCheckpointDir(folder)
     return folder
 
