@@ -26,7 +26,7 @@ def trigrams(texts: DataFrame) -> DataFrame:
 
 
 #: So many of the rarest grams must be common before two sets are compared.
-COMMON = 6
+COMMON = 2
 
 
 def similar_pairs(texts: DataFrame, least: float) -> DataFrame:

@@ -177,11 +177,11 @@ def federated_recall(spark, root):
 
 
 @query(bm25_sql(_FRAMES, 20) + """, j AS (SELECT kw.qid, kw.id, score, coalesce(mf.mind = q.mind, false) AS inside FROM kw JOIN memory_frames mf ON mf.id = kw.id JOIN q ON q.qid = kw.qid),
-    o AS (SELECT qid, id, inside, round(CASE WHEN inside THEN score ELSE score * 0.5 END, 6) AS score, row_number() OVER (PARTITION BY qid, inside ORDER BY score DESC, id) AS k FROM j)
+    o AS (SELECT qid, id, inside, CASE WHEN inside THEN score ELSE score * 0.5 END AS score, row_number() OVER (PARTITION BY qid, inside ORDER BY score DESC, id) AS k FROM j)
     SELECT qid, id, inside, score FROM o WHERE inside OR k <= 2""")
 def cross_project_split(spark, root):
     hits = op.bm25(asked(spark, root), memory(spark, root), 20).drop("rank")
     own = hits.join(memory(spark, root).select("id", "mind"), "id").join(asked(spark, root).select("qid", F.col("mind").alias("q_mind")), "qid")
     marked = own.withColumn("inside", F.coalesce(F.col("mind") == F.col("q_mind"), F.lit(False)))
     ranked = op.top_k(marked, 1 << 30, ["qid", "inside"], F.desc("score"), "id").filter(F.col("inside") | (F.col("rank") < 2))
-    return ranked.select("qid", "id", "inside", F.round(F.when(F.col("inside"), F.col("score")).otherwise(F.col("score") * 0.5), 6).alias("score"))
+    return ranked.select("qid", "id", "inside", F.when(F.col("inside"), F.col("score")).otherwise(F.col("score") * 0.5).alias("score"))
