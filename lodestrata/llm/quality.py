@@ -61,7 +61,8 @@ MAX_REPEATED, PROSE_SHARE = 0.5, 0.5
 
 
 _FURNITURE = re.compile(r"[»›·|]| / ")
-_GRAIN = re.compile(r"[^\W_]+")
+_SYMBOL = re.compile(r"[^\w\s]|_")
+_UNUSUAL = re.compile(r"[^\w\s'’.,;:!?\-/@)(\"“”„«»…\u0300-\u036f]")
 _STRANGE = re.compile(r"[^\W\d_][^\w\s'’.,;:!?\-/@)(\"“”„«»…\u0300-\u036f]+[^\W\d_]")
 _INVISIBLE = re.compile("[\\s\u00ad\u200b-\u200f\u2060-\u2064\ufeff\x00-\x1f]*")
 _CLITICS = ("qu'", "n'", "j'", "c'")
@@ -121,12 +122,14 @@ def line_kind(line: _Line) -> str:
         return "text" if len(line.named) >= 6 and line.common_share >= 0.2 and line.clauses else "list"
     if size <= 80 and _LABEL.match(text):
         return "label"
-    marks = len(_FURNITURE.findall(body))
-    if marks >= 3 and words <= 4.5 * (marks + 1) and not line.clauses:
-        return "furniture"
-    cells = len(_CELLS.findall(body)) + 1
-    if cells >= 3 and words <= 4.5 * cells and line.common_share < 0.1:
-        return "table" if sum(map(str.isdigit, body)) > 0.15 * size else "list"
+    if not line.clauses:
+        marks = len(_FURNITURE.findall(body))
+        if marks >= 3 and words <= 4.5 * (marks + 1):
+            return "furniture"
+    if line.common_share < 0.1:
+        cells = len(_CELLS.findall(body)) + 1
+        if cells >= 3 and words <= 4.5 * cells:
+            return "table" if sum(map(str.isdigit, body)) > 0.15 * size else "list"
     if size >= 20 and line.letters < 0.5 * size:
         return "machine"
     return "text"
@@ -140,13 +143,13 @@ def paragraph_kind(lines: list[_Line]) -> str:
         return "label"
     solid, letters, named, common, clauses = (sum(x) for x in zip(*((x.solid, x.letters, len(x.named), x.common, x.clauses) for x in lines)))
     if n >= 8:
-        odd = sum(len(t) == 1 and t not in _LONE and not t.isdigit() for t in tokens)
+        odd = sum(t not in _LONE and not t.isdigit() for t in [t for t in tokens if len(t) == 1])
         if odd > MAX_ODD * n or solid < MIN_MEAN * n or letters < (0.9 - MAX_SYMBOLS) * solid:
             return "garbled"
     if solid > (MAX_MEAN + 4) * n:
         return "machine"
     if n >= 8:
-        if sum(len(_STRANGE.findall(x.text)) for x in lines) > 0.08 * n:
+        if sum(len(_UNUSUAL.findall(x.text)) for x in lines) > 0.08 * n and sum(len(_STRANGE.findall(x.text)) for x in lines) > 0.08 * n:
             return "garbled"
         if common < MIN_COMMON * named:
             return "list" if len(lines) > 1 or "," in lines[0].text else "gibberish"
@@ -159,6 +162,8 @@ def paragraph_kind(lines: list[_Line]) -> str:
 
 def _repeats(lines: list[_Line], tokens: list[str]) -> bool:
     """Whether most of the text says again what it has said."""
+    if len(set(tokens)) > 0.7 * len(tokens):
+        return False
     sentences = [s for x in lines for s in _SENTENCE.split(x.text) if s]
     if len(sentences) >= 4:
         times = Counter(map(str.strip, sentences))
@@ -188,13 +193,17 @@ def text_blocks(lines: list[_Line]) -> list[tuple[str, list[_Line]]]:
 
 def _judged_together(blocks: list[tuple[str, list[_Line]]]) -> list[tuple[str, list[_Line]]]:
     """Paragraphs of prose are looked at once more as one, since single sentences say little."""
-    prose = [x for kind, lines in blocks if kind in ("prose", "repeated") for x in lines]
     if sum(kind in ("prose", "repeated") for kind, _ in blocks) < 2:
         return blocks
-    together = paragraph_kind(prose)
-    if together == "repeated" or (together == "list" and not any(x.clauses for x in prose)):
-        return [(together if kind == "prose" else kind, lines) for kind, lines in blocks]
-    return blocks
+    prose = [x for kind, lines in blocks if kind in ("prose", "repeated") for x in lines]
+    tokens = [t for x in prose for t in x.tokens]
+    if len(tokens) >= 8 and _repeats(prose, tokens):
+        together = "repeated"
+    elif len(tokens) >= CLAUSE_FROM and not any(x.clauses for x in prose):
+        together = "list"
+    else:
+        return blocks
+    return [(together if kind == "prose" else kind, lines) for kind, lines in blocks]
 
 
 def measure(text: str | None) -> tuple:
@@ -209,7 +218,7 @@ def measure(text: str | None) -> tuple:
     full = [x for x in lines if x.tokens]
     n, solid = sum(len(x.tokens) for x in full), sum(x.solid for x in full)
     named = max(1, sum(len(x.named) for x in full))
-    grains = sum(map(len, _GRAIN.findall(text)))
+    symbols = len(_SYMBOL.findall(text))
     weights: dict[str, int] = {}
     for kind, part in _judged_together(text_blocks(lines)):
         weights[kind] = weights.get(kind, 0) + sum(x.solid for x in part)
@@ -224,7 +233,7 @@ def measure(text: str | None) -> tuple:
         size,
         n,
         solid / n,
-        max(0.0, 1 - grains / solid),
+        symbols / solid,
         sum(_CLOSED.search(x.text.rstrip()) is not None for x in full) / len(full),
         sum(_BULLET.match(x.text) is not None for x in full) / len(full),
         sum(x.common for x in full) / named,
