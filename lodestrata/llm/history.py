@@ -89,24 +89,24 @@ def reach(n: int) -> tuple[int, int]:
 
 
 def cells(firsts: DataFrame, order: np.ndarray) -> DataFrame:
-    """cell, id, size and entered of every cell the rows of ``firsts(id, words)`` probe."""
+    """cell, id, size, pos (from 0, rarest first) and entered of every cell the rows of ``firsts(id, words)`` probe."""
     shared = firsts.sparkSession.sparkContext.broadcast(order)  # 2**18 numbers
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for i, words in zip(b.column("id").to_numpy(), _lists(b.column("words"))):
                 prints = winnowed(words, SHINGLE, WINDOW)
                 n = len(prints)
                 probe, entry = reach(n)
                 rare = prints[np.lexsort((prints, shared.value[prints >> (32 - BUCKET_BITS)]))[:probe]]
-                for column, values in zip(out, (rare, np.full(probe, i), np.full(probe, n, np.int32), np.arange(probe) < entry)):
+                for column, values in zip(out, (rare, np.full(probe, i), np.full(probe, n, np.int32), np.arange(probe, dtype=np.int32), np.arange(probe) < entry)):
                     column.append(values)
             if out[0]:
-                c, i, n, e = map(np.concatenate, out)
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint32).view(np.int32)), pa.array(i.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(e)], ["cell", "id", "size", "entered"])
+                c, i, n, p, e = map(np.concatenate, out)
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint32).view(np.int32)), pa.array(i.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(p), pa.array(e)], ["cell", "id", "size", "pos", "entered"])
 
-    return firsts.select("id", "words").mapInArrow(spread, "cell int, id long, size int, entered boolean")
+    return firsts.select("id", "words").mapInArrow(spread, "cell int, id long, size int, pos int, entered boolean")
 
 
 def _similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -131,8 +131,11 @@ def _may_match() -> Column:
 def _calm_pairs(sized: DataFrame) -> DataFrame:
     """Pairs a, b that share enough cells of ordinary size."""
     calm = sized.filter(F.col("n") <= CROWDED)
-    met = calm.alias("x").join(calm.alias("y"), (F.col("x.cell") == F.col("y.cell")) & _may_match())
-    need = F.least(F.lit(COMMON), F.ceil(F.lit(NEAR / (1 + NEAR)) * F.col("both") - F.lit(1e-9)))
+    wanted = lambda both: F.ceil(F.lit(NEAR / (1 + NEAR)) * both - F.lit(1e-9))
+    # The k-th common cell of a similar pair has all but k - 1 of the wanted ones still to come.
+    early = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos")) > wanted(F.col("x.size") + F.col("y.size")) - COMMON
+    met = calm.alias("x").join(calm.alias("y"), (F.col("x.cell") == F.col("y.cell")) & _may_match() & early)
+    need = F.least(F.lit(COMMON), wanted(F.col("both")))
     pairs = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("shared"), F.first(F.col("x.size") + F.col("y.size")).alias("both"))
     return pairs.filter(F.col("shared") >= need).select("a", "b")
 

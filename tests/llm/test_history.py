@@ -90,8 +90,10 @@ def test_the_cells_reach_far_enough(n):
             if n and common >= history.NEAR * (n + m - common):
                 pool = rng.permutation(n + m)
                 x, y = np.sort(pool[:m]), np.sort(np.concatenate([rng.choice(pool[:m], common, False), pool[m : m + n - common]]))
-                shared = len(set(x[: reach(m)[0]].tolist()) & set(y[: reach(n)[1]].tolist()))
-                need = min(history.COMMON, int(np.ceil(history.NEAR / (1 + history.NEAR) * (n + m) - 1e-9)))
+                wanted = int(np.ceil(history.NEAR / (1 + history.NEAR) * (n + m) - 1e-9))
+                met = set(x[: reach(m)[0]].tolist()) & set(y[: reach(n)[1]].tolist())
+                shared = sum(min(m - x.tolist().index(c), n - y.tolist().index(c)) > wanted - history.COMMON for c in met)
+                need = min(history.COMMON, wanted)
                 assert shared >= need
 
 
