@@ -118,9 +118,12 @@ def is_bookkeeping(c: Column) -> Column:
     return F.coalesce(c.rlike(fixed.BOOKKEEPING), F.lit(False))
 
 
+TOKEN = r"[\p{L}\p{N}]+"
+
+
 def tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
 def query_terms(c: Column) -> Column:
