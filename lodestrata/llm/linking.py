@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.names import Name, blocks, fits, forms, read_name, same_name, short_blocks
+from lodestrata.llm.names import Name, blocks, certainty, fits, read_name, same_name, short_blocks
 from lodestrata.operators.components import connected_components
 from lodestrata.tables import written
 
@@ -25,7 +25,7 @@ def _name(key: str) -> Name:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         names = [read_name(n) for n in b.column("name").to_pylist()]
-        sure = [3 if n.legal or (n.kind == "person" and any(map(forms, n.parts))) else int(n.kind == "firm") for n in names]
+        sure = [certainty(n) for n in names]
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("entity_type"), pa.array([n.kind for n in names]), pa.array([n.key for n in names]), pa.array(sure, pa.int64())], ["id", "entity_type", "kind", "key", "sure"])
 
 

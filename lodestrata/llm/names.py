@@ -30,6 +30,8 @@ TRADES = {
     "research": "res", "services": "svcs svc serv", "software": "sw", "solutions": "soln", "store": "", "systems": "sys", "technologies": "tech", "transport": "transp trans", "university": "univ uni", "bank": "", "holdings": "hldgs", "partners": "",
     "foundation": "fdn", "hospital": "hosp", "media": "", "energy": "", "foods": "", "ventures": "", "capital": "", "studios": "",
 }
+# Words of trades that name ordinary things as well.
+WEAK_TRADES = frozenset("logistics store house group research services systems software media energy capital foods development transport company".split())
 # Legal forms, dots left out, and words that mean nothing in a firm's name.
 LEGAL = frozenset("llc ltd limited inc incorporated gmbh gesmbh ag aktiengesellschaft sa societe anonyme bv co corp corporation plc kg srl oy ab pty llp sarl spa nv kgaa sl".split())
 FILLERS = frozenset("the and & und et y of de".split())
@@ -206,6 +208,15 @@ def _firm(text: str) -> Name | None:
     return None
 
 
+def certainty(name: Name) -> int:
+    """How much the spelling alone speaks for a person or firm: 3 (as much as three types), 2, 1 or 0."""
+    if name.kind == "firm":
+        return 3 if name.legal or not WEAK_TRADES.issuperset(name.parts[0].split()) else 1
+    if name.kind == "person":
+        return 3 if any(map(forms, name.parts)) else 0
+    return {"family": 2, "initial": 1}.get(name.kind, 0)
+
+
 def blocks(name: Name) -> set[str]:
     """Names that may mean the same person or firm share one of these."""
     if name.kind == "firm":
@@ -265,7 +276,9 @@ def same_name(a: Name, b: Name) -> bool:
     if a.kind != b.kind:
         return False
     if a.kind == "firm":
-        return a.parts[0] == b.parts[0] and same_word(a.parts[1], b.parts[1])
+        # Endings tell firms of one root apart, so two slips are allowed before them only.
+        slips = 2 if a.parts[1][-2:] == b.parts[1][-2:] else 1
+        return a.parts[0] == b.parts[0] and same_word(a.parts[1], b.parts[1], slips)
     if a.kind == "person":
         (p, q), (r, s) = a.parts, b.parts
         for x, y in ((r, s), (s, r)):
