@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestrata.functions.text import frame_hash
 from lodestrata.operators import archive, derive, frames, graph, lanes, search, state
 from lodestrata.store import Store
+from lodestrata.tables import numbered
 
 FRAMES = "id long, frame_type string, gop_id string, t int, base_frame_id long, content string, importance string, source string, access_count int, created_at timestamp_ntz, last_accessed timestamp_ntz, content_hash string, metadata string, mind string"
 ENTITIES = "id long, entity_type string, name string, properties string, valid_from timestamp_ntz, valid_to timestamp_ntz, recorded_at timestamp_ntz"
@@ -33,7 +33,7 @@ class Memory:
         top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id"), F.coalesce(F.max(F.when(F.col("gop_id") == gop_id, F.col("t"))), F.lit(-1)).alias("t")).first()
         plan = frames.admit(contents, stored)
         new = contents.join(plan.filter("action = 'insert'").select(F.col("frame_id").alias("id")), "id")
-        nth = F.row_number().over(Window.orderBy("id"))
+        new, nth = numbered(new, "id"), F.col("nth") + 1
         at = F.lit(now).cast("timestamp_ntz")
         rows = new.select((nth + top["id"]).cast("long").alias("new_id"), F.col("id").alias("given"), (nth + top["t"]).cast("int").alias("t"), "content")
         added = rows.select(F.col("new_id").alias("id"), F.lit("I").alias("frame_type"), F.lit(gop_id).alias("gop_id"), "t", F.lit(None).cast("long").alias("base_frame_id"), "content", F.lit(importance).alias("importance"), F.lit(source).alias("source"), F.lit(0).alias("access_count"), at.alias("created_at"), at.alias("last_accessed"), frame_hash(F.col("content")).alias("content_hash"), F.lit("{}").alias("metadata"), F.lit(mind).alias("mind"))
@@ -63,7 +63,7 @@ class Memory:
         key = [F.lower("name").alias("k_name"), F.coalesce("entity_type", F.lit("")).alias("k_type")]
         new = rows.dropDuplicates(["name", "entity_type"]).select("*", *key).join(graph.active(old).select(*key), ["k_name", "k_type"], "left_anti")
         at = F.lit(now).cast("timestamp_ntz")
-        added = new.select((F.row_number().over(Window.orderBy("name", "entity_type")) + start).cast("long").alias("id"), "entity_type", "name", "properties", at.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), at.alias("recorded_at"))
+        added = numbered(new, "name", "entity_type").select((F.col("nth") + 1 + start).cast("long").alias("id"), "entity_type", "name", "properties", at.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), at.alias("recorded_at"))
         self.store.write(entities=old.unionByName(added))
 
     def relate(self, rows: DataFrame, now: str) -> None:

@@ -9,6 +9,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -48,3 +50,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *order: str, name: str = "nth") -> DataFrame:
+    """``df`` with its rows numbered from 0 in an order, without gathering them in one task.
+
+    Rows are split by ranges of the order and counted per range; equal rows of
+    the order are numbered in any way.
+    """
+    ranged = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    starts = ranged.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return ranged.withColumn("__within", within).join(starts, "__part").withColumn(name, F.col("__start") + F.col("__within")).drop("__part", "__start", "__within")

@@ -130,3 +130,12 @@ def test_similarity_join_is_exact(spark):
         assert {(r.a, r.b) for r in similar_pairs(df, least).collect()} == want
     rows = {r.id: r for r in links_per_text(df).collect()}
     assert rows[40].class_id == clean.index(clean[40]) and len(rows) == len(texts)
+
+
+def test_numbering(spark):
+    from lodestrata.tables import numbered
+
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1009).alias("k"))
+    rows = numbered(df, "k").orderBy("k").collect()
+    assert [r.nth for r in rows] == list(range(1000))
+    assert numbered(df.limit(0), "k").count() == 0
