@@ -72,9 +72,10 @@ _IMPORTANT = "il AS (SELECT q.qid, id FROM q, (SELECT id FROM memory_frames WHER
 @query(_hybrid_sql("balanced", 10) + f", {_IMPORTANT}, u AS (SELECT qid, id, 0 AS p, 'semantic' AS lane FROM h UNION ALL SELECT qid, id, 1, 'important' FROM il UNION ALL SELECT qid, id, 2, 'recent' FROM rl WHERE rank < 5) SELECT qid, id, arg_min(lane, p) AS lane FROM u GROUP BY 1, 2")
 def seven_lanes(spark, root):
     from lodestrata.operators.frames import important_lane
+    from lodestrata.plans.search import for_each
     from lodestrata.plans.search import lanes as two_lanes
 
-    important = asked(spark, root).select("qid", F.lit(1).alias("one")).join(important_lane(frames(spark, root), 5).select("id", F.lit(1).alias("one")), "one")
+    important = for_each(asked(spark, root), important_lane(frames(spark, root), 5), F.desc("id"))
     return lanes.merged_lanes(("semantic", hybrid(spark, root, limit=10)), ("important", important), ("recent", two_lanes(spark, root)[1].filter("rank < 5")))
 
 

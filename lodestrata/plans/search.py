@@ -108,15 +108,20 @@ _RRF = "f AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT
 
 def lanes(spark: SparkSession, root: str, corpus: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The keyword lane and a recency lane of forty frames."""
-    from pyspark.sql.window import Window
-
     q = asked(spark, root)
     kept = frames(spark, root) if corpus is None else corpus
     keyword = op.bm25(q, kept.select("id", F.col("content").alias("text")), 40)
     newest = kept.orderBy(F.desc("created_at"), F.desc("id")).limit(40)
-    ranked = newest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))) - 1)
-    recency = q.select("qid", F.lit(1).alias("one")).join(ranked.select("id", "rank", F.lit(1).alias("one")), "one").select("qid", "id", "rank")
-    return keyword, recency
+    return keyword, for_each(q, newest, F.desc("created_at"), F.desc("id"))
+
+
+def for_each(queries: DataFrame, few: DataFrame, *order) -> DataFrame:
+    """qid, id and rank of the ``few`` rows (a limit's worth) for every query: one array, looked up once."""
+    from pyspark.sql.window import Window
+
+    ranked = few.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
+    rows = ranked.agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("rows"))
+    return queries.withColumn("hit", F.explode(rows.scalar())).select("qid", "hit.id", "hit.rank")
 
 
 @query(f"{_KW}, {_RECENT}, {_RRF} SELECT qid, id, round(rrf, 6) AS rrf FROM f")
