@@ -40,7 +40,7 @@ TITLES = frozenset("dr mr ms mrs miss prof professor ing sir dipl phd md jr sr h
 
 _LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "ð": "d", "þ": "th"})
 _QUOTED = re.compile("[\"“”„«»]([^\"“”„«»]*)[\"“”„«»]")
-_PARENS = re.compile(r"\([^)]*\)|\[[^\]]*\]")
+_PARENS = re.compile(r"\([^)(]{0,200}\)|\[[^\]\[]{0,200}\]")
 _HANDLE = re.compile(r"@?([^\W\d_]{2,})[._]([^\W\d_]{2,})\d*")
 _CAMEL = re.compile(r"(?<=[^\W\d_A-Z]{2})(?=[A-Z][^\W\d_A-Z]{2})")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")

@@ -64,7 +64,7 @@ _ADDRESS = (
     re.compile(rf"(?<![\w-])(?:(?:Am|An der|Auf der|Zum|Zur)\s)?(?P<mid>(?:[^\W\d_]+-)*[^\W\d_]{{2,}}(?:{STREETS_DE})|[^\W\d_]{{3,}}[\s-](?:Allee|Straße|Strasse|Str\.|Platz|Weg|Ring))\s*\d{{1,4}}(?:\s?[a-z])?(?![\w.]\d)(?:,\s*\d{{5}}\s+[^\W\d_]+)?", re.I),
     re.compile(rf"(?<![\w-])(?:{STREETS_ES})\.?\s*(?:(?:de\s+la|de\s+los|del|de|la)\s+)?(?P<mid>[^\W\d_]{{3,}}(?:\s[^\W\d_]{{3,}})?)\s*,?\s*(?:n[º°o.]+\s*)?\d{{1,4}}\b(?:,\s*\d{{1,2}}[º°ª]?\s?[A-Za-z]?\b)?", re.I),
 )
-_TITLED = re.compile(rf"(?<![\w.])(?:{TITLES})\b\.?\s+(?:(?:{TITLES})\b\.?\s+)*(?P<who>[^\W\d_][^\W\d_'’-]{{2,}}(?:\s[^\W\d_][^\W\d_'’-]{{2,}})?)", re.I)
+_TITLED = re.compile(rf"(?<![\w.])(?:{TITLES})\b\.?\s+(?:(?:{TITLES})\b\.?\s+){{0,3}}(?P<who>[^\W\d_][^\W\d_'’-]{{2,}}(?:\s[^\W\d_][^\W\d_'’-]{{2,}})?)", re.I)
 _INITIAL = re.compile(r"(?<![\w.@&'’-])(?P<letter>[^\W\d_])\.\s?(?:[^\W\d_]\.\s?)?(?P<who>[^\W\d_][^\W\d_'’-]{2,})(?![\w@])")
 _NEXT = re.compile(r"[\s*_`]{1,3}(?:[\"“„«(][^\W\d_]+[\"”“»)]\s+)?(?:[^\W\d_]\.\s?)?([^\W\d_][^\W\d_'’-]{2,})(?![\w@])")
 _BEFORE = re.compile(r"(?<![\w@.])([^\W\d_][^\W\d_'’-]{2,})(,?)[\s*_`]{1,3}$")
