@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import frame_hash
 from lodestrata.operators import archive, derive, frames, graph, lanes, search, state
+from lodestrata.operators.pipeline import Embed
 from lodestrata.store import Store
 from lodestrata.tables import numbered
 
@@ -42,12 +43,18 @@ class Memory:
         self.store.write(frames=kept.unionByName(added))
         return plan
 
-    def recall(self, queries: DataFrame, now: str, limit: int = 10, profile: str = "balanced", mind: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
-        """The best frames for each of ``queries(qid, text)``: keyword lane, fused and scored."""
+    def recall(self, queries: DataFrame, now: str, limit: int = 10, profile: str = "balanced", mind: str | None = None, since: str | None = None, until: str | None = None, embed: Embed | None = None, dims: int = 384) -> DataFrame:
+        """The best frames for each of ``queries(qid, text)``: lanes fused and scored with the graph context of the query.
+
+        With ``embed`` there is a vector lane beside the keyword lane.
+        """
         kept = frames.within(self.table("frames"), since, until)
         kept = kept if mind is None else kept.filter(F.col("mind") == mind)
-        hits = search.bm25(queries, kept.select("id", F.col("content").alias("text")), 2 * limit)
-        return search.rescore(search.fuse(hits), kept, now, profile, limit=limit).join(kept.select("id", "content"), "id")
+        corpus = kept.select("id", F.col("content").alias("text"))
+        found = [search.bm25(queries, corpus, 2 * limit), *([search.vector_lane(queries, corpus, embed, dims, 2 * limit)] if embed else [])]
+        fused = search.fuse(*found)
+        near = search.graph_context(queries, fused, corpus, self.table("entities"), self.table("relations"))
+        return search.rescore(fused, kept, now, profile, near, limit).join(kept.select("id", "content"), "id")
 
     def context(self, queries: DataFrame, now: str, tier: int = 1) -> DataFrame:
         hits = self.recall(queries, now)

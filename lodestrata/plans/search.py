@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import fixed
 from lodestrata.operators import search as op
+from lodestrata.operators.pipeline import byte_embedding
 from lodestrata.plans.frames import NOW, frames
+from lodestrata.plans.graph import _E, _R, relations, trade_entities
 from lodestrata.tables import table
 
 QUERIES: dict = {}
@@ -101,7 +103,7 @@ def chunk_knn(spark, root):
     return op.first_per_frame(op.nearest(q, v, 25), chunks, 5)
 
 
-#: The second lane of the hybrid queries: frames by recency.
+#: The second lane of the hybrid_* queries and of those made of them: frames by recency. The hybrid_search_* queries have the vector lane.
 _RECENT = "rl AS (SELECT qid, id, rank FROM (SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) - 1 AS rank FROM memory_frames QUALIFY rank < 40) JOIN q ON true)"
 _RRF = "f AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT qid, id, rank FROM kw UNION ALL SELECT qid, id, rank FROM rl) GROUP BY 1, 2)"
 
@@ -151,6 +153,54 @@ for _profile in fixed.PROFILES:
     _register(_profile)
 
 
+def _vector(c: str) -> str:
+    """The first sixteen bytes as byte_embedding gives them."""
+    return f"list_transform(range(1, 17), lambda i: CASE WHEN i <= octet_length(encode({c})) THEN ((('0x' || substr(hex(encode({c})), 2 * i::INT - 1, 2))::INT - 128) / 128.0)::DOUBLE ELSE 0::DOUBLE END)"
+
+
+def _search_sql(profile: str, where: str = "true", limit: int = 20) -> str:
+    t, p, c, i = fixed.PROFILES[profile]
+    weights = " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.IMPORTANCE_WEIGHTS.items())
+    keyword = bm25_sql(f"SELECT id, content AS text FROM memory_frames WHERE {where}", 40).removeprefix("WITH ")
+    return f"""WITH RECURSIVE {keyword}, {_R}, {_E}, mf AS (SELECT * FROM memory_frames WHERE {where}),
+    ve AS (SELECT id, {_vector("content")} AS v FROM mf WHERE content IS NOT NULL), qe AS (SELECT qid, {_vector("text")} AS v FROM q),
+    vl AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(list_distance(qe.v, ve.v), 6), id) - 1 AS rank FROM qe JOIN ve ON true QUALIFY rank < 40),
+    f AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT qid, id, rank FROM kw UNION ALL SELECT qid, id, rank FROM vl) GROUP BY 1, 2),
+    ke AS (SELECT id, lower(name) AS name FROM (SELECT id, name FROM knowledge_entities WHERE valid_to IS NULL UNION ALL SELECT id, name FROM e) WHERE length(lower(name)) >= 3),
+    sd AS (SELECT q.qid, ke.id AS seed, row_number() OVER (PARTITION BY q.qid ORDER BY length(ke.name) DESC, ke.id) AS k FROM q JOIN ke ON contains(lower(q.text), ke.name) QUALIFY k <= 12),
+    ed AS (SELECT DISTINCT s, t FROM r WHERE vt IS NULL), b(seed, node, distance) AS (SELECT DISTINCT seed, seed, 0 FROM sd UNION SELECT seed, ed.t, distance + 1 FROM b JOIN ed ON ed.s = b.node WHERE distance < 3),
+    hn AS (SELECT DISTINCT mf.id, ke.name FROM mf JOIN ke ON contains(lower(mf.content), ke.name)), un AS (SELECT name FROM hn GROUP BY 1 HAVING count(*) <= greatest(20, floor(0.4 * (SELECT count(*) FROM mf)))),
+    br AS (SELECT DISTINCT hn.id, ke.id AS node FROM hn JOIN un USING (name) JOIN ke USING (name)), gd AS (SELECT sd.qid, br.id, min(distance) AS distance FROM sd JOIN b USING (seed) JOIN br USING (node) GROUP BY 1, 2),
+    a AS (SELECT f.*, distance, access_count, importance, epoch_us(TIMESTAMP '{NOW}') - epoch_us(coalesce(m.created_at, m.last_accessed)) AS us FROM f JOIN mf m ON m.id = f.id LEFT JOIN gd ON gd.qid = f.qid AND gd.id = f.id),
+    x AS (SELECT qid, id, rrf, {t} * (CASE WHEN us / 86400000000.0 <= 7 THEN 1.0 ELSE pow(0.5::DOUBLE, us / 86400000000.0 / 30) END) + {p} * (1 + 0.1 * log10(1 + coalesce(access_count, 0)))
+        + {c} * (CASE distance WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 WHEN 3 THEN 0.2 ELSE 0.0 END)::DOUBLE + {i} * coalesce(CASE importance {weights} END, 1.0)::DOUBLE AS rel FROM a)
+    SELECT qid, id, round(rrf, 6) AS rrf, round(rel, 6)::DOUBLE AS relevance, round(rrf * rel, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(rrf * rel, 6) DESC, id) - 1 AS rank FROM x QUALIFY rank < {limit}"""
+
+
+def hybrid_search(spark, root, profile: str = "balanced", kept: DataFrame | None = None) -> DataFrame:
+    """The survey's hybrid search: keyword and vector lanes per query, graph context over all entities there are."""
+    known = table(spark, root, "knowledge_entities")
+    own = trade_entities(spark, root)
+    entities = known.select(*own.columns).unionByName(own)
+    return op.hybrid(asked(spark, root), frames(spark, root) if kept is None else kept, NOW, byte_embedding(16), 16, entities, relations(spark, root), profile)
+
+
+def _register_search(profile: str) -> None:
+    QUERIES[f"hybrid_search_{profile}"] = lambda spark, root: hybrid_search(spark, root, profile)
+    SQL[f"hybrid_search_{profile}"] = _search_sql(profile)
+
+
+for _profile in fixed.PROFILES:
+    _register_search(_profile)
+
+
+@query(_search_sql("balanced", "created_at >= TIMESTAMP '2024-03-01' AND created_at < TIMESTAMP '2024-07-01'"))
+def hybrid_search_windowed(spark, root):
+    from lodestrata.operators.frames import within
+
+    return hybrid_search(spark, root, kept=within(frames(spark, root), "2024-03-01", "2024-06-30"))
+
+
 @query(bm25_sql("SELECT id, content AS text FROM memory_frames WHERE created_at >= TIMESTAMP '2024-03-01' AND created_at < TIMESTAMP '2024-07-01'", 40) + " SELECT qid, id, score, rank FROM kw")
 def hybrid_windowed(spark, root):
     from lodestrata.operators.frames import within
