@@ -64,6 +64,9 @@ for _full, _short in NICKNAMES.items():
 FULL = frozenset(map(plain, NICKNAMES))
 TRADE = {w: full for full, short in TRADES.items() for w in (full, *short.split())}
 
+#: Words from this length on may differ by two slips.
+TWO_SLIPS = 8
+
 _CLASS = {c: str(n) for n, cs in enumerate(("bpfv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in cs}
 
 
@@ -79,9 +82,16 @@ def sound(word: str) -> str:
     return out
 
 
-def with_slack(code: str) -> set[str]:
-    """A code and the codes with one class less: two codes one change apart share one of them."""
-    return {code} | {code[:i] + code[i + 1 :] for i in range(len(code))}
+@lru_cache(maxsize=200_000)
+def with_slack(code: str, slips: int = 1) -> frozenset[str]:
+    """What is left of a code after some slips: words so many slips apart share one of these.
+
+    A slip adds, drops, changes or swaps a class, or parts two equal ones (565 and 5).
+    """
+    out = {code}
+    for _ in range(slips):
+        out |= {c[:i] + c[i + 1 :] for c in out for i in range(len(c))} | {c[:i] + c[i + 2 :] for c in out for i in range(len(c) - 2) if c[i] == c[i + 2]}
+    return frozenset(out)
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -133,6 +143,20 @@ def edits(a: str, b: str, most: int = 2) -> int:
     return min(row[-1], most + 1)
 
 
+def within(a: str, b: str, most: int) -> bool:
+    """Whether ``edits`` are at most ``most``, mostly without counting them."""
+    if abs(len(a) - len(b)) > most or len(set(a) - set(b)) > most or len(set(b) - set(a)) > most:
+        return False
+    if most > 1:
+        return edits(a, b, most) <= most
+    i, j, k = 0, len(a), len(b)
+    while i < min(j, k) and a[i] == b[i]:
+        i += 1
+    while min(j, k) > i and a[j - 1] == b[k - 1]:
+        j, k = j - 1, k - 1
+    return max(j, k) - i <= 1 or (j == k == i + 2 and a[i] == b[i + 1] and a[i + 1] == b[i])
+
+
 @dataclass(frozen=True)
 class Name:
     """kind: person (two words), initial (a letter and a word), family (a title and a word), firm (trade, rest), thing, or none."""
@@ -221,13 +245,18 @@ def blocks(name: Name) -> set[str]:
     """Names that may mean the same person or firm share one of these."""
     if name.kind == "firm":
         trade, rest = name.parts
-        return {f"f:{trade}:{c}" for c in with_slack("".join(sound(w) for w in rest.split()))}
+        return {f"f:{trade}:{c}" for c in with_slack("".join(sound(w) for w in rest.split()), 2 if len(rest) >= TWO_SLIPS else 1)}
     if name.kind == "person":
         out = set()
+        long = [max(len(p), len(plain(p))) >= TWO_SLIPS for p in name.parts]
         for x in forms(name.parts[0]) | {name.parts[0]}:
             for y in forms(name.parts[1]) | {name.parts[1]}:
                 a, b = sound(x), sound(y)
-                for p, q in [(p, b) for p in with_slack(a)] + [(a, q) for q in with_slack(b)]:
+                # A slip in each part, or two in one long part beside the same other.
+                both = [(p, q) for p in with_slack(a) for q in with_slack(b)]
+                twice = [(p, b) for p in with_slack(a, 2)] if long[0] else []
+                twice += [(a, q) for q in with_slack(b, 2)] if long[1] else []
+                for p, q in both + twice:
                     out.add("p:" + ":".join(sorted((p, q))))
         return out
     if name.kind == "initial":
@@ -248,6 +277,7 @@ def short_blocks(name: Name) -> set[str]:
     return out
 
 
+@lru_cache(maxsize=200_000)
 def forms(word: str) -> frozenset[str]:
     """The full given names a word may stand for."""
     return FORMS.get(plain(word), frozenset())
@@ -258,12 +288,15 @@ def same_word(a: str, b: str, slips: int = 1) -> bool:
     if a == b or plain(a) == plain(b):
         return True
     shorter = min(len(a), len(b))
-    if shorter < 4 or max(jaro_winkler(a, b), jaro_winkler(plain(a), plain(b))) < (0.8 if slips == 1 else 0.85):
+    if shorter < 4:
         return False
-    most = slips if shorter >= 8 else 1
-    return min(edits(a, b, most), edits(plain(a), plain(b), most)) <= most
+    most = slips if shorter >= TWO_SLIPS else 1
+    if not within(a, b, most) and not within(plain(a), plain(b), most):
+        return False
+    return max(jaro_winkler(a, b), jaro_winkler(plain(a), plain(b))) >= (0.8 if slips == 1 else 0.85)
 
 
+@lru_cache(maxsize=200_000)
 def same_given(a: str, b: str) -> bool:
     x, y = forms(a), forms(b)
     if x and y:
