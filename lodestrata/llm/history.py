@@ -2,7 +2,7 @@
 
 The index below a folder holds, per accepted text, its full vector (the words'
 hashes in order) and its entries in the inverted cells.  A text's sparse vector
-has one coordinate for each winnowed fingerprint; each coordinate is a cell.  A
+has one coordinate for each of its word pairs; each coordinate is a cell.  A
 text is entered in, and probes, its rarest cells first, and stops where the
 coordinates left can't bring any other text within the distance: with Jaccard
 similarity of at least ``t`` two vectors of n and m coordinates share o =
@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.llm.textkeys import WordHashes, shingle_hashes, winnowed, words_of
+from lodestrata.llm.textkeys import WordHashes, shingle_hashes, words_of
 from lodestrata.operators.components import connected_components
 from lodestrata.tables import written
 
-SHINGLE, WINDOW = 5, 6
-NEAR, COMMON = 0.35, 4
+SHINGLE = 2
 SAME = 0.6
+NEAR, COMMON = SAME, 4
 BUCKET_BITS = 18
 #: Cells with more texts are joined class by class, not text by text.
 CROWDED = 256
@@ -59,10 +59,15 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [flat[i:j] for i, j in zip(ends[:-1], ends[1:])]
 
 
+def coordinates(words: np.ndarray) -> np.ndarray:
+    """The coordinates of a text's sparse vector, which decide and are the cells: its word pairs, sorted."""
+    return np.unique((shingle_hashes(words, SHINGLE) >> np.uint64(32)).astype(np.uint32))
+
+
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << BUCKET_BITS, np.int64)
     for b in batches:
-        prints = [winnowed(w, SHINGLE, WINDOW) for w in _lists(b.column("words"))]
+        prints = [coordinates(w) for w in _lists(b.column("words"))]
         if prints:
             total += np.bincount(np.concatenate(prints) >> (32 - BUCKET_BITS), minlength=1 << BUCKET_BITS)
     used = np.flatnonzero(total >= 3)
@@ -70,7 +75,7 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def rarity(spark: SparkSession, firsts: DataFrame) -> np.ndarray:
-    """Roughly how often the fingerprints of each of 2**18 buckets occur: what orders the cells.
+    """Roughly how often the coordinates of each of 2**18 buckets occur: what orders the cells.
 
     At most 2**18 rows reach the driver, whatever the input.  Any order gives the
     same matches; this one keeps the cells that are probed small.
@@ -96,7 +101,7 @@ def cells(firsts: DataFrame, order: np.ndarray) -> DataFrame:
         for b in batches:
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             for i, words in zip(b.column("id").to_numpy(), _lists(b.column("words"))):
-                prints = winnowed(words, SHINGLE, WINDOW)
+                prints = coordinates(words)
                 n = len(prints)
                 probe, entry = reach(n)
                 rare = prints[np.lexsort((prints, shared.value[prints >> (32 - BUCKET_BITS)]))[:probe]]
@@ -111,7 +116,7 @@ def cells(firsts: DataFrame, order: np.ndarray) -> DataFrame:
 
 def _similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of the sets of word pairs."""
-    x, y = np.unique(shingle_hashes(a, 2)), np.unique(shingle_hashes(b, 2))
+    x, y = coordinates(a), coordinates(b)
     common = len(np.intersect1d(x, y, assume_unique=True))
     return common / max(1, len(x) + len(y) - common)
 
