@@ -1,19 +1,22 @@
 """Checking new batches for copies against all accepted contents.
 
-The index below a folder holds, per accepted text, its full vector (the words'
-hashes in order) and its entries in the inverted cells.  A text's sparse vector
-has one coordinate for each of its word pairs; each coordinate is a cell.  A
-text is entered in, and probes, its rarest cells first, and stops where the
-coordinates left can't bring any other text within the distance: with Jaccard
-similarity of at least ``t`` two vectors of n and m coordinates share o =
-t/(1+t)(n+m), so after n-o+l cells at least l of them are common.  Pairs with l
-common cells are compared exactly on their full vectors.  Texts equal in all
-words share one key and enter once.
+A text is a sparse vector: one coordinate for each of its phrases (stretches of
+words between content-defined borders), weighted by the phrase's words times the
+bits of its rarity.  Every coordinate is a cell.  A text is entered in the cells
+of its rarest coordinates and probes the same ones; both stop where the weight
+that is left can't bring any other text within the distance, and a meeting in a
+cell counts only if what is left from there on could still suffice.  What meets
+is compared exactly on the full texts.  Texts equal in all words share one key
+and enter once.
+
+Copy means: weighted Jaccard similarity of the phrases at least ``NEAR``, and
+Jaccard similarity of the word pairs at least ``SAME``.  A text's parent is the
+smallest earlier id it is a copy of, its class the end of its line of parents;
+so a class depends on earlier rows only, however rows are cut into batches.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,174 +24,228 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lodestrata.llm.textkeys import WordHashes, shingle_hashes, words_of
-from lodestrata.operators.components import connected_components
+from lodestrata.llm.textkeys import WordHashes, phrases, shingle_hashes, words_of
 from lodestrata.tables import written
 
-SHINGLE = 2
-SAME = 0.6
-NEAR, COMMON = SAME, 4
+PAIR, SAME, NEAR = 2, 0.6, 0.3
 BUCKET_BITS = 18
-#: Cells with more texts are joined class by class, not text by text.
+#: Cells with more texts are joined pivot first and in parts: another plan, the same matches.
 CROWDED = 256
+#: Up to so many probed cells go to every task, which spares moving the stored ones.
+FEW_CELLS = 1_000_000
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+def _hashes(text: str, hashes: WordHashes) -> np.ndarray:
+    words = text.split(" ") if text else []
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, rows = [], []
-        for text in b.column("content").to_pylist():
-            words = np.fromiter(map(hashes.__getitem__, words_of(text)), np.uint32)
-            keys.append(xxhash.xxh3_128_digest(words.tobytes() if len(words) else b"\0" + text.strip().encode("utf-8", "replace")))
-            rows.append(words)
-        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-        flat = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int32)))], ["id", "key", "words"])
+        texts = [(" ".join(words_of(t)), t) for t in b.column("content").to_pylist()]
+        # A text without a single word is known by its signs.
+        keys = [xxhash.xxh3_128_digest(w.encode() if w else b"\0" + t.strip().encode("utf-8", "replace")) for w, t in texts]
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.binary()), pa.array([w for w, _ in texts], pa.string())], ["id", "key", "words"])
 
 
 def vectors(contents: DataFrame) -> DataFrame:
-    """id, key and words of every row of ``contents(id, content)`` whose content isn't null or blank."""
+    """id, key and folded words of every row of ``contents(id, content)`` whose content isn't null or blank."""
     some = contents.select(F.col("id").cast("long").alias("id"), "content").filter("id IS NOT NULL AND content IS NOT NULL AND trim(content) <> ''")
-    return some.mapInArrow(_vectors, "id long, key binary, words array<int>")
-
-
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    flat, ends = column.values.to_numpy(zero_copy_only=False).view(np.uint32), column.offsets.to_numpy()
-    return [flat[i:j] for i, j in zip(ends[:-1], ends[1:])]
-
-
-def coordinates(words: np.ndarray) -> np.ndarray:
-    """The coordinates of a text's sparse vector, which decide and are the cells: its word pairs, sorted."""
-    return np.unique((shingle_hashes(words, SHINGLE) >> np.uint64(32)).astype(np.uint32))
+    return some.mapInArrow(_texts, "id long, key binary, words string")
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << BUCKET_BITS, np.int64)
+    total, hashes = np.zeros(1 << BUCKET_BITS, np.int64), WordHashes()
     for b in batches:
-        prints = [coordinates(w) for w in _lists(b.column("words"))]
-        if prints:
-            total += np.bincount(np.concatenate(prints) >> (32 - BUCKET_BITS), minlength=1 << BUCKET_BITS)
-    used = np.flatnonzero(total >= 3)
+        found = [phrases(_hashes(t, hashes))[0] for t in b.column("words").to_pylist()]
+        if found:
+            total += np.bincount((np.concatenate(found) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
+    used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "n"])
 
 
-def rarity(spark: SparkSession, firsts: DataFrame) -> np.ndarray:
-    """Roughly how often the coordinates of each of 2**18 buckets occur: what orders the cells.
+def rarity(texts: DataFrame) -> np.ndarray:
+    """Bits of rarity, 1 to 18, of the coordinates of each of 2**18 buckets, counted over all of ``texts(words)``.
 
-    At most 2**18 rows reach the driver, whatever the input.  Any order gives the
-    same matches; this one keeps the cells that are probed small.
+    At most 2**18 rows reach the driver, whatever the input.
     """
-    rows = firsts.mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    order = np.zeros(1 << BUCKET_BITS, np.int64)
-    order[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return np.minimum(order, 2**31 - 1).astype(np.int32)
+    rows = texts.mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(1 << BUCKET_BITS, np.int64)
+    n[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return np.clip(np.round(np.log2(max(1, n.sum()) / np.maximum(n, 1))), 1, BUCKET_BITS).astype(np.uint8)
+
+
+def weighted(words: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's coordinates, rarest first, and their weights."""
+    found, sizes = phrases(words)
+    rare = bits[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.int64)
+    order = np.lexsort((found, -rare))
+    return found[order], (sizes * rare)[order]
+
+
+def pairs_of_words(words: np.ndarray) -> np.ndarray:
+    return np.unique(shingle_hashes(words, PAIR))
+
+
+def reach(weights: np.ndarray) -> int:
+    """How many cells a vector is entered in: until less than ``NEAR`` of its weight is left."""
+    left = weights.sum() - np.cumsum(weights)
+    return min(len(weights), int((left >= NEAR * weights.sum()).sum()) + 1)
 
 
-def reach(n: int) -> tuple[int, int]:
-    """How many cells a vector of ``n`` coordinates probes, and in how many it is entered."""
-    probe = n - math.ceil(NEAR * n - 1e-9) + COMMON
-    entry = n - math.ceil(2 * NEAR / (1 + NEAR) * n - 1e-9) + COMMON
-    return min(n, probe), min(n, entry)
+_CELL = ["cell", "id", "size", "left", "pairs", "sign_0", "sign_1"]
+_CELL_SCHEMA = "cell long, id long, size int, left int, pairs int, sign_0 long, sign_1 long"
 
 
-def cells(firsts: DataFrame, order: np.ndarray) -> DataFrame:
-    """cell, id, size, pos (from 0, rarest first) and entered of every cell the rows of ``firsts(id, words)`` probe."""
-    shared = firsts.sparkSession.sparkContext.broadcast(order)  # 2**18 numbers
+def cells(firsts: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The cells of ``firsts(id, words)``: size is the whole weight, left what is left from this cell on, pairs the
+    number of word pairs and sign_0, sign_1 a 128-bit image of them, of which each missing bit is a missing pair."""
+    shared = firsts.sparkSession.sparkContext.broadcast(bits)  # 2**18 bytes
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i, words in zip(b.column("id").to_numpy(), _lists(b.column("words"))):
-                prints = coordinates(words)
-                n = len(prints)
-                probe, entry = reach(n)
-                rare = prints[np.lexsort((prints, shared.value[prints >> (32 - BUCKET_BITS)]))[:probe]]
-                for column, values in zip(out, (rare, np.full(probe, i), np.full(probe, n, np.int32), np.arange(probe, dtype=np.int32), np.arange(probe) < entry)):
-                    column.append(values)
-            if out[0]:
-                c, i, n, p, e = map(np.concatenate, out)
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint32).view(np.int32)), pa.array(i.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(p), pa.array(e)], ["cell", "id", "size", "pos", "entered"])
-
-    return firsts.select("id", "words").mapInArrow(spread, "cell int, id long, size int, pos int, entered boolean")
-
-
-def _similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of the sets of word pairs."""
-    x, y = coordinates(a), coordinates(b)
+            parts, repeat, each = [], [], []
+            for text in b.column("words").to_pylist():
+                words = _hashes(text, hashes)
+                found, weights = weighted(words, shared.value)
+                n, whole = reach(weights), int(weights.sum())
+                pairs = pairs_of_words(words)
+                spots = np.unique(pairs >> np.uint64(57))
+                signs = [int(np.bitwise_or.reduce(np.uint64(1) << (s & np.uint64(63)))) if len(s) else 0 for s in (spots[spots < 64], spots[spots >= 64])]
+                parts.append((found[:n], whole - np.concatenate([[0], np.cumsum(weights)[: n - 1]]) if n else np.empty(0)))
+                repeat.append(n)
+                each.append((whole, len(pairs), *signs))
+            if parts:
+                rows = np.repeat(np.arange(len(parts)), repeat)
+                whole, pairs, s0, s1 = (np.array(x, np.uint64)[rows] for x in zip(*each))
+                out = [np.concatenate([c for c, _ in parts]).astype(np.uint64).view(np.int64), b.column("id").to_numpy()[rows], whole.astype(np.int32), np.concatenate([x for _, x in parts]).astype(np.int32), pairs.astype(np.int32), s0.view(np.int64), s1.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], _CELL)
+
+    return firsts.select("id", "words").mapInArrow(spread, _CELL_SCHEMA)
+
+
+def _may_match() -> Column:
+    """Whether y, earlier, can still be what x is a copy of, given that no earlier cell of theirs is common."""
+    both = F.col("x.size") + F.col("y.size")
+    missing = lambda p, q: sum((F.bit_count(F.col(f"{p}.sign_{k}").bitwiseAND(F.bitwise_not(f"{q}.sign_{k}"))) for k in (0, 1)), F.lit(0))
+    wanted = F.lit(SAME / (1 + SAME)) * (F.col("x.pairs") + F.col("y.pairs")) - F.lit(1e-6)
+    return (
+        (F.col("y.id") < F.col("x.limit"))
+        & (F.least("x.left", "y.left") >= F.lit(NEAR / (1 + NEAR)) * both - F.lit(1e-6))
+        & (F.col("x.pairs") - missing("x", "y") >= wanted)
+        & (F.col("y.pairs") - missing("y", "x") >= wanted)
+    )
+
+
+def _similar(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+    x, y = pairs_of_words(a), pairs_of_words(b)
     common = len(np.intersect1d(x, y, assume_unique=True))
-    return common / max(1, len(x) + len(y) - common)
+    if common < SAME * (len(x) + len(y) - common) or not common:
+        return False
+    (x, v), (y, w) = weighted(a, bits), weighted(b, bits)
+    _, at, _ = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    common = v[at].sum()
+    return common >= NEAR * (v.sum() + w.sum() - common)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        score = [_similarity(x, y) for x, y in zip(_lists(b.column("words_a")), _lists(b.column("words_b")))]
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(score, pa.float64())], ["a", "b", "similarity"])
+def matches(candidates: DataFrame, full: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The candidate pairs ``(a, b)``, b earlier, whose full texts are copies."""
+    shared = candidates.sparkSession.sparkContext.broadcast(bits)
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            keep = pa.array([_similar(shared.value, _hashes(x, hashes), _hashes(y, hashes)) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
-def _may_match() -> Column:
-    """The conditions under which y, entered, can be similar to x, probing: not longer, not too short, one of them new."""
-    longer = (F.col("y.size") < F.col("x.size")) | ((F.col("y.size") == F.col("x.size")) & (F.col("y.id") < F.col("x.id")))
-    return F.col("y.entered") & longer & (F.col("y.size") >= F.col("x.size") * F.lit(NEAR)) & (F.col("x.fresh") | F.col("y.fresh"))
+    x, y = full.select(F.col("id").alias("a"), F.col("words").alias("x")), full.select(F.col("id").alias("b"), F.col("words").alias("y"))
+    return candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _calm_pairs(sized: DataFrame) -> DataFrame:
-    """Pairs a, b that share enough cells of ordinary size."""
-    calm = sized.filter(F.col("n") <= CROWDED)
-    wanted = lambda both: F.ceil(F.lit(NEAR / (1 + NEAR)) * both - F.lit(1e-9))
-    # The k-th common cell of a similar pair has all but k - 1 of the wanted ones still to come.
-    early = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos")) > wanted(F.col("x.size") + F.col("y.size")) - COMMON
-    met = calm.alias("x").join(calm.alias("y"), (F.col("x.cell") == F.col("y.cell")) & _may_match() & early)
-    need = F.least(F.lit(COMMON), wanted(F.col("both")))
-    pairs = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("shared"), F.first(F.col("x.size") + F.col("y.size")).alias("both"))
-    return pairs.filter(F.col("shared") >= need).select("a", "b")
+def _met(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+    joined = x.alias("x").join(y.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on] + [_may_match()])
+    return joined.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def _crowded_links(crowded: DataFrame, full: DataFrame) -> DataFrame:
-    """Links between the texts of crowded cells, without forming all pairs of a cell.
+def parents(fresh: DataFrame, all_cells: DataFrame, full: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(a, b): every text of the ``fresh`` cells that is a copy, and the earliest text it is a copy of.
 
-    First every text meets only the earliest one of its cell, which joins a large
-    group of near copies at linear cost.  Then texts of one cell meet only where
-    they still are in different classes.
+    In a crowded cell every text first meets the earliest one, which settles a
+    large group of near copies at linear cost; then it meets only what is
+    earlier than the match it has, the cell cut into parts by id.
     """
-    first = crowded.groupBy("cell").agg(F.min("id").alias("pivot"))
-    stars = crowded.join(first, "cell").filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    star = written(links(stars, full), "links")
-    parts = connected_components(star.select("a", "b"))
-    classed = written(crowded.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component"), "crowded")
-    kinds = classed.select("cell", "class").distinct()
-    meeting = kinds.select("cell", F.col("class").alias("class_x")).join(kinds.select("cell", F.col("class").alias("class_y")), "cell").filter("class_x <> class_y")
-    x = meeting.alias("m").join(classed.alias("x"), (F.col("m.cell") == F.col("x.cell")) & (F.col("m.class_x") == F.col("x.class")))
-    met = x.join(classed.alias("y"), (F.col("m.cell") == F.col("y.cell")) & (F.col("m.class_y") == F.col("y.class")) & _may_match())
-    cross = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return star.unionByName(links(cross, full))
-
-
-def links(candidates: DataFrame, full: DataFrame) -> DataFrame:
-    """The candidate pairs whose full vectors are similar: a, b, similarity."""
-    a = full.select(F.col("id").alias("a"), F.col("words").alias("words_a"))
-    b = full.select(F.col("id").alias("b"), F.col("words").alias("words_b"))
-    joined = candidates.join(a, "a").join(b, "b").select("a", "b", "words_a", "words_b")
-    return joined.mapInArrow(_compare, "a long, b long, similarity double").filter(F.col("similarity") >= SAME)
+    sizes = written(all_cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1"), "cell-sizes")
+    asking = fresh.withColumn("limit", F.col("id"))
+    busy = written(sizes.filter(F.col("n") > CROWDED), "cell-sizes")
+    crowded = not busy.isEmpty()
+    if not crowded:
+        return matches(_met(asking, all_cells, ["cell"]), full, bits).groupBy("a").agg(F.min("b").alias("b"))
+    hot = lambda df, how: df.join(busy.select("cell"), "cell", how)
+    calm = _met(hot(asking, "left_anti"), hot(all_cells, "left_anti"), ["cell"])
+    crowd = written(all_cells.join(busy, "cell"), "crowded")
+    mine = asking.join(busy, "cell")
+    stars = _met(mine, crowd.filter("id = pivot"), ["cell"])
+    first = written(matches(calm.unionByName(stars).distinct(), full, bits).groupBy("a").agg(F.min("b").alias("b")), "first-matches")
+    parts = F.ceil(F.col("n") / CROWDED).cast("int")
+    left = mine.drop("limit").join(first.select(F.col("a").alias("id"), F.col("b").alias("limit")), "id", "left").withColumn("limit", F.coalesce("limit", "id"))
+    left = left.filter(F.col("limit") > F.col("pivot")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    right = crowd.filter("id <> pivot").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    more = matches(_met(left, right, ["cell", "part"]), full, bits)
+    return first.unionByName(more).groupBy("a").agg(F.min("b").alias("b"))
+
+
+def roots(lines: DataFrame) -> DataFrame:
+    """``(a, b)`` with b the end of the line of parents ``(a, b)``, b < a, one row per a."""
+    now = written(lines, "parents")
+    while True:
+        upper = now.select(F.col("a").alias("u"), F.col("b").alias("top"))
+        joined = written(now.join(upper, F.col("b") == F.col("u"), "left").select("a", F.coalesce("top", "b").alias("b"), F.col("u").isNotNull().alias("moved")), "parents")
+        now = joined.select("a", "b")
+        if joined.filter("moved").isEmpty():
+            return now
 
 
 class History:
-    """The persisted index of everything accepted so far, below ``folder``.
+    """The persisted index of everything accepted so far, below ``folder``; opening an existing folder goes on with it.
 
-    Each ``admit`` reads the stored cells and vectors, never the texts behind
-    them, and appends the batch's own.
+    Each ``admit`` reads the stored keys and cells, and full texts only to compare
+    what met; it appends the batch's own.  The rarities are fixed when the index is
+    made.  A batch counts once its ``done`` mark is written; the rest of a broken
+    one is overwritten by the next.  One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self.batches: list[str] = []
-        self.order: np.ndarray | None = None
+        self.batches = [f"{folder}/batch-{k:05d}" for k in range(self._committed())]
+        self.bits: np.ndarray | None = None
+        if self._exists(f"{folder}/rarity/_SUCCESS"):
+            rows = spark.read.parquet(f"{folder}/rarity").first()
+            self.bits = np.frombuffer(bytes(rows["bits"]), np.uint8)
+
+    def _exists(self, path: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+    def _committed(self) -> int:
+        k = 0
+        while self._exists(f"{self.folder}/batch-{k:05d}/done/_SUCCESS"):
+            k += 1
+        return k
 
     def _stored(self, name: str) -> DataFrame | None:
         paths = [f"{b}/{name}" for b in self.batches]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def fit(self, texts: DataFrame) -> None:
+        """Fix the rarities by all of ``texts(words)``; only a new index can be fitted."""
+        if self.bits is not None:
+            raise ValueError("the rarities of this index are fixed")
+        self.bits = rarity(texts)
+        self.spark.createDataFrame([(bytearray(self.bits.tobytes()),)], "bits binary").write.mode("overwrite").parquet(f"{self.folder}/rarity")
+
     def admit(self, contents: DataFrame, repeated_ids: bool = True) -> DataFrame:
         """Check ``contents(id, content)`` and append it; returns id, class_id of its rows.
 
@@ -197,49 +254,40 @@ class History:
         batch.  Null and blank contents and null ids give no row; of repeated ids
         the smallest content counts (``repeated_ids=False`` says there are none).
         """
-        at = f"{self.folder}/batch-{len(self.batches):05d}"
         if repeated_ids:
             contents = contents.groupBy("id").agg(F.min("content").alias("content"))
-        vectors(contents).write.parquet(f"{at}/vectors")
-        fresh = self.spark.read.parquet(f"{at}/vectors")
+        return self.admit_texts(vectors(contents))
+
+    def admit_texts(self, texts: DataFrame) -> DataFrame:
+        """As ``admit``, of texts as ``vectors`` gives them, one row per id."""
+        at = f"{self.folder}/batch-{len(self.batches):05d}"
+        keep = lambda df, name: (df.write.mode("overwrite").parquet(f"{at}/{name}"), self.spark.read.parquet(f"{at}/{name}"))[1]
+        fresh = keep(texts.select("id", "key"), "rows")
+        if self.bits is None:
+            self.fit(texts)
         groups = fresh.groupBy("key").agg(F.min("id").alias("id"))
-        old_keys = self._stored("keys")
+        old_keys, old_cells = self._stored("keys"), self._stored("cells")
+        known = None
         if old_keys is not None:
-            known = groups.join(old_keys.select("key", F.col("id").alias("old_id")), "key", "left")
-            groups = known.select("key", "id", F.col("old_id"))
-            new_groups = groups.filter("old_id IS NULL").select("key", "id")
-        else:
-            new_groups = groups
-            groups = groups.withColumn("old_id", F.lit(None).cast("long"))
-        new_groups.write.parquet(f"{at}/keys")
-        firsts = fresh.select("id", "words").join(self.spark.read.parquet(f"{at}/keys").select("id"), "id", "left_semi")
-        if self.order is None:
-            self.order = rarity(self.spark, fresh)
-        cells(firsts, self.order).write.parquet(f"{at}/cells")
-        entries = self.spark.read.parquet(f"{at}/cells").withColumn("fresh", F.lit(True))
-        full = fresh
-        old_cells = self._stored("cells")
+            known = groups.select("key").join(old_keys.select("key", "class_id"), "key")
+            groups = groups.join(old_keys.select("key"), "key", "left_anti")
+        groups = written(groups, "groups")
+        own = keep(texts.select("id", "words").join(groups.select("id"), "id", "left_semi"), "texts")
+        mine = keep(cells(own, self.bits), "cells")
+        everything, full = mine, own
         if old_cells is not None:
-            probed = entries.select("cell").distinct()
-            entries = entries.unionByName(old_cells.join(probed, "cell", "left_semi").withColumn("fresh", F.lit(False)))
-            full = fresh.unionByName(self._stored("vectors"))
-        full = full.select("id", "words")
-        sized = entries.withColumn("n", F.count("*").over(Window.partitionBy("cell")))
-        found = written(links(_calm_pairs(sized), full), "links")
-        crowded = written(sized.filter(F.col("n") > CROWDED), "crowded")
-        if not crowded.isEmpty():
-            found = found.unionByName(written(_crowded_links(crowded, full), "links"))
-        old = self._stored("classes")
-        edges = found.select("a", "b")
-        if old is not None:
-            # A matched text of an earlier batch stands for its class.
-            edges = edges.join(old.select(F.col("id").alias("a"), F.col("class_id").alias("class_a")), "a", "left").join(old.select(F.col("id").alias("b"), F.col("class_id").alias("class_b")), "b", "left")
-            edges = edges.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b"))
-        parts = connected_components(edges)
-        heads = groups.select("key", F.coalesce("old_id", "id").alias("head"))
-        if old is not None:
-            heads = heads.join(old.select(F.col("id").alias("head"), F.col("class_id").alias("old_class")), "head", "left").select("key", F.coalesce("old_class", "head").alias("head"))
-        heads = heads.join(parts.withColumnRenamed("node", "head"), "head", "left").select("key", F.coalesce("component", "head").alias("class_id"))
-        fresh.select("id", "key").join(heads, "key").select("id", "class_id").distinct().write.parquet(f"{at}/classes")
+            probed = written(mine.select("cell").distinct(), "probed")
+            near = F.broadcast(probed) if probed.count() <= FEW_CELLS else probed
+            everything, full = mine.unionByName(old_cells.join(near, "cell", "left_semi")), own.unionByName(self._stored("texts"))
+        lines = written(parents(mine, everything, full, self.bits), "parents")
+        ends = roots(lines)
+        if old_keys is not None:
+            # The end of a line may be an old copy, which stands for its class.
+            ends = ends.join(old_keys.select(F.col("id").alias("b"), "class_id"), "b", "left").select("a", F.coalesce("class_id", "b").alias("b"))
+        classed = keep(groups.join(ends.select(F.col("a").alias("id"), F.col("b").alias("class_id")), "id", "left").select("key", "id", F.coalesce("class_id", "id").alias("class_id")), "keys")
+        heads = classed.select("key", "class_id")
+        heads = heads if known is None else heads.unionByName(known)
+        out = keep(fresh.join(heads, "key").select("id", "class_id"), "classes")
+        self.spark.range(1).write.mode("overwrite").parquet(f"{at}/done")
         self.batches.append(at)
-        return self.spark.read.parquet(f"{at}/classes")
+        return out

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.history import History
-from lodestrata.tables import scratch_path, table
+from lodestrata.llm.history import History, vectors
+from lodestrata.tables import scratch_path, table, written
 
 
 def live_contents(spark: SparkSession, root: str) -> DataFrame:
@@ -15,7 +15,16 @@ def live_contents(spark: SparkSession, root: str) -> DataFrame:
 
 
 def classes(spark: SparkSession, root: str) -> DataFrame:
-    return History(spark, scratch_path(spark, "history")).admit(live_contents(spark, root), repeated_ids=False)
+    """id and class_id of every live row, the first half of the runs admitted first, the other half against it."""
+    live = live_contents(spark, root)
+    middle = live.agg(F.percentile_approx("run_id", 0.5).alias("m")).first()["m"]
+    border = live.filter(F.col("run_id") > F.lit(middle)).agg(F.min("id").alias("b")).first()["b"]
+    texts = written(vectors(live), "history-texts")
+    index = History(spark, scratch_path(spark, "history"))
+    index.fit(texts)
+    parts = [texts] if border is None else [texts.filter(F.col("id") < border), texts.filter(F.col("id") >= border)]
+    done = [index.admit_texts(p) for p in parts]
+    return done[0] if len(done) == 1 else done[0].unionByName(done[1])
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:

@@ -9,8 +9,8 @@ import unicodedata
 import numpy as np
 import xxhash
 
-_HEADER = re.compile(r"\[hm [^\]]{0,200}\]", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+_HEADER = re.compile(r"\[hm [^\]\[]*\]", re.I)
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -32,7 +32,7 @@ def words_of(text: str) -> list[str]:
 
 
 class WordHashes(dict):
-    """32-bit hash by word, kept while a task runs; emptied at ``most`` words."""
+    """64-bit hash by word, kept while a task runs; emptied at ``most`` words."""
 
     def __init__(self, most: int = 500_000):
         super().__init__()
@@ -41,7 +41,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        value = self[word] = xxhash.xxh32_intdigest(word)
+        value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
@@ -50,7 +50,7 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     if not len(words):
         return np.empty(0, np.uint64)
     n = min(n, len(words))
-    wide = words.astype(np.uint64)
+    wide = words.astype(np.uint64, copy=False)
     h = np.zeros(len(wide) - n + 1, np.uint64)
     for j in range(n):
         h = (h ^ wide[j : len(wide) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
@@ -58,11 +58,27 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def winnowed(words: np.ndarray, n: int, window: int) -> np.ndarray:
-    """Sorted 32-bit fingerprints: of every ``window`` runs of ``n`` words the smallest hash."""
-    h = shingle_hashes(words, n)
-    if len(h) > window:
-        h = np.lib.stride_tricks.sliding_window_view(h, window).min(axis=1)
-    elif len(h):
-        h = h.min(keepdims=True)
-    return np.unique((h >> np.uint64(32)).astype(np.uint32))
+def phrases(words: np.ndarray, every: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct phrases of a text as sorted 64-bit hashes, and how many words each has.
+
+    A phrase ends where the hash of a word and the next one says so, once in
+    ``every`` places, so an edit changes the phrases around it only.
+    """
+    n = len(words)
+    if not n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    h = (words[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ words[1:]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    ends = np.append(np.flatnonzero((h >> np.uint64(33)) % np.uint64(every) == 0) + 1, n)
+    sizes = np.diff(ends, prepend=0)
+    starts = ends - sizes
+    place = (np.arange(n) - np.repeat(starts, sizes)).astype(np.uint64)
+    z = (words + place * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+    z ^= z >> np.uint64(31)
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(29)
+    total = np.add.reduceat(z, starts) * np.uint64(0x9E3779B97F4A7C15)
+    total ^= total >> np.uint64(32)
+    found, at = np.unique(total, return_index=True)
+    return found, sizes[at].astype(np.int64)
