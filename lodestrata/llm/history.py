@@ -25,10 +25,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.textkeys import WordHashes, phrases, shingle_hashes, words_of
+from lodestrata.llm.textkeys import WordHashes, distinct, mixed, phrases, words_of
 from lodestrata.tables import written
 
-PAIR, SAME, NEAR = 2, 0.6, 0.3
+SAME, NEAR = 0.6, 0.3
 BUCKET_BITS = 18
 #: Cells with more texts are joined pivot first and in parts: another plan, the same matches.
 CROWDED = 256
@@ -36,9 +36,11 @@ CROWDED = 256
 FEW_CELLS = 1_000_000
 
 
-def _hashes(text: str, hashes: WordHashes) -> np.ndarray:
-    words = text.split(" ") if text else []
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+def _hashes(texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of all texts on end, and how many each text has."""
+    words = [t.split(" ") if t else [] for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    return np.fromiter((hashes[w] for ws in words for w in ws), np.uint64, int(sizes.sum())), sizes
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,12 +57,15 @@ def vectors(contents: DataFrame) -> DataFrame:
     return some.mapInArrow(_texts, "id long, key binary, words string")
 
 
+def _bucket(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, hashes = np.zeros(1 << BUCKET_BITS, np.int64), WordHashes()
     for b in batches:
-        found = [phrases(_hashes(t, hashes))[0] for t in b.column("words").to_pylist()]
-        if found:
-            total += np.bincount((np.concatenate(found) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
+        _, found, _ = phrases(*_hashes(b.column("words").to_pylist(), hashes))
+        total += np.bincount(_bucket(found), minlength=len(total))
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "n"])
 
@@ -76,28 +81,47 @@ def rarity(texts: DataFrame) -> np.ndarray:
     return np.clip(np.round(np.log2(max(1, n.sum()) / np.maximum(n, 1))), 1, BUCKET_BITS).astype(np.uint8)
 
 
-def weighted(words: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A text's coordinates, rarest first, and their weights."""
-    found, sizes = phrases(words)
-    rare = bits[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.int64)
-    order = np.lexsort((found, -rare))
-    return found[order], (sizes * rare)[order]
-
+def weighted(words: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The coordinates of some texts, rarest first: row, coordinate, weight."""
+    row, found, long = phrases(words, sizes)
+    rare = bits[_bucket(found)].astype(np.int64)
+    order = np.lexsort((found, -rare, row))
+    return row[order], found[order], (long * rare)[order]
 
-def pairs_of_words(words: np.ndarray) -> np.ndarray:
-    return np.unique(shingle_hashes(words, PAIR))
 
-
-def reach(weights: np.ndarray) -> int:
-    """How many cells a vector is entered in: until less than ``NEAR`` of its weight is left."""
-    left = weights.sum() - np.cumsum(weights)
-    return min(len(weights), int((left >= NEAR * weights.sum()).sum()) + 1)
+def left_from(row: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The whole weight of each of ``n`` rows, and of each coordinate what is left from it on."""
+    whole = np.bincount(row, weights, n).astype(np.int64)
+    before = np.cumsum(weights) - weights
+    starts = np.cumsum(whole) - whole
+    return whole, whole[row] - (before - starts[row])
 
 
 _CELL = ["cell", "id", "size", "left", "pairs", "sign_0", "sign_1"]
 _CELL_SCHEMA = "cell long, id long, size int, left int, pairs int, sign_0 long, sign_1 long"
 
 
+def _images(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Per text the number of its word pairs and a 128-bit image of them; a single word counts as a pair."""
+    n, row = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.append(row[:-1] == row[1:], False) if len(row) else np.empty(0, bool)
+    inside |= sizes[row] == 1
+    pairs = mixed(words, np.append(words[1:], np.uint64(0)))[inside] if len(row) else words
+    alone = sizes[row][inside] == 1
+    pairs[alone] = words[inside][alone]
+    at = distinct(row[inside], pairs)
+    row, pairs = row[inside][at], pairs[at]
+    signs, spot = [], pairs >> np.uint64(57)
+    for k in (0, 1):
+        bit = np.where(spot >> np.uint64(6) == k, np.uint64(1) << (spot & np.uint64(63)), np.uint64(0))
+        sign = np.zeros(n, np.uint64)
+        if len(row):
+            starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            sign[row[starts]] = np.bitwise_or.reduceat(bit, starts)
+        signs.append(sign)
+    return np.bincount(row, minlength=n), signs
+
+
 def cells(firsts: DataFrame, bits: np.ndarray) -> DataFrame:
     """The cells of ``firsts(id, words)``: size is the whole weight, left what is left from this cell on, pairs the
     number of word pairs and sign_0, sign_1 a 128-bit image of them, of which each missing bit is a missing pair."""
@@ -106,48 +130,47 @@ def cells(firsts: DataFrame, bits: np.ndarray) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            parts, repeat, each = [], [], []
-            for text in b.column("words").to_pylist():
-                words = _hashes(text, hashes)
-                found, weights = weighted(words, shared.value)
-                n, whole = reach(weights), int(weights.sum())
-                pairs = pairs_of_words(words)
-                spots = np.unique(pairs >> np.uint64(57))
-                signs = [int(np.bitwise_or.reduce(np.uint64(1) << (s & np.uint64(63)))) if len(s) else 0 for s in (spots[spots < 64], spots[spots >= 64])]
-                parts.append((found[:n], whole - np.concatenate([[0], np.cumsum(weights)[: n - 1]]) if n else np.empty(0)))
-                repeat.append(n)
-                each.append((whole, len(pairs), *signs))
-            if parts:
-                rows = np.repeat(np.arange(len(parts)), repeat)
-                whole, pairs, s0, s1 = (np.array(x, np.uint64)[rows] for x in zip(*each))
-                out = [np.concatenate([c for c, _ in parts]).astype(np.uint64).view(np.int64), b.column("id").to_numpy()[rows], whole.astype(np.int32), np.concatenate([x for _, x in parts]).astype(np.int32), pairs.astype(np.int32), s0.view(np.int64), s1.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], _CELL)
+            words, sizes = _hashes(b.column("words").to_pylist(), hashes)
+            row, found, weights = weighted(words, sizes, shared.value)
+            whole, left = left_from(row, weights, len(sizes))
+            count, signs = _images(words, sizes)
+            keep = left >= NEAR * whole[row]
+            row = row[keep]
+            out = [found[keep].view(np.int64), b.column("id").to_numpy()[row], whole[row].astype(np.int32), left[keep].astype(np.int32), count[row].astype(np.int32), *(s[row].view(np.int64) for s in signs)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], _CELL)
 
     return firsts.select("id", "words").mapInArrow(spread, _CELL_SCHEMA)
 
 
-def _may_match() -> Column:
+def _may_match(limited: bool = False) -> Column:
     """Whether y, earlier, can still be what x is a copy of, given that no earlier cell of theirs is common."""
     both = F.col("x.size") + F.col("y.size")
     missing = lambda p, q: sum((F.bit_count(F.col(f"{p}.sign_{k}").bitwiseAND(F.bitwise_not(f"{q}.sign_{k}"))) for k in (0, 1)), F.lit(0))
     wanted = F.lit(SAME / (1 + SAME)) * (F.col("x.pairs") + F.col("y.pairs")) - F.lit(1e-6)
     return (
-        (F.col("y.id") < F.col("x.limit"))
+        (F.col("y.id") < (F.col("x.limit") if limited else F.col("x.id")))
         & (F.least("x.left", "y.left") >= F.lit(NEAR / (1 + NEAR)) * both - F.lit(1e-6))
         & (F.col("x.pairs") - missing("x", "y") >= wanted)
         & (F.col("y.pairs") - missing("y", "x") >= wanted)
     )
 
 
-def _similar(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
-    x, y = pairs_of_words(a), pairs_of_words(b)
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    if common < SAME * (len(x) + len(y) - common) or not common:
-        return False
-    (x, v), (y, w) = weighted(a, bits), weighted(b, bits)
-    _, at, _ = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    common = v[at].sum()
-    return common >= NEAR * (v.sum() + w.sum() - common)
+def word_pairs(text: str) -> set[tuple[str, ...]]:
+    words = text.split(" ")
+    return set(zip(words, words[1:])) if len(words) > 1 else {(words[0],)} if words[0] else set()
+
+
+def _similar(x: str, y: str) -> bool:
+    a, b = word_pairs(x), word_pairs(y)
+    common = len(a & b)
+    return bool(common) and common >= SAME * (len(a) + len(b) - common)
+
+
+def _near(x: str, y: str, bits: np.ndarray, hashes: WordHashes) -> bool:
+    row, found, weights = weighted(*_hashes([x, y], hashes), bits)
+    _, at, _ = np.intersect1d(found[row == 0], found[row == 1], assume_unique=True, return_indices=True)
+    common = weights[row == 0][at].sum()
+    return common >= NEAR * (weights.sum() - common)
 
 
 def matches(candidates: DataFrame, full: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -157,15 +180,15 @@ def matches(candidates: DataFrame, full: DataFrame, bits: np.ndarray) -> DataFra
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            keep = pa.array([_similar(shared.value, _hashes(x, hashes), _hashes(y, hashes)) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())], pa.bool_())
+            keep = pa.array([_similar(x, y) and _near(x, y, shared.value, hashes) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
     x, y = full.select(F.col("id").alias("a"), F.col("words").alias("x")), full.select(F.col("id").alias("b"), F.col("words").alias("y"))
     return candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _met(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
-    joined = x.alias("x").join(y.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on] + [_may_match()])
+def _met(x: DataFrame, y: DataFrame, on: list[str], limited: bool = False) -> DataFrame:
+    joined = x.alias("x").join(y.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on] + [_may_match(limited)])
     return joined.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
@@ -176,23 +199,22 @@ def parents(fresh: DataFrame, all_cells: DataFrame, full: DataFrame, bits: np.nd
     large group of near copies at linear cost; then it meets only what is
     earlier than the match it has, the cell cut into parts by id.
     """
-    sizes = written(all_cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1"), "cell-sizes")
-    asking = fresh.withColumn("limit", F.col("id"))
-    busy = written(sizes.filter(F.col("n") > CROWDED), "cell-sizes")
+    sizes = all_cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("id").alias("pivot"))
+    busy = written(sizes.filter(F.col("n") > CROWDED), "crowded-cells")
     crowded = not busy.isEmpty()
     if not crowded:
-        return matches(_met(asking, all_cells, ["cell"]), full, bits).groupBy("a").agg(F.min("b").alias("b"))
+        return matches(_met(fresh, all_cells, ["cell"]), full, bits).groupBy("a").agg(F.min("b").alias("b"))
     hot = lambda df, how: df.join(busy.select("cell"), "cell", how)
-    calm = _met(hot(asking, "left_anti"), hot(all_cells, "left_anti"), ["cell"])
+    calm = _met(hot(fresh, "left_anti"), hot(all_cells, "left_anti"), ["cell"])
     crowd = written(all_cells.join(busy, "cell"), "crowded")
-    mine = asking.join(busy, "cell")
+    mine = fresh.join(busy, "cell")
     stars = _met(mine, crowd.filter("id = pivot"), ["cell"])
     first = written(matches(calm.unionByName(stars).distinct(), full, bits).groupBy("a").agg(F.min("b").alias("b")), "first-matches")
     parts = F.ceil(F.col("n") / CROWDED).cast("int")
-    left = mine.drop("limit").join(first.select(F.col("a").alias("id"), F.col("b").alias("limit")), "id", "left").withColumn("limit", F.coalesce("limit", "id"))
+    left = mine.join(first.select(F.col("a").alias("id"), F.col("b").alias("limit")), "id", "left").withColumn("limit", F.coalesce("limit", "id"))
     left = left.filter(F.col("limit") > F.col("pivot")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     right = crowd.filter("id <> pivot").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    more = matches(_met(left, right, ["cell", "part"]), full, bits)
+    more = matches(_met(left, right, ["cell", "part"], limited=True), full, bits)
     return first.unionByName(more).groupBy("a").agg(F.min("b").alias("b"))
 
 
@@ -261,7 +283,7 @@ class History:
     def admit_texts(self, texts: DataFrame) -> DataFrame:
         """As ``admit``, of texts as ``vectors`` gives them, one row per id."""
         at = f"{self.folder}/batch-{len(self.batches):05d}"
-        keep = lambda df, name: (df.write.mode("overwrite").parquet(f"{at}/{name}"), self.spark.read.parquet(f"{at}/{name}"))[1]
+        keep = lambda df, name: (df.write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/{name}"), self.spark.read.parquet(f"{at}/{name}"))[1]
         fresh = keep(texts.select("id", "key"), "rows")
         if self.bits is None:
             self.fit(texts)

@@ -45,40 +45,43 @@ class WordHashes(dict):
         return value
 
 
-def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hashes of the runs of ``n`` words, in order; one for a shorter text, none for an empty one."""
-    if not len(words):
-        return np.empty(0, np.uint64)
-    n = min(n, len(words))
-    wide = words.astype(np.uint64, copy=False)
-    h = np.zeros(len(wide) - n + 1, np.uint64)
-    for j in range(n):
-        h = (h ^ wide[j : len(wide) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of hashes."""
+    h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ b
+    h ^= h >> np.uint64(29)
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def phrases(words: np.ndarray, every: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct phrases of a text as sorted 64-bit hashes, and how many words each has.
+def distinct(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Positions of one of each distinct (row, value), sorted by them."""
+    order = np.lexsort((values, rows))
+    r, v = rows[order], values[order]
+    return order[np.concatenate([[True], (r[1:] != r[:-1]) | (v[1:] != v[:-1])])] if len(order) else order
+
 
-    A phrase ends where the hash of a word and the next one says so, once in
+def phrases(words: np.ndarray, sizes: np.ndarray, every: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct phrases of some texts: row, 64-bit hash, number of words; sorted by row and hash.
+
+    ``words`` has the word hashes of all texts on end, ``sizes`` how many each text
+    has.  A phrase ends where the hash of a word and the next one says so, once in
     ``every`` places, so an edit changes the phrases around it only.
     """
     n = len(words)
     if not n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = (words[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ words[1:]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    ends = np.append(np.flatnonzero((h >> np.uint64(33)) % np.uint64(every) == 0) + 1, n)
-    sizes = np.diff(ends, prepend=0)
-    starts = ends - sizes
-    place = (np.arange(n) - np.repeat(starts, sizes)).astype(np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    last = np.zeros(n, bool)
+    last[np.cumsum(sizes)[sizes > 0] - 1] = True
+    last[:-1] |= (mixed(words[:-1], words[1:]) >> np.uint64(33)) % np.uint64(every) == 0
+    ends = np.flatnonzero(last) + 1
+    long = np.diff(ends, prepend=0)
+    starts = ends - long
+    place = (np.arange(n) - np.repeat(starts, long)).astype(np.uint64)
     z = (words + place * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
     z ^= z >> np.uint64(31)
     z *= np.uint64(0xBF58476D1CE4E5B9)
     z ^= z >> np.uint64(29)
     total = np.add.reduceat(z, starts) * np.uint64(0x9E3779B97F4A7C15)
     total ^= total >> np.uint64(32)
-    found, at = np.unique(total, return_index=True)
-    return found, sizes[at].astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)[starts]
+    at = distinct(row, total)
+    return row[at], total[at], long[at]

@@ -2,10 +2,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import history
-from lodestrata.llm.history import History, reach
-from lodestrata.llm.textkeys import shingle_hashes, winnowed, words_of
+from lodestrata.llm.history import History
+from lodestrata.llm.textkeys import phrases, words_of
 from lodestrata.operators.components import connected_components
 from lodestrata.tables import scratch_path
 
@@ -31,10 +32,9 @@ def corpus(seed=1, n=60):
 def brute(rows):
     seen, classes = [], {}
     for i, t in rows:
-        w = np.array([hash(x) & 0xFFFFFFFF for x in words_of(t)], np.uint32)
-        grams = set(shingle_hashes(w, 2).tolist())
-        match = [classes[j] for j, g in seen if len(g & grams) >= history.SAME * len(g | grams)]
-        classes[i] = min(match, default=i)
+        grams = history.word_pairs(" ".join(words_of(t))) or {t.strip()}
+        match = [j for j, g in seen if len(g & grams) >= history.SAME * len(g | grams)]
+        classes[i] = classes[match[0]] if match else i
         seen.append((i, grams))
     return classes
 
@@ -81,27 +81,66 @@ def test_defined_cases(spark):
     assert History(spark, scratch_path(spark, "t")).admit(empty).count() == 0
 
 
-@pytest.mark.parametrize("n", range(0, 60))
-def test_the_cells_reach_far_enough(n):
-    rng = np.random.default_rng(n)
-    for m in range(n, 2 * n + 1):
-        for _ in range(3):
-            common = rng.integers(0, n + 1)
-            if n and common >= history.NEAR * (n + m - common):
-                pool = rng.permutation(n + m)
-                x, y = np.sort(pool[:m]), np.sort(np.concatenate([rng.choice(pool[:m], common, False), pool[m : m + n - common]]))
-                wanted = int(np.ceil(history.NEAR / (1 + history.NEAR) * (n + m) - 1e-9))
-                met = set(x[: reach(m)[0]].tolist()) & set(y[: reach(n)[1]].tolist())
-                shared = sum(min(m - x.tolist().index(c), n - y.tolist().index(c)) > wanted - history.COMMON for c in met)
-                need = min(history.COMMON, wanted)
-                assert shared >= need
-
-
-def test_winnowing_keeps_a_print_of_every_window():
-    w = np.arange(100, dtype=np.uint32)
-    h = shingle_hashes(w, 5)
-    prints = set(winnowed(w, 5, 6).tolist())
-    assert all(any(int(x >> np.uint64(32)) in prints for x in h[i : i + 6]) for i in range(len(h) - 5))
+def test_an_index_is_opened_again(spark):
+    rows = corpus(3)
+    folder = scratch_path(spark, "t")
+    got = {}
+    for part in (rows[:40], rows[40:]):
+        index = History(spark, folder)
+        got |= {r.id: r.class_id for r in index.admit(spark.createDataFrame(part, "id long, content string")).collect()}
+    assert got == brute(rows)
+    assert len(History(spark, folder).batches) == 2
+
+
+def test_a_later_bridge_changes_no_earlier_class(spark):
+    rng = random.Random(8)
+    words = [f"{rng.choice(NOUNS)}{k}" for k in range(60)]
+    other = words[:30] + [f"new{k}" for k in range(30)]
+    bridge = words[:45] + [f"new{k}" for k in range(15, 30)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(bridge))]
+    got = {r.id: r.class_id for r in History(spark, scratch_path(spark, "t")).admit(spark.createDataFrame(rows, "id long, content string")).collect()}
+    assert got == brute(rows) and got[2] == 2
+
+
+def test_common_footers_bring_no_comparisons(spark):
+    rng = random.Random(9)
+    footer = " ".join(f"footer{k}" for k in range(60))
+    rows = [(i + 1, " ".join(f"{rng.choice(NOUNS)}{rng.randrange(5000)}" for _ in range(32)) + " " + footer) for i in range(1600)]
+    texts = history.vectors(spark.createDataFrame(rows, "id long, content string"))
+    cells = history.cells(texts, history.rarity(texts)).withColumn("limit", F.col("id"))
+    assert history._met(cells, cells, ["cell"]).count() < 50_000
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_copies_meet_in_a_cell(seed):
+    """What is near shares a cell of both, with enough weight left from its first one on."""
+    rng = np.random.default_rng(seed)
+    bits = rng.integers(1, 19, 1 << history.BUCKET_BITS).astype(np.uint8)
+    for n in range(1, 120):
+        a = rng.integers(0, 2**64, n, np.uint64)
+        b = a.copy()
+        b[rng.choice(n, rng.integers(0, 1 + n // 6), False)] = rng.integers(0, 2**64, dtype=np.uint64)
+        row, found, weights = history.weighted(np.concatenate([a, b]), np.array([n, n]), bits)
+        whole, left = history.left_from(row, weights, 2)
+        (x, v), (y, w) = ((found[row == k], weights[row == k]) for k in (0, 1))
+        shared = set(x.tolist()) & set(y.tolist())
+        common = sum(int(k) for c, k in zip(x.tolist(), v) if c in shared)
+        if not common or common < history.NEAR * (v.sum() + w.sum() - common):
+            continue
+        px, py = (found[(row == k) & (left >= history.NEAR * whole[row])].tolist() for k in (0, 1))
+        meet = [c for c in px if c in py]
+        assert meet
+        rest = min(v[px.index(meet[0]) :].sum(), w[py.index(meet[0]) :].sum())
+        assert rest >= history.NEAR / (1 + history.NEAR) * (v.sum() + w.sum()) - 1e-6
+
+
+def test_an_edit_changes_few_phrases():
+    w = np.random.default_rng(1).integers(0, 2**64, 600, np.uint64)
+    edited = w.copy()
+    edited[300] += np.uint64(1)
+    n = np.array([600])
+    a, b = phrases(w, n)[1], phrases(edited, n)[1]
+    assert len(np.setdiff1d(a, b)) <= 4 and phrases(w, n)[2].sum() <= 600
 
 
 def test_components(spark):
