@@ -103,20 +103,6 @@ def chunk_knn(spark, root):
     return op.first_per_frame(op.nearest(q, v, 25), chunks, 5)
 
 
-#: The second lane of the hybrid_* queries and of those made of them: frames by recency. The hybrid_search_* queries have the vector lane.
-_RECENT = "rl AS (SELECT qid, id, rank FROM (SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) - 1 AS rank FROM memory_frames QUALIFY rank < 40) JOIN q ON true)"
-_RRF = "f AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT qid, id, rank FROM kw UNION ALL SELECT qid, id, rank FROM rl) GROUP BY 1, 2)"
-
-
-def lanes(spark: SparkSession, root: str, corpus: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The keyword lane and a recency lane of forty frames."""
-    q = asked(spark, root)
-    kept = frames(spark, root) if corpus is None else corpus
-    keyword = op.bm25(q, kept.select("id", F.col("content").alias("text")), 40)
-    newest = kept.orderBy(F.desc("created_at"), F.desc("id")).limit(40)
-    return keyword, for_each(q, newest, F.desc("created_at"), F.desc("id"))
-
-
 def for_each(queries: DataFrame, few: DataFrame, *order) -> DataFrame:
     """qid, id and rank of the ``few`` rows (a limit's worth) for every query: one array, looked up once."""
     from pyspark.sql.window import Window
@@ -126,45 +112,20 @@ def for_each(queries: DataFrame, few: DataFrame, *order) -> DataFrame:
     return queries.withColumn("hit", F.explode(rows.scalar())).select("qid", "hit.id", "hit.rank")
 
 
-@query(f"{_KW}, {_RECENT}, {_RRF} SELECT qid, id, round(rrf, 6) AS rrf FROM f")
-def rrf_fusion(spark, root):
-    return op.fuse(*lanes(spark, root)).select("qid", "id", F.round("rrf", 6).alias("rrf"))
-
-
-def _hybrid_sql(profile: str, limit: int = 20) -> str:
-    t, p, c, i = fixed.PROFILES[profile]
-    weights = " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.IMPORTANCE_WEIGHTS.items())
-    return f"""{_KW}, {_RECENT}, {_RRF}, a AS (SELECT f.*, m.*, epoch_us(TIMESTAMP '{NOW}') - epoch_us(coalesce(m.created_at, m.last_accessed)) AS us FROM f JOIN (SELECT id AS mid, created_at, last_accessed, access_count, importance FROM memory_frames) m ON m.mid = f.id),
-    r AS (SELECT qid, id, rrf, {t} * (CASE WHEN us / 86400000000.0 <= 7 THEN 1.0 ELSE pow(0.5::DOUBLE, us / 86400000000.0 / 30) END) + {p} * (1 + 0.1 * log10(1 + coalesce(access_count, 0)))
-        + {c} * 0.0 + {i} * coalesce(CASE importance {weights} END, 1.0)::DOUBLE AS rel FROM a),
-    h AS (SELECT qid, id, round(rrf, 6) AS rrf, round(rel, 6)::DOUBLE AS relevance, round(rrf * rel, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(rrf * rel, 6) DESC, id) - 1 AS rank FROM r QUALIFY rank < {limit})"""
-
-
-def hybrid(spark, root, profile: str = "balanced", limit: int = 20) -> DataFrame:
-    return op.rescore(op.fuse(*lanes(spark, root)), frames(spark, root), NOW, profile, limit=limit)
-
-
-def _register(profile: str) -> None:
-    QUERIES[f"hybrid_{profile}"] = lambda spark, root: hybrid(spark, root, profile)
-    SQL[f"hybrid_{profile}"] = _hybrid_sql(profile) + " SELECT * FROM h"
-
-
-for _profile in fixed.PROFILES:
-    _register(_profile)
-
-
 def _vector(c: str) -> str:
     """The first sixteen bytes as byte_embedding gives them."""
     return f"list_transform(range(1, 17), lambda i: CASE WHEN i <= octet_length(encode({c})) THEN ((('0x' || substr(hex(encode({c})), 2 * i::INT - 1, 2))::INT - 128) / 128.0)::DOUBLE ELSE 0::DOUBLE END)"
 
 
-def _search_sql(profile: str, where: str = "true", limit: int = 20) -> str:
+def _hybrid_sql(profile: str, limit: int = 20, where: str = "true", depth: int | None = None) -> str:
+    """The tables of the hybrid search: kw and vl are its lanes, f what fusing them gives, h the result."""
+    depth = depth or 2 * limit
     t, p, c, i = fixed.PROFILES[profile]
     weights = " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.IMPORTANCE_WEIGHTS.items())
-    keyword = bm25_sql(f"SELECT id, content AS text FROM memory_frames WHERE {where}", 40).removeprefix("WITH ")
+    keyword = bm25_sql(f"SELECT id, content AS text FROM memory_frames WHERE {where}", depth).removeprefix("WITH ")
     return f"""WITH RECURSIVE {keyword}, {_R}, {_E}, mf AS (SELECT * FROM memory_frames WHERE {where}),
     ve AS (SELECT id, {_vector("content")} AS v FROM mf WHERE content IS NOT NULL), qe AS (SELECT qid, {_vector("text")} AS v FROM q),
-    vl AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(list_distance(qe.v, ve.v), 6), id) - 1 AS rank FROM qe JOIN ve ON true QUALIFY rank < 40),
+    vl AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(list_distance(qe.v, ve.v), 6), id) - 1 AS rank FROM qe JOIN ve ON true QUALIFY rank < {depth}),
     f AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT qid, id, rank FROM kw UNION ALL SELECT qid, id, rank FROM vl) GROUP BY 1, 2),
     ke AS (SELECT id, lower(name) AS name FROM (SELECT id, name FROM knowledge_entities WHERE valid_to IS NULL UNION ALL SELECT id, name FROM e) WHERE length(lower(name)) >= 3),
     sd AS (SELECT q.qid, ke.id AS seed, row_number() OVER (PARTITION BY q.qid ORDER BY length(ke.name) DESC, ke.id) AS k FROM q JOIN ke ON contains(lower(q.text), ke.name) QUALIFY k <= 12),
@@ -173,40 +134,40 @@ def _search_sql(profile: str, where: str = "true", limit: int = 20) -> str:
     br AS (SELECT DISTINCT hn.id, ke.id AS node FROM hn JOIN un USING (name) JOIN ke USING (name)), gd AS (SELECT sd.qid, br.id, min(distance) AS distance FROM sd JOIN b USING (seed) JOIN br USING (node) GROUP BY 1, 2),
     a AS (SELECT f.*, distance, access_count, importance, epoch_us(TIMESTAMP '{NOW}') - epoch_us(coalesce(m.created_at, m.last_accessed)) AS us FROM f JOIN mf m ON m.id = f.id LEFT JOIN gd ON gd.qid = f.qid AND gd.id = f.id),
     x AS (SELECT qid, id, rrf, {t} * (CASE WHEN us / 86400000000.0 <= 7 THEN 1.0 ELSE pow(0.5::DOUBLE, us / 86400000000.0 / 30) END) + {p} * (1 + 0.1 * log10(1 + coalesce(access_count, 0)))
-        + {c} * (CASE distance WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 WHEN 3 THEN 0.2 ELSE 0.0 END)::DOUBLE + {i} * coalesce(CASE importance {weights} END, 1.0)::DOUBLE AS rel FROM a)
-    SELECT qid, id, round(rrf, 6) AS rrf, round(rel, 6)::DOUBLE AS relevance, round(rrf * rel, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(rrf * rel, 6) DESC, id) - 1 AS rank FROM x QUALIFY rank < {limit}"""
+        + {c} * (CASE distance WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 WHEN 3 THEN 0.2 ELSE 0.0 END)::DOUBLE + {i} * coalesce(CASE importance {weights} END, 1.0)::DOUBLE AS rel FROM a),
+    h AS (SELECT qid, id, round(rrf, 6) AS rrf, round(rel, 6)::DOUBLE AS relevance, round(rrf * rel, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(rrf * rel, 6) DESC, id) - 1 AS rank FROM x QUALIFY rank < {limit})"""
 
 
-def hybrid_search(spark, root, profile: str = "balanced", kept: DataFrame | None = None) -> DataFrame:
-    """The survey's hybrid search: keyword and vector lanes per query, graph context over all entities there are."""
+def hybrid(spark, root, profile: str = "balanced", limit: int = 20, kept: DataFrame | None = None, depth: int | None = None) -> DataFrame:
+    """The hybrid search: keyword and vector lanes per query, graph context over all entities there are."""
     known = table(spark, root, "knowledge_entities")
     own = trade_entities(spark, root)
     entities = known.select(*own.columns).unionByName(own)
-    return op.hybrid(asked(spark, root), frames(spark, root) if kept is None else kept, NOW, byte_embedding(16), 16, entities, relations(spark, root), profile)
+    return op.hybrid(asked(spark, root), frames(spark, root) if kept is None else kept, NOW, byte_embedding(16), 16, entities, relations(spark, root), profile, limit, depth)
 
 
-def _register_search(profile: str) -> None:
-    QUERIES[f"hybrid_search_{profile}"] = lambda spark, root: hybrid_search(spark, root, profile)
-    SQL[f"hybrid_search_{profile}"] = _search_sql(profile)
+def _register(profile: str) -> None:
+    QUERIES[f"hybrid_{profile}"] = lambda spark, root: hybrid(spark, root, profile)
+    SQL[f"hybrid_{profile}"] = _hybrid_sql(profile) + " SELECT * FROM h"
 
 
 for _profile in fixed.PROFILES:
-    _register_search(_profile)
-
+    _register(_profile)
 
-@query(_search_sql("balanced", "created_at >= TIMESTAMP '2024-03-01' AND created_at < TIMESTAMP '2024-07-01'"))
-def hybrid_search_windowed(spark, root):
-    from lodestrata.operators.frames import within
 
-    return hybrid_search(spark, root, kept=within(frames(spark, root), "2024-03-01", "2024-06-30"))
+@query(_hybrid_sql("balanced") + " SELECT qid, id, round(rrf, 6) AS rrf FROM f")
+def rrf_fusion(spark, root):
+    """Both lanes fused, before scoring."""
+    q, corpus = asked(spark, root), memory(spark, root)
+    return op.fuse(op.bm25(q, corpus, 40), op.vector_lane(q, corpus, byte_embedding(16), 16, 40)).select("qid", "id", F.round("rrf", 6).alias("rrf"))
 
 
-@query(bm25_sql("SELECT id, content AS text FROM memory_frames WHERE created_at >= TIMESTAMP '2024-03-01' AND created_at < TIMESTAMP '2024-07-01'", 40) + " SELECT qid, id, score, rank FROM kw")
+@query(_hybrid_sql("balanced", where="created_at >= TIMESTAMP '2024-03-01' AND created_at < TIMESTAMP '2024-07-01'", depth=200) + " SELECT * FROM h")
 def hybrid_windowed(spark, root):
+    """With a window in time each lane brings ten times the limit."""
     from lodestrata.operators.frames import within
 
-    kept = within(frames(spark, root), "2024-03-01", "2024-06-30")
-    return op.bm25(asked(spark, root), kept.select("id", F.col("content").alias("text")), 40)
+    return hybrid(spark, root, kept=within(frames(spark, root), "2024-03-01", "2024-06-30"), depth=200)
 
 
 @query(_hybrid_sql("balanced") + " SELECT q.qid, max(score) AS best, coalesce(max(score) > 0.02, false) AS sufficient FROM q LEFT JOIN h USING (qid) GROUP BY 1")

@@ -31,4 +31,16 @@ def p1_status(spark: SparkSession, root: str) -> DataFrame:
     return resolved.groupBy("src_field", "status", "format").agg(F.count("*").alias("n"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_status": p1_status}
+def p1_fitted(spark: SparkSession, root: str) -> DataFrame:
+    """What the mixture decides if no source declares its order: per source how many values come out as with it, otherwise, or as ambiguous."""
+    values, sources = written_times(spark, root), table(spark, root, "harvest_sources")
+    tagged = values.withColumn("src_field", F.concat_ws("\u0000", "src_field", F.coalesce("source", F.lit("")))).distinct()
+    told = normalize_times(tagged, sources).select("src_field", "row_key", "value", F.col("utc_us").alias("told"))
+    fitted = normalize_times(tagged, sources.withColumn("date_order", F.lit(None).cast("string")))
+    both = told.join(fitted, ["src_field", "row_key", "value"]).withColumn("source", F.split_part("src_field", F.lit("\u0000"), F.lit(2)))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
+    right = F.col("told").isNotNull() & F.col("utc_us").eqNullSafe(F.col("told"))
+    return both.groupBy("source").agg(count(F.col("told").isNotNull())("n_known"), count(right)("n_equal"), count(F.col("utc_us").isNotNull() & ~right)("n_other"), count(F.col("status") == "ambiguous_order")("n_ambiguous"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_status": p1_status, "p1_fitted": p1_fitted}
