@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.names import NICKNAMES
+from lodestrata.llm.names import LEGAL, NICKNAMES, TRADES
 from lodestrata.llm.quality import COMMON
 
 TYPES = ("email", "phone", "id_number", "address", "name")
@@ -29,16 +30,24 @@ ID_CUES = """ssn|social security|national insurance|ni number|ni no|nino|passpor
 ausweisnummer|ausweisnr|personalausweis|ausweis-nr|steuer-id|steuer-identifikationsnummer|steueridentifikationsnummer|idnr|steuernummer|sozialversicherungsnummer|dni|nie|nif|documento nº|documento n.º|documento no|documento de identidad|
 numéro de sécurité sociale|sécurité sociale|nir|carte d'identité|carte d’identité|identity card|identity number|id card|tax id|taxpayer|número de identidad|seguridad social""".replace("\n", "").split("|")
 # What stands before numbers that identify no person.
-THING_CUES = ("checksum", "ticket", "part number", "part no", "build", "byte offset", "offset", "port", "invoice run", "trace", "commit", "order", "serial", "version", "release", "room", "slot", "sku", "isbn", "issue", "pr #", "job", "host", "prüfsumme", "hash")
-PHONE_CUES = ("tel", "tél", "phone", "call", "mobile", "text me", "reached under", "rückruf", "anruf", "appeler", "appelle", "llama", "móvil", "handy", "fax", "whatsapp", "portable", "ring me", "fon", "cell", "dial", "sms")
+THING_CUES = ("ticket", "build", "offset", "port", "trace", "commit", "order", "serial", "version", "release", "room", "slot", "sku", "isbn", "issue", "job", "host", "hash", "part", "run", "number", "no", "sum", "nummer", "numéro", "número")
+# What stands before telephone numbers.
+PHONE_CUES = ("tel", "tél", "phone", "call", "mobile", "text me", "reach", "rückruf", "anruf", "appel", "llama", "móvil", "handy", "fax", "whatsapp", "portable", "ring", "fon", "cell", "dial", "sms")
 # Kinds of streets.
 STREETS_EN = "street|st|avenue|ave|lane|ln|close|road|rd|blvd|boulevard|drive|dr|court|ct|place|square|terrace|crescent|way|gardens|grove|mews|parkway|highway"
 STREETS_FR = "rue|avenue|av|bd|boulevard|chemin|place|impasse|allée|allee|quai|cours|route|square|sentier|passage"
 STREETS_DE = "straße|strasse|str\\.|weg|gasse|platz|allee|ring|ufer|damm|tor|steig|pfad|hof|chaussee|markt"
 STREETS_ES = "calle|c/|avda|avd|avenida|plaza|pza|paseo|camino|ronda|carrer|travesía|glorieta|urbanización"
-# What introduces or follows a person whose given name isn't known.
-PERSON_BEFORE = ("according to", "spoke with", "owner of this task is", "cc", "hi", "hello", "dear", "thanks to", "name", "laut", "hallo", "liebe", "lieber", "según", "hola", "d'après", "d’après", "bonjour", "with", "by", "from", "von", "par", "por", "attn", "an")
-PERSON_AFTER = ("signed", "a signé", "firmó", "hat ", "nothing changed", "todo sigue igual", "rien ne change", "bleibt alles", "thanks for", "wrote", "said", "about the")
+# Words that persons stand behind: prepositions, greetings, verbs of dealing with somebody, and "is" of who somebody is.
+PERSON_BEFORE = tuple("""with by from to for of and or according per via thanks cc attn hi hello dear hey ask asked tell told met meet meeting saw see contact contacted call called email emailed ping pinged thank invite invited name named is
+mit von an bei für und oder laut danke hallo liebe lieber frag fragte traf sah kontakt ruf anruf name heißt ist
+avec par de à chez pour et ou selon après merci bonjour cher chère demande vu rencontré contacter appeler nom est
+con por para y o según gracias hola querido querida pregunta vio contactar llamar nombre es""".split())
+# What persons do; stands behind them.
+PERSON_AFTER = tuple("""said says wrote writes signed asked told called sent replied thinks wants works joined left agreed has is was will
+sagte schrieb unterschrieb fragte rief schickte meint hat ist war will
+dit écrit signé demandé appelé envoyé a est était veut
+dijo escribió firmó preguntó llamó envió ha es era quiere""".split())
 TITLES = "dr|mr|mrs|ms|prof|ing|herr|frau|mme|mlle|monsieur|madame|sr|sra|señor|señora|doña|dipl"
 
 _AMBIGUOUS = frozenset("will don dot may mark art pat sue bill max al ed em fi mo jo ant rich rick dan rob ray dick drew kit hank jack john tim dom ling wolf ring len red ned gail babs carrie".split())
@@ -55,6 +64,8 @@ _DIGITS = re.compile(r"(?<![\w.,@/#])(?:\(?\+ ?)?\(?\d[\d \t().\-/]{5,24}\d(?![\
 _GROUPS = re.compile(r"\d+")
 _ID_VALUE = re.compile(r"(?:\s*(?:number|nummer|numéro|número|no\.?|nr\.?|n[º°o]\.?|#|:|=|\.|is|ist|est|es|lautet|card|\(us\)|\"|'|’|“)){0,5}\s*([A-Za-z0-9](?:[ .\-/]?[A-Za-z0-9]){4,24})(?![A-Za-z0-9])", re.I)
 _NINO = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-Da-d](?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![\w/+=.-])[A-Za-z]{2}\d{2}(?:[ -]?[A-Za-z0-9]{4}){2,7}(?:[ -]?[A-Za-z0-9]{1,3})?(?![\w/+=])")
+_CARD = re.compile(r"(?<![\w.-])\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}(?![\w-])|(?<![\w.-])3\d{3}([ -])\d{6}\2\d{5}(?![\w-])")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _DNI = re.compile(r"(?<![\w-])(\d{8})[\s-]?([A-Za-z])(?![\w])")
 _WORDS_EN = r"(?:(?:North|South|East|West|N|S|E|W|Old|New|Upper|Lower|St)\.?\s+)?[^\W\d_][^\W\d_'’-]+(?:\s[^\W\d_]{3,})?"
@@ -66,6 +77,11 @@ _ADDRESS = (
 )
 _TITLED = re.compile(rf"(?<![\w.])(?:{TITLES})\b\.?\s+(?:(?:{TITLES})\b\.?\s+){{0,3}}(?P<who>[^\W\d_][^\W\d_'’-]{{2,}}(?:\s[^\W\d_][^\W\d_'’-]{{2,}})?)", re.I)
 _INITIAL = re.compile(r"(?<![\w.@&'’-])(?P<letter>[^\W\d_])\.\s?(?:[^\W\d_]\.\s?)?(?P<who>[^\W\d_][^\W\d_'’-]{2,})(?![\w@])")
+_PARTICLE = r"(?:(?:de|del|della|di|da|van|von|der|den|bin|al|el|la|le|ter) )"
+_SHAPED = re.compile(rf"([^\W\d_][^\W\d_'’-]+) (?:[^\W\d_]\. )?{_PARTICLE}{{0,2}}([^\W\d_][^\W\d_'’-]+)(?![\w@])")
+_MORE = re.compile(r" ?(?:,|&|and|or|und|oder|et|ou|y|o) ")
+_WORD_BEHIND = re.compile(r"[\s,*_`\"“”]*([^\W\d_]+)")
+_WORD_AHEAD = re.compile(r"([^\W\d_’']+)[\s:,*_`\"“„]*$")
 _NEXT = re.compile(r"[\s*_`]{1,3}(?:[\"“„«(][^\W\d_]+[\"”“»)]\s+)?(?:[^\W\d_]\.\s?)?([^\W\d_][^\W\d_'’-]{2,})(?![\w@])")
 _BEFORE = re.compile(r"(?<![\w@.])([^\W\d_][^\W\d_'’-]{2,})(,?)[\s*_`]{1,3}$")
 
@@ -75,6 +91,15 @@ yesterday today tomorrow thanks danke merci gracias hello hallo bonjour hola dea
 spoke owner task according nothing laut según tel tél call text new copy send replies merci bitte escribe rappel""".split())
 
 
+_THING_SET = frozenset(THING_CUES)
+_BEFORE_SET, _AFTER_SET = frozenset(PERSON_BEFORE), frozenset(PERSON_AFTER)
+# What names that aren't a person's are made of, besides words for firms.
+_THINGS = frozenset("""project team theme group release channel branch server layer file folder board plan report note street avenue road lane square park lake river bridge tower hill valley north south east west new old san saint los las
+university college school hospital institute bank museum club church hotel station airport city county island office department committee council agency ministry summit conference meeting review sprint workshop week day monday tuesday wednesday thursday friday saturday sunday
+january february march april may june july august september october november december montag dienstag mittwoch donnerstag freitag samstag sonntag lundi mardi mercredi jeudi vendredi samedi dimanche lunes martes miércoles jueves viernes sábado domingo
+projekt gruppe thema projet équipe thème groupe proyecto equipo tema grupo""".split()) | frozenset(w for full, short in TRADES.items() for w in (full, *short.split())) | LEGAL
+
+
 def _caseless(text: str, start: int, end: int) -> bool:
     """Whether the surroundings have no mixture of cases that could mean anything."""
     part = text[max(0, start - 60) : end + 60]
@@ -104,6 +129,8 @@ def _anchors() -> ahocorasick.Automaton:
     add((*(x.replace("\\", "") for x in STREETS_DE.split("|")),), "street de")
     add((x for x in STREETS_ES.split("|")), "street es")
     add((f"{t}{e}" for t in TITLES.split("|") for e in (". ", " ")), "title")
+    add((f"{w}{e}" for w in PERSON_BEFORE for e in (" ", ": ")), "person before")
+    add((f" {w}" for w in PERSON_AFTER), "person after")
     found.make_automaton()
     return found
 
@@ -113,7 +140,10 @@ def _email(text: str, low: str, start: int, end: int, bare: bool) -> tuple[int,
     right = _EMAIL_RIGHT.match(text, end)
     if right is None or (bare and " dot " not in low[right.start() : right.end()] and "dot" not in low[right.start() : right.end()]):
         return None
-    left = _EMAIL_LEFT.search(text, max(0, start - 80), start)
+    low_end = start
+    while low_end and start - low_end < 254 and text[low_end - 1] != "\n":  # no address is longer than 254 characters
+        low_end -= 1
+    left = _EMAIL_LEFT.search(text, low_end, start)
     if left is None or not left[0].strip():
         return None
     first = left.start()
@@ -137,7 +167,7 @@ def _phone(text: str, low: str, start: int, end: int) -> bool:
     before = low[max(0, start - 26) : start]
     cut = max(before.rfind(x) for x in ".;|\n")
     near = before[cut + 1 :]
-    if any(near.rstrip(" :#=-").endswith(c) for c in THING_CUES) or near.rstrip(" :#").endswith(("ticket", "passed")):
+    if _word_ahead(near, len(near)) in _THING_SET or near.rstrip(" :#=-").endswith(THING_CUES):
         return False
     if re.fullmatch(r"\d{4}-\d\d-\d\d.*|\d{1,3}(\.\d{1,3}){3}|\d{1,2}[./]\d{1,2}[./]\d{2,4}|\d{1,2}\.\d{1,2}\.\d{1,2}", value) and not value.startswith("+"):
         return False
@@ -160,6 +190,18 @@ def _phone(text: str, low: str, start: int, end: int) -> bool:
     return cued and n >= 8
 
 
+def _iban(value: str) -> bool:
+    """Whether letters and digits are an international account number by its check digits."""
+    v = re.sub(r"[\s-]", "", value).upper()
+    return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
+def _card(value: str) -> bool:
+    """Whether digits are a card number by length, first digit and check digit."""
+    d = [int(c) for c in value if c.isdigit()]
+    return 13 <= len(d) <= 19 and d[0] in (3, 4, 5, 6) and sum(sum(divmod(x * 2, 10)) if i % 2 else x for i, x in enumerate(reversed(d))) % 10 == 0
+
+
 def _id_spans(text: str, low: str, cues: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     for start, end in cues:
         if (start and text[start - 1].isalnum()) or (end < len(text) and low[end].isalpha() and not low.startswith(("number", "nummer", "nr"), end)):
@@ -210,12 +252,42 @@ def _name_at(text: str, low: str, start: int, end: int) -> tuple[int, int] | Non
         if word not in COMMON and word not in _NO_FAMILY and (left[1][0].isupper() or (caseless and left[2])) and (left[2] or (shown and not _starts_sentence(text, left.start()))):
             return left.start(), end
     if given in _FULL and shown and given not in _AMBIGUOUS and len(given) >= 5:
-        before, after = low[max(0, start - 24) : start].rstrip(), low[end : end + 24].lstrip()
-        if before.endswith(PERSON_BEFORE) or after.startswith(PERSON_AFTER):
+        if _introduced(low, start, end):
             return start, end
     return None
 
 
+def _word_ahead(low: str, at: int) -> str:
+    """The word that ends before ``at``."""
+    m = _WORD_AHEAD.search(low, max(0, at - 32), at)
+    return m[1] if m else ""
+
+
+def _word_behind(low: str, at: int) -> str:
+    m = _WORD_BEHIND.match(low, at, at + 40)
+    return m[1] if m else ""
+
+
+def _introduced(low: str, start: int, end: int) -> bool:
+    """Whether the words beside [start, end) are such as stand beside persons."""
+    return _word_ahead(low, start) in _BEFORE_SET or _word_behind(low, end) in _AFTER_SET
+
+
+def _shaped_names(text: str, low: str, at: int) -> Iterator[tuple[int, int]]:
+    """Given and family names by their shape behind a word at ``at`` that persons stand behind, and those listed with it."""
+    while True:
+        m = _SHAPED.match(text, at, at + 80)
+        if m is None or not all(w[0].isupper() and w[1:].islower() and len(w) > 1 for w in m.groups()):
+            return
+        if text.startswith(":", m.end()) or any(w in COMMON or w in _NO_FAMILY or w in _THINGS for w in map(str.lower, m.groups())) or _word_behind(low, m.end()) in _THINGS or _SHAPED.match(text, m.start(2), m.start(2) + 80) and text[m.end() + 1 : m.end() + 2].isupper():
+            return
+        yield m.start(), m.end()
+        more = _MORE.match(text, m.end(), m.end() + 12)
+        if more is None:
+            return
+        at = more.end()
+
+
 def _starts_sentence(text: str, at: int) -> bool:
     before = text[:at].rstrip()
     return not before or before[-1] in ".!?:;|\n"
@@ -228,12 +300,9 @@ def _without_given(text: str, low: str, m: re.Match) -> bool:
         return False
     before = low[max(0, m.start() - 24) : m.start()].rstrip(" *_`")
     after = low[m.end() : m.end() + 24].lstrip(" ,*_`")
-    cued = before.endswith(PERSON_BEFORE) or after.startswith(PERSON_AFTER)
-    if after.startswith(("signed", "a signé", "firmó", "hat gestern")):
-        return True
     if re.search(r"\d[\s-]*$", before) or re.search(r"[º°]\s*$", before):
         return False
-    if cued:
+    if _introduced(low, m.start(), m.end()):
         return True
     alone = (not before or before[-1] in "|>\"=:") and (not after or after[0] in "|<\"")
     return alone and m["letter"].isupper() and word[0].isupper()
@@ -247,7 +316,7 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     spans: list[tuple[int, int, str]] = []
-    ids, given, streets, titled = [], [], [], False
+    ids, given, streets, titled, ahead, behind = [], [], [], False, [], []
     for stop, kinds in _anchors().iter(low):
         for kind, size in kinds:
             start, end = stop + 1 - size, stop + 1
@@ -260,13 +329,21 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
                 ids.append((start, end))
             elif kind == "title":
                 titled = True
+            elif kind == "person before":
+                if end < len(text) and text[end].isupper() and (not start or not text[start - 1].isalnum()):
+                    ahead.append(end)
+            elif kind == "person after":
+                if (end == len(text) or not text[end].isalnum()) and text[start - 1].isalpha():
+                    behind.append(start)
             else:
                 streets.append((start, end, kind))
     spans += [(a, b, "id_number") for a, b in _id_spans(text, low, ids)]
     digits = any(map(str.isdigit, text))
     if digits:
         spans += [(m.start(), m.end(), "id_number") for m in _NINO.finditer(text)]
-        spans += [(m.start(), m.end(), "id_number") for m in _SSN.finditer(text) if not low[: m.start()].endswith(("run ", "part number "))]
+        spans += [(m.start(), m.end(), "id_number") for m in _SSN.finditer(text) if _word_ahead(low, m.start()) not in _THING_SET]
+        spans += [(m.start(), m.end(), "id_number") for m in _IBAN.finditer(text) if _iban(m[0])]
+        spans += [(m.start(), m.end(), "id_number") for m in _CARD.finditer(text) if _card(m[0])]
         spans += [(m.start(), m.end(), "id_number") for m in _DNI.finditer(text) if "TRWAGMYFPDXBNJZSQVHLCKE"[int(m[1]) % 23] == m[2].upper()]
         done = -1
         for start, end, kind in streets:
@@ -278,24 +355,32 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
                 if _is_address(text, m, which):
                     spans.append((m.start(), m.end(), "address"))
                     done = m.end()
-        ends = [(a, b) for a, b, k in spans if k in ("id_number", "email")]
+        taken = _covered([(a, b) for a, b, k in spans if k in ("id_number", "email")])
         for m in _DIGITS.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in ends) and _phone(text, low, m.start(), m.end()):
+            if not taken(m.start(), m.end()) and _phone(text, low, m.start(), m.end()):
                 spans.append((m.start(), m.end(), "phone"))
-    mails = [(a, b) for a, b, k in spans if k == "email"]
+    mail, place = _covered([(a, b) for a, b, k in spans if k == "email"]), _covered([(a, b) for a, b, k in spans if k == "address"])
     names = []
     for start, end in given:
-        if not any(a <= start < b for a, b in mails) and (found := _name_at(text, low, start, end)):
+        if not mail(start, start + 1) and (found := _name_at(text, low, start, end)):
             names.append(found)
     if titled:
         for m in _TITLED.finditer(text):
             word = m["who"].split()[0]
-            if word.lower() not in COMMON and word.lower() not in _NO_FAMILY and (word[0].isupper() or _caseless(text, m.start(), m.end())) and not any(k == "address" and a < m.start() < b for a, b, k in spans):
+            if word.lower() not in COMMON and word.lower() not in _NO_FAMILY and (word[0].isupper() or _caseless(text, m.start(), m.end())) and not place(m.start(), m.start() + 1):
                 names.append((m.start(), m.start("who") + len(word)))
     if ". " in text or "." in text:
         for m in _INITIAL.finditer(text):
-            if _without_given(text, low, m) and not any(a <= m.start() < b for a, b in mails):
+            if _without_given(text, low, m) and not mail(m.start(), m.start() + 1):
                 names.append((m.start(), m.end()))
+    for at in ahead:
+        names += _shaped_names(text, low, at)
+    for at in behind:
+        # The two words before a verb.
+        first = text.rfind(" ", 0, text.rfind(" ", max(0, at - 60), at)) + 1 if " " in text[max(0, at - 60) : at] else max(0, at - 60)
+        m = _SHAPED.match(text, max(first, at - 60), at)
+        if m and m.end() == at and _edge(text, m.start(), m.end()) and m[1].lower() not in _BEFORE_SET and not (_starts_sentence(text, m.start()) and m[1].lower() not in GIVEN):
+            names += list(_shaped_names(text, low, m.start()))[:1]
     spans += [(a, b, "name") for a, b in names]
     return _disjoint(spans)
 
@@ -308,25 +393,40 @@ def _is_address(text: str, m: re.Match, which: int) -> bool:
         return False
     if which == 2:
         return (middle[0].isupper() or caseless) and not re.search(r"[.,]\d", text[m.end() : m.end() + 2])
-    if which == 0 and words[-1].lower() == "recall":
-        return False
     if caseless:
         return which != 0 or len(words) <= 2
     return all(w[0].isupper() for w in words)
 
 
+def _covered(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether [a, b) overlaps one of some spans, by bisection."""
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    starts = [a for a, _ in merged]
+
+    def over(a: int, b: int) -> bool:
+        i = bisect_left(starts, b)
+        return i > 0 and merged[i - 1][1] > a
+
+    return over
+
+
 def _disjoint(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Overlaps go to the type that comes first in order of certainty; overlapping names are joined."""
-    rank = {"email": 0, "id_number": 1, "address": 2, "phone": 3, "name": 4}
+    """Overlaps go to the type that comes first in order of certainty; overlapping spans of a type are joined."""
     kept: list[tuple[int, int, str]] = []
-    for a, b, k in sorted(set(spans), key=lambda s: (rank[s[2]], s[0], -s[1])):
-        for i, (x, y, other) in enumerate(kept):
-            if a < y and x < b:
-                if other == k:
-                    kept[i] = (min(a, x), max(b, y), k)
-                break
-        else:
-            kept.append((a, b, k))
+    for kind in ("email", "id_number", "address", "phone", "name"):
+        over = _covered([(a, b) for a, b, _ in kept])
+        joined: list[list[int]] = []
+        for a, b in sorted({(a, b) for a, b, k in spans if k == kind and not over(a, b)}):
+            if joined and a < joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], b)
+            else:
+                joined.append([a, b])
+        kept += [(a, b, kind) for a, b in joined]
     return sorted(kept)
 
 

@@ -58,3 +58,31 @@ def test_table(spark):
 def test_lines_of_a_signature():
     text = "cc Doe, Ulrich\nBuild 2010-19-19.4109 passed.\n--\nMercedes Dugetruhek\n+44 (0)7700 900743\n36 Morigrup Street\n020 7946 0012\n5 Krado Road"
     assert redact(text)[0] == "cc [NAME]\nBuild 2010-19-19.4109 passed.\n--\n[NAME]\n[PHONE]\n[ADDRESS]\n[PHONE]\n[ADDRESS]"
+
+
+UNLISTED = ["Giovanni Rossi", "Mei Chen", "Amara Okafor", "Rajesh Kumar", "Fatima Hassan", "Linda Carter", "Kwame Mensah", "Svetlana Petrova", "Hiroshi Tanaka", "Lucía Fernández", "Jürgen Möller", "Chloé Lefebvre", "Omar al Farouk", "Ingrid van der Berg", "Thandiwe Nkosi"]
+SENTENCES = ["Contact {} about the contract.", "The meeting with {} went fine.", "I saw {} yesterday.", "According to {} it is late.", "Yesterday {} said no.", "Thanks to {} we are done.", "Please ask {} first.", "Das Treffen mit {} war gut.", "Laut {} ist es zu spät.", "Une réunion avec {} est prévue.", "Selon {}, rien de neuf.", "Habla con {} hoy.", "Según {} no hay nada."]
+
+
+def test_names_that_no_list_has():
+    found = [any(k == "name" and t[a:b] == n for a, b, k in find_pii(t)) for n in UNLISTED for t in (s.format(n) for s in SENTENCES)]
+    assert sum(found) >= 0.9 * len(found)
+
+
+@pytest.mark.parametrize("text", ["We talked with Project Blue and Team Red Panda.", "A letter from Alder Analytics arrived.", "The road to New Haven is closed by Park Rangers Group.", "see Release Notes", "They met on Monday Morning"])
+def test_what_is_no_person(text):
+    assert not [s for s in find_pii(text) if s[2] == "name"]
+
+
+def test_accounts_have_check_digits():
+    kinds = lambda t: [k for _, _, k in find_pii(t)]
+    assert kinds("pay to GB82 WEST 1234 5698 7654 32 today") == ["id_number"] and kinds("pay to GB83 WEST 1234 5698 7654 32 today") == []
+    assert kinds("card 4111 1111 1111 1111 expired") == ["id_number"] and "id_number" not in kinds("card 4111 1111 1111 1112 expired")
+
+
+def test_many_finds_take_linear_time():
+    import time
+
+    began = time.time()
+    assert len(find_pii("write to a.b@example.com or 123-45-6789, " * 20_000)) == 40_000
+    assert time.time() - began < 30
