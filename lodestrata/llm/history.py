@@ -18,6 +18,7 @@ so a class depends on earlier rows only, however rows are cut into batches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 from lodestrata.llm.textkeys import WordHashes, distinct, mixed, phrases, words_of
 from lodestrata.tables import written
 
-SAME, NEAR = 0.6, 0.3
+SAME, NEAR = 0.6, 0.25
 BUCKET_BITS = 18
 #: Cells with more texts are joined pivot first and in parts: another plan, the same matches.
 CROWDED = 256
-#: Up to so many probed cells go to every task, which spares moving the stored ones.
-FEW_CELLS = 1_000_000
+#: Up to so many probed cells, or ids of texts to compare, go to every task, which spares moving the others.
+FEW = 1_000_000
 
 
 def _hashes(texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -97,12 +98,14 @@ def left_from(row: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray,
     return whole, whole[row] - (before - starts[row])
 
 
-_CELL = ["cell", "id", "size", "left", "pairs", "sign_0", "sign_1"]
-_CELL_SCHEMA = "cell long, id long, size int, left int, pairs int, sign_0 long, sign_1 long"
+#: An image of a text's word pairs has 64 bits for each of these.
+SIGNS = range(4)
+_CELL = ["cell", "id", "size", "left", "pairs", *(f"sign_{k}" for k in SIGNS)]
+_CELL_SCHEMA = "cell long, id long, size int, left int, pairs int, " + ", ".join(f"sign_{k} long" for k in SIGNS)
 
 
 def _images(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Per text the number of its word pairs and a 128-bit image of them; a single word counts as a pair."""
+    """Per text the number of its word pairs and an image of them; a single word counts as a pair."""
     n, row = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
     inside = np.append(row[:-1] == row[1:], False) if len(row) else np.empty(0, bool)
     inside |= sizes[row] == 1
@@ -111,8 +114,8 @@ def _images(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.n
     pairs[alone] = words[inside][alone]
     at = distinct(row[inside], pairs)
     row, pairs = row[inside][at], pairs[at]
-    signs, spot = [], pairs >> np.uint64(57)
-    for k in (0, 1):
+    signs, spot = [], pairs >> np.uint64(56)
+    for k in SIGNS:
         bit = np.where(spot >> np.uint64(6) == k, np.uint64(1) << (spot & np.uint64(63)), np.uint64(0))
         sign = np.zeros(n, np.uint64)
         if len(row):
@@ -124,7 +127,7 @@ def _images(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.n
 
 def cells(firsts: DataFrame, bits: np.ndarray) -> DataFrame:
     """The cells of ``firsts(id, words)``: size is the whole weight, left what is left from this cell on, pairs the
-    number of word pairs and sign_0, sign_1 a 128-bit image of them, of which each missing bit is a missing pair."""
+    number of word pairs and sign_0 to sign_3 an image of them, of which each missing bit is a missing pair."""
     shared = firsts.sparkSession.sparkContext.broadcast(bits)  # 2**18 bytes
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +148,7 @@ def cells(firsts: DataFrame, bits: np.ndarray) -> DataFrame:
 def _may_match(limited: bool = False) -> Column:
     """Whether y, earlier, can still be what x is a copy of, given that no earlier cell of theirs is common."""
     both = F.col("x.size") + F.col("y.size")
-    missing = lambda p, q: sum((F.bit_count(F.col(f"{p}.sign_{k}").bitwiseAND(F.bitwise_not(f"{q}.sign_{k}"))) for k in (0, 1)), F.lit(0))
+    missing = lambda p, q: sum((F.bit_count(F.col(f"{p}.sign_{k}").bitwiseAND(F.bitwise_not(f"{q}.sign_{k}"))) for k in SIGNS), F.lit(0))
     wanted = F.lit(SAME / (1 + SAME)) * (F.col("x.pairs") + F.col("y.pairs")) - F.lit(1e-6)
     return (
         (F.col("y.id") < (F.col("x.limit") if limited else F.col("x.id")))
@@ -155,9 +158,10 @@ def _may_match(limited: bool = False) -> Column:
     )
 
 
-def word_pairs(text: str) -> set[tuple[str, ...]]:
+@lru_cache(maxsize=2048)
+def word_pairs(text: str) -> frozenset[tuple[str, ...]]:
     words = text.split(" ")
-    return set(zip(words, words[1:])) if len(words) > 1 else {(words[0],)} if words[0] else set()
+    return frozenset(zip(words, words[1:])) if len(words) > 1 else frozenset({(words[0],)} if words[0] else ())
 
 
 def _similar(x: str, y: str) -> bool:
@@ -183,6 +187,10 @@ def matches(candidates: DataFrame, full: DataFrame, bits: np.ndarray) -> DataFra
             keep = pa.array([_similar(x, y) and _near(x, y, shared.value, hashes) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
+    candidates = written(candidates, "candidates")
+    ids = candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).distinct()
+    if candidates.count() <= FEW:
+        full = full.join(F.broadcast(ids), "id", "left_semi")
     x, y = full.select(F.col("id").alias("a"), F.col("words").alias("x")), full.select(F.col("id").alias("b"), F.col("words").alias("y"))
     return candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
@@ -299,7 +307,7 @@ class History:
         everything, full = mine, own
         if old_cells is not None:
             probed = written(mine.select("cell").distinct(), "probed")
-            near = F.broadcast(probed) if probed.count() <= FEW_CELLS else probed
+            near = F.broadcast(probed) if probed.count() <= FEW else probed
             everything, full = mine.unionByName(old_cells.join(near, "cell", "left_semi")), own.unionByName(self._stored("texts"))
         lines = written(parents(mine, everything, full, self.bits), "parents")
         ends = roots(lines)
