@@ -48,7 +48,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there and any executor may be lost."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
