@@ -46,8 +46,8 @@ COMMON = CLAUSE | LINKING
 #: symbol in ten words, 80 % of the words with a letter and two common words; lists fail by their bullets, repetition by repeated runs of words.
 MIN_MEAN, MAX_MEAN, MAX_SYMBOLS_PER_WORD, MIN_ALPHABETIC, MIN_STOP_WORDS = 3.0, 10.0, 0.1, 0.8, 2
 #: Ours, for parts of a text, as those rules are for whole pages.
-MIN_COMMON, MIN_CLAUSE, CLAUSE_FROM, FEW_COMMON, SOME_COMMON = 0.12, 0.008, 30, 0.1, 0.2
-MAX_ODD, MIN_WORDS, MAX_TECHNICAL, MAX_REPEATED, PROSE_SHARE = 0.3, 4, 0.25, 0.5, 0.5
+MIN_COMMON, MIN_CLAUSE, CLAUSE_FROM, FEW_COMMON, SOME_COMMON = 0.12, 0.008, 60, 0.1, 0.2
+MAX_ODD, MIN_WORDS, MAX_TECHNICAL, MAX_MIXED, MAX_REPEATED, PROSE_SHARE = 0.3, 4, 0.25, 0.5, 0.5, 0.5
 
 _LETTER, _DIGIT, _SPACE, _BREAK, _USUAL, _CLOSING, _CODE, _CELL = (1 << k for k in range(8))
 _LONE = "aàyeoIAÀYEO–—&-"
@@ -65,7 +65,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
         kind = unicodedata.category(x)
         if x in "\n\r\x0b\x0c\u2028\u2029":
             classes[c] = _BREAK
-        elif x.isspace():
+        elif x.isspace() or c < 32:
             classes[c] = _SPACE
         elif kind[0] == "L":
             classes[c] = _LETTER
@@ -139,7 +139,7 @@ def _line_kinds(f: dict[str, np.ndarray]) -> np.ndarray:
     """What each line is, by its statistics alone; text stands for what paragraphs decide."""
     solid, n, named, letters = f["solid"], f["tokens"], f["named"], f["letters"]
     common = f["common"] / np.maximum(named, 1)
-    technical = f["technical"] > MAX_TECHNICAL * solid
+    technical = ((f["technical"] > MAX_TECHNICAL * solid) & (common < 0.15)) | ((f["mixed"] >= MAX_MIXED * n) & (common < 0.5))
     columns = (f["bars"] >= 2) | (f["tabs"] > 0) | (f["gaps"] >= 2)
     cells = f["cells"] + 1
     furniture = (f["clauses"] == 0) & (f["marks"] >= 3) & (n <= 4.5 * (f["marks"] + 1))
@@ -154,7 +154,7 @@ def _line_kinds(f: dict[str, np.ndarray]) -> np.ndarray:
         (f["bullet"] & (named >= 6) & (common >= SOME_COMMON) & (f["clauses"] > 0), "text"),
         (f["bullet"], "list"),
         (f["label"] & (solid <= 80), "label"),
-        (f["dated"] | (technical & (common < 0.15)), "machine"),
+        (f["dated"] | technical, "machine"),
         (furniture, "furniture"),
         ((common < FEW_COMMON) & (cells >= 3) & (n <= 4.5 * cells) & (f["digits"] > 0.15 * solid), "table"),
         ((common < FEW_COMMON) & (cells >= 3) & (n <= 4.5 * cells), "list"),
@@ -182,12 +182,14 @@ def _paragraph_kinds(f: dict[str, np.ndarray]) -> np.ndarray:
 def _counts(codes: np.ndarray, doc_sizes: np.ndarray) -> dict[str, np.ndarray]:
     """The statistics of every line, and of its tokens, of texts that end with a line break each."""
     classes, lower = _tables()
-    small = np.minimum(codes, 65536)
-    c, low = classes[small], lower[small]
+    small = np.minimum(codes, 65536).astype(np.int32)
+    c, low = classes.take(small), lower.take(small)
     has = lambda bit: (c & bit) != 0
     broken, blank, letter, digit, mark = has(_BREAK), has(_SPACE), has(_LETTER), has(_DIGIT), codes == 0x301
-    line = np.cumsum(broken) - broken
-    n = int(broken.sum())
+    ends = np.flatnonzero(broken)
+    n = len(ends)
+    starts = np.append(0, ends[:-1] + 1)
+    line_of = lambda at: np.searchsorted(ends, at)
     solid = ~(broken | blank)
     before, behind = np.append(False, solid[:-1]), np.append(solid[1:], False)
     tokens, sizes, token_hash = _run_hashes(low, solid)
@@ -197,15 +199,18 @@ def _counts(codes: np.ndarray, doc_sizes: np.ndarray) -> dict[str, np.ndarray]:
     elided = (long <= 2) & (quote[np.minimum(words + long, len(codes) - 1)] | quote[np.maximum(words - 1, 0)])
     clause = _among(word_hash, clause_table) & ((long > 1) | np.isin(low[words], [ord(x) for x in "iyà"])) if len(words) else np.empty(0, bool)
     common = (clause | elided | _among(word_hash, linking_table)) if len(words) else np.empty(0, bool)
-    per = lambda where: _sums(line[where], n)
+    per = lambda where: np.add.reduceat(where.view(np.uint8), starts, dtype=np.int64)
+    word_line, token_line = line_of(words), line_of(tokens)
     inner = before & behind & ~(letter | digit | has(_CODE) | quote | (codes == 45) | (codes == 46) | (codes == 44))
     slash = (codes == 47) & ~before & ~behind
     tab = codes == 9
     # Where cells of a column begin: behind two spaces or a tab that follow something.
     gap = blank & before & (tab | np.append(blank[1:], False)) & ~np.append(broken[1:], True)
-    token_line = line[tokens]
     first_of, first = np.unique(token_line, return_index=True) if len(tokens) else (np.empty(0, np.int64), np.empty(0, np.int64))
-    total = np.append(0, np.cumsum(digit))
+    total = np.append(0, np.cumsum(digit, dtype=np.int32))
+    hard = digit | has(_CODE) | inner
+    coded = np.append(0, np.cumsum(hard | (before & behind & (codes == 46)), dtype=np.int32))
+    mixed = (coded[tokens + sizes] > coded[tokens]) & (np.add.reduceat((letter).view(np.uint8), tokens, dtype=np.int64) > 0 if len(tokens) else False)
     head, size = tokens[first], sizes[first]
     tail = head + size - 1
     digits_in = total[tail + 1] - total[head]
@@ -213,7 +218,7 @@ def _counts(codes: np.ndarray, doc_sizes: np.ndarray) -> dict[str, np.ndarray]:
     ends_list = (codes[tail] == 46) | (codes[tail] == 41)
     opened = codes[head] == 40
     bullet = many & (((size == 1) & np.isin(codes[head], [ord(x) for x in _BULLETS])) | (ends_list & (size - 1 - opened == digits_in) & (digits_in > 0) & (digits_in <= 3)) | (ends_list & (size == 2) & letter[head]) | ((codes[head] == 91) & ((size == 1) | (size == 3) & (codes[tail] == 93))))
-    last_of = np.append(first[1:], len(tokens)) - 1
+    last_of = np.append(first[1:], len(tokens))[: len(first)] - 1
     final = tokens[last_of] + sizes[last_of] - 1
     closing = has(_CLOSING)
     wrapped = np.isin(codes[final], [ord(x) for x in "\"'”’»)]"]) & closing[np.maximum(final - 1, 0)]
@@ -233,10 +238,10 @@ def _counts(codes: np.ndarray, doc_sizes: np.ndarray) -> dict[str, np.ndarray]:
     odd = one & ~digit[tokens] & ~np.isin(codes[tokens], [ord(x) for x in _LONE])
     symbol = ~(letter | digit | blank | broken)
     return {
-        "doc": np.searchsorted(np.cumsum(doc_sizes), np.flatnonzero(broken), side="right"),
-        "solid": per(solid), "tokens": _sums(token_line, n), "named": _sums(line[words], n), "letters": per(letter), "digits": per(digit),
-        "common": _sums(line[words[common]], n), "clauses": _sums(line[words[clause]], n), "symbols": per(symbol),
-        "technical": per(digit | has(_CODE) | inner), "bars": per(codes == 124), "tabs": per(tab & before), "gaps": per(gap), "cells": per(has(_CELL)) + per(slash), "marks": per(np.isin(codes, [0xBB, 0x203A, 0xB7, 124])) + per(slash),
+        "doc": np.searchsorted(np.cumsum(doc_sizes), ends, side="right"),
+        "solid": per(solid), "tokens": _sums(token_line, n), "named": _sums(word_line, n), "letters": per(letter), "digits": per(digit),
+        "common": _sums(word_line[common], n), "clauses": _sums(word_line[clause], n), "symbols": per(symbol),
+        "technical": per(hard), "mixed": _sums(token_line[mixed], n), "bars": per(codes == 124), "tabs": per(tab & before), "gaps": per(gap), "cells": per(has(_CELL)) + per(slash), "marks": per((codes == 0xBB) | (codes == 0x203A) | (codes == 0xB7) | (codes == 124)) + per(slash),
         "odd": _sums(token_line[odd], n), "strange": per(~usual & near), "bullet": flags(bullet), "closed": flags(closing[final] | wrapped), "label": flags(label), "dated": flags(dated), "dashes": flags(three(45) & (size >= 3)), "bar_first": flags(codes[head] == 124),
         "token_line": token_line, "token_hash": token_hash, "alphabetic": None,
     }
@@ -246,12 +251,16 @@ def _measured(texts: list[str | None]) -> list[list]:
     """The columns of SCHEMA of some texts."""
     size = np.array([0 if t is None else len(t) for t in texts], np.int64)
     clean = ["\n" if t is None else (t if t.isascii() else unicodedata.normalize("NFC", t)).replace("\r\n", "\n") + "\n" for t in texts]
-    clean = [t if t.isascii() else t.translate(_UNSEEN) for t in clean]
     m = len(texts)
     if not m:
         return [[] for _ in _ARROW]
     codes = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32)
-    f = _counts(codes, np.fromiter(map(len, clean), np.int64, m))
+    sizes = np.fromiter(map(len, clean), np.int64, m)
+    unseen = np.isin(codes, _UNSEEN) if int(codes.max()) > 127 else np.zeros(0, bool)
+    if unseen.any():
+        sizes -= np.add.reduceat(unseen.view(np.uint8), np.cumsum(sizes) - sizes, dtype=np.int64)
+        codes = codes[~unseen]
+    f = _counts(codes, sizes)
     doc, token_line, token_hash = f.pop("doc"), f.pop("token_line"), f.pop("token_hash")
     f.pop("alphabetic")
     kind = _line_kinds(f)
@@ -301,8 +310,8 @@ def measure(text: str | None) -> tuple:
     return tuple(c[0] for c in _measured([text]))
 
 
-# Soft hyphens, zero-width and control characters.
-_UNSEEN = {c: None for c in (0xAD, *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF)} | {c: 32 for c in (*range(0x00, 0x09), *range(0x0E, 0x20))}
+# Soft hyphens and zero-width characters.
+_UNSEEN = np.array([0xAD, *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF], np.uint32)
 
 SCHEMA = "n_chars long, n_words long, mean_word_length double, symbol_ratio double, closed_line_share double, bullet_line_share double, common_word_share double, clause_word_share double, prose_share double, reasons array<string>"
 _ARROW = pa.schema(
