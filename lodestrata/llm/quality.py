@@ -41,12 +41,23 @@ LINKING = frozenset(
     el la los las un una unos unas del al de a en con sin por para sobre entre hacia hasta según y e o u ni como más menos muy también aún todavía cada otro otra otros otras mi tu su sus nuestro este esta estos estas ese esa cerca""".split()
 )
 COMMON = CLAUSE | LINKING
+# Words that open a noun phrase, words that something must follow, and words that can't be the first thing in a noun
+# phrase; a stop can't stand behind either.
+OPENING = frozenset("the a an my our their every le la les un une des du au aux mon notre ce cette chaque der die das den dem des ein eine einen einem einer el los las una al del mi nuestro cada".split())
+LEADING = frozenset("of from into with and or as than because if de dans avec sous et que mit von vom zum und dass con por sin y".split())
+NOT_OPENED = frozenset(
+    """the a an of in on at to from by with for into about and or as than then is are was were be been have has had do does did will would can could should must if when while because since until although though but we they it he she i you
+    le la les un une des du au aux en dans par pour avec sans sur sous et ou que qui est sont était ont sera si quand car mais je tu il elle nous vous ils elles ne
+    der die das den dem des ein eine mit ohne von vom zu zum zur in im am an auf aus bei beim und oder ist sind war waren hat haben wird werden wenn als weil dass ob aber ich wir sie es nicht
+    el los las una unas del al de en con sin por para y o que es son era fue está han si cuando porque pero se""".split()
+)
 
 #: Published rules for web corpora, as numbers: Gopher (Rae et al. 2021) wants a mean word length of 3 to 10, less than one
 #: symbol in ten words, 80 % of the words with a letter and two common words; lists fail by their bullets, repetition by repeated runs of words.
 MIN_MEAN, MAX_MEAN, MAX_SYMBOLS_PER_WORD, MIN_ALPHABETIC, MIN_STOP_WORDS = 3.0, 10.0, 0.1, 0.8, 2
 #: Ours, for parts of a text, as those rules are for whole pages.
 MIN_COMMON, MIN_CLAUSE, CLAUSE_FROM, FEW_COMMON, SOME_COMMON = 0.12, 0.008, 60, 0.1, 0.2
+MIN_BROKEN, MAX_BROKEN = 2, 0.22
 MAX_ODD, MIN_WORDS, MAX_TECHNICAL, MAX_MIXED, MAX_REPEATED, PROSE_SHARE = 0.3, 4, 0.25, 0.5, 0.5, 0.5
 
 _LETTER, _DIGIT, _SPACE, _BREAK, _USUAL, _CLOSING, _CODE, _CELL = (1 << k for k in range(8))
@@ -101,12 +112,12 @@ def _run_hashes(codes: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 @lru_cache(maxsize=1)
-def _common_hashes() -> tuple[np.ndarray, np.ndarray]:
+def _common_hashes() -> tuple[np.ndarray, ...]:
     def of(words) -> np.ndarray:
         codes = np.array([ord(c) for w in sorted(words) for c in w + " "], np.uint32)
         return np.sort(_run_hashes(codes, codes != 32)[2])
 
-    return of(CLAUSE), of(LINKING)
+    return of(CLAUSE), of(LINKING), of(OPENING), of(LEADING), of(NOT_OPENED)
 
 
 def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -194,13 +205,18 @@ def _counts(codes: np.ndarray, doc_sizes: np.ndarray) -> dict[str, np.ndarray]:
     before, behind = np.append(False, solid[:-1]), np.append(solid[1:], False)
     tokens, sizes, token_hash = _run_hashes(low, solid)
     words, long, word_hash = _run_hashes(low, letter | mark)
-    clause_table, linking_table = _common_hashes()
+    clause_table, linking_table, opening_table, leading_table, closed_table = _common_hashes()
     quote = (codes == 39) | (codes == 0x2019)
     elided = (long <= 2) & (quote[np.minimum(words + long, len(codes) - 1)] | quote[np.maximum(words - 1, 0)])
     clause = _among(word_hash, clause_table) & ((long > 1) | np.isin(low[words], [ord(x) for x in "iyà"])) if len(words) else np.empty(0, bool)
     common = (clause | elided | _among(word_hash, linking_table)) if len(words) else np.empty(0, bool)
     per = lambda where: np.add.reduceat(where.view(np.uint8), starts, dtype=np.int64)
     word_line, token_line = line_of(words), line_of(tokens)
+    # Words that open a noun phrase and stand before a stop or a word that can't be in one.
+    opening = _among(word_hash, opening_table) & ~elided if len(words) else np.empty(0, bool)
+    after = codes[np.minimum(words + long, len(codes) - 1)]
+    stopped = np.isin(after, [ord(x) for x in ".,;:!?)…"])
+    wrong = (opening | (_among(word_hash, leading_table) if len(words) else opening)) & stopped | opening & (np.append(_among(word_hash, closed_table)[1:], False) & np.append(words[1:] - words[:-1] - long[:-1] <= 2, False) if len(words) else False)
     inner = before & behind & ~(letter | digit | has(_CODE) | quote | (codes == 45) | (codes == 46) | (codes == 44))
     slash = (codes == 47) & ~before & ~behind
     tab = codes == 9
@@ -241,7 +257,7 @@ def _counts(codes: np.ndarray, doc_sizes: np.ndarray) -> dict[str, np.ndarray]:
         "doc": np.searchsorted(np.cumsum(doc_sizes), ends, side="right"),
         "solid": per(solid), "tokens": _sums(token_line, n), "named": _sums(word_line, n), "letters": per(letter), "digits": per(digit),
         "common": _sums(word_line[common], n), "clauses": _sums(word_line[clause], n), "symbols": per(symbol),
-        "technical": per(hard), "mixed": _sums(token_line[mixed], n), "bars": per(codes == 124), "tabs": per(tab & before), "gaps": per(gap), "cells": per(has(_CELL)) + per(slash), "marks": per((codes == 0xBB) | (codes == 0x203A) | (codes == 0xB7) | (codes == 124)) + per(slash),
+        "technical": per(hard), "mixed": _sums(token_line[mixed], n), "openings": _sums(word_line[opening], n), "wrong": _sums(word_line[wrong], n), "bars": per(codes == 124), "tabs": per(tab & before), "gaps": per(gap), "cells": per(has(_CELL)) + per(slash), "marks": per((codes == 0xBB) | (codes == 0x203A) | (codes == 0xB7) | (codes == 124)) + per(slash),
         "odd": _sums(token_line[odd], n), "strange": per(~usual & near), "bullet": flags(bullet), "closed": flags(closing[final] | wrapped), "label": flags(label), "dated": flags(dated), "dashes": flags(three(45) & (size >= 3)), "bar_first": flags(codes[head] == 124),
         "token_line": token_line, "token_hash": token_hash, "alphabetic": None,
     }
@@ -273,13 +289,15 @@ def _measured(texts: list[str | None]) -> list[list]:
         what = _paragraph_kinds(sums)
         owner = doc[new]
         prose = what == _K["prose"]
-        # All prose of a text together: said again and again, or long without a single clause.
+        # All prose of a text together: words out of order, said again and again, or long without a single clause.
         keep = np.zeros(len(kind), bool)
         keep[plain] = prose[paragraph]
         inside = keep[token_line]
         again = _repeated_share(doc[token_line[inside]], token_hash[inside], m)
         words, clauses = (_sums(owner[prose], m, sums[k][prose]) for k in ("tokens", "clauses"))
-        what = np.where(prose & (again > MAX_REPEATED)[owner] & (words >= 8)[owner], _K["repeated"], what)
+        openings, wrong = (_sums(owner[prose], m, sums[k][prose]) for k in ("openings", "wrong"))
+        what = np.where(prose & ((wrong >= MIN_BROKEN) & (wrong >= MAX_BROKEN * openings))[owner], _K["gibberish"], what)
+        what = np.where((what == _K["prose"]) & (again > MAX_REPEATED)[owner] & (words >= 8)[owner], _K["repeated"], what)
         what = np.where((what == _K["prose"]) & ((words >= CLAUSE_FROM) & (clauses == 0))[owner], _K["list"], what)
         kind = kind.copy()
         kind[plain] = what[paragraph]

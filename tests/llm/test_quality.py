@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from lodestrata.llm import quality
 from lodestrata.llm.quality import _ARROW, measure, text_quality
 
 PROSE = "We decided to keep the old index because nobody owned the follow-up. It took 38 minutes before the tests were green. They asked for a report, yet what they needed was a plan. If the cache is cold, we go back to release 1.2.3. "
@@ -28,6 +29,9 @@ NOT_PROSE = {
 }
 
 
+NOT_PROSE["out of order"] = " ".join(random.Random(4).sample((PROSE * 3).replace("an", "the").split() + ["the", "of", "a", "with"] * 6, 120))
+
+
 @pytest.mark.parametrize("kind", NOT_PROSE)
 def test_not_prose(kind):
     assert measure(NOT_PROSE[kind])[-1], kind
@@ -52,3 +56,9 @@ def test_table(spark):
     got = text_quality(df, "doc_id", "text").collect()
     assert [bool(r.reasons) for r in got] == [False, False, False, True, True]
     assert text_quality(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
+
+
+def test_texts_counted_together_come_out_as_alone():
+    texts = [PROSE, None, *NOT_PROSE.values(), "", PROSE.replace(". ", ".\r\n"), "É" * 30, "😀 " * 40, PROSE * 50]
+    together = list(zip(*quality._measured(texts)))
+    assert together == [measure(t) for t in texts]
