@@ -9,7 +9,7 @@ from lodestrata.functions.text import frame_hash
 from lodestrata.operators import archive, derive, frames, graph, lanes, search, state
 from lodestrata.operators.pipeline import Embed
 from lodestrata.store import Store
-from lodestrata.tables import numbered
+from lodestrata.tables import numbered, written
 
 FRAMES = "id long, frame_type string, gop_id string, t int, base_frame_id long, content string, importance string, source string, access_count int, created_at timestamp_ntz, last_accessed timestamp_ntz, content_hash string, metadata string, mind string"
 ENTITIES = "id long, entity_type string, name string, properties string, valid_from timestamp_ntz, valid_to timestamp_ntz, recorded_at timestamp_ntz"
@@ -18,6 +18,22 @@ ARCHIVE = "id long, archive_uid string, source string, source_ref string, title
 SCHEMAS = {"frames": FRAMES, "entities": ENTITIES, "relations": RELATIONS, "archive": ARCHIVE}
 
 
+def merged_properties(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Per key the JSON object of all properties of its rows; of several values of a property the greatest."""
+    each = rows.select(*by, F.explode(F.from_json("properties", "map<string,string>")).alias("k", "v"))
+    values = each.groupBy(*by, "k").agg(F.max("v").alias("v"))
+    return values.groupBy(*by).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v"))))).alias("properties"))
+
+
+def _with_properties(entities: DataFrame, more: DataFrame, own_first: bool = False) -> DataFrame:
+    """Entities with the properties of ``more(id, more)`` merged in."""
+    read = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    a, b = (read("more"), read("properties")) if own_first else (read("properties"), read("more"))
+    joined = entities.join(more, "id", "left")
+    both = F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+    return joined.select(*(F.when(F.col("more").isNotNull(), F.to_json(both)).otherwise(F.col(c)).alias(c) if c == "properties" else F.col(c) for c in entities.columns))
+
+
 class Memory:
     """The calls of the memory tools, each over whole tables; ``now`` is given by the caller."""
 
@@ -64,14 +80,24 @@ class Memory:
         return frames.statistics(self.table("frames"))
 
     def save_entities(self, rows: DataFrame, now: str) -> None:
-        """Add ``rows(name, entity_type, properties)`` that aren't there yet, names compared without case."""
+        """Add ``rows(name, entity_type, properties)``, or merge their properties into the active entity of that name and type.
+
+        Names and types are compared without case; of several rows of one entity
+        the properties are put together, of several values of one the greatest
+        counts.  New values replace stored ones.  Rows without a name are left out.
+        """
         old = self.table("entities")
         start = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        key = [F.lower("name").alias("k_name"), F.coalesce("entity_type", F.lit("")).alias("k_type")]
-        new = rows.dropDuplicates(["name", "entity_type"]).select("*", *key).join(graph.active(old).select(*key), ["k_name", "k_type"], "left_anti")
+        key = [F.lower("name").alias("k_name"), F.lower(F.coalesce("entity_type", F.lit(""))).alias("k_type")]
+        given = rows.filter("name IS NOT NULL").select("name", "entity_type", "properties", *key)
+        once = given.groupBy("k_name", "k_type").agg(F.min("name").alias("name"), F.min("entity_type").alias("entity_type"))
+        fresh = once.join(merged_properties(given, ["k_name", "k_type"]), ["k_name", "k_type"], "left")
+        held = graph.active(old).select("id", *key).groupBy("k_name", "k_type").agg(F.min("id").alias("id"))
+        known = fresh.join(held, ["k_name", "k_type"]).select("id", F.col("properties").alias("more"))
+        new = fresh.join(held, ["k_name", "k_type"], "left_anti")
         at = F.lit(now).cast("timestamp_ntz")
-        added = numbered(new, "name", "entity_type").select((F.col("nth") + 1 + start).cast("long").alias("id"), "entity_type", "name", "properties", at.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), at.alias("recorded_at"))
-        self.store.write(entities=old.unionByName(added))
+        added = numbered(new, "name", "entity_type").select((F.col("nth") + 1 + start).cast("long").alias("id"), "entity_type", "name", F.coalesce("properties", F.lit("{}")).alias("properties"), at.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), at.alias("recorded_at"))
+        self.store.write(entities=_with_properties(old, known).unionByName(added))
 
     def relate(self, rows: DataFrame, now: str) -> None:
         at = F.lit(now).cast("timestamp_ntz")
@@ -92,23 +118,51 @@ class Memory:
         self.store.write(entities=ended, relations=cut)
 
     def dedupe_entities(self, now: str) -> DataFrame:
-        folded = graph.survivors(self.table("entities"), self.table("relations")).filter("id <> survivor")
+        """Fold active entities of one name and type into the best connected; returns id and survivor of the others.
+
+        Only relations with a folded end change: they end now, and those they
+        become are added from now on, once each with the greatest confidence,
+        unless there already is one or it would be a loop.  Properties of folded
+        entities are merged into the survivor's, whose own values count.
+        """
+        entities, relations = self.table("entities"), self.table("relations")
+        folded = written(graph.survivors(entities, relations).filter("id <> survivor"), "folded")
         at = F.lit(now).cast("timestamp_ntz")
-        moved = graph.repointed(self.table("relations"), folded).select("source_id", "target_id", "relation_type", F.lit(1.0).alias("confidence"), at.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
+        s = folded.select(F.col("id").alias("source_id"), F.col("survivor").alias("new_source"))
+        t = folded.select(F.col("id").alias("target_id"), F.col("survivor").alias("new_target"))
+        marked = relations.join(s, "source_id", "left").join(t, "target_id", "left").withColumn("moves", (F.col("new_source").isNotNull() | F.col("new_target").isNotNull()) & F.col("valid_to").isNull())
+        ended = marked.select(*(F.when(F.col("moves"), at).otherwise(F.col(c)).alias(c) if c == "valid_to" else F.col(c) for c in relations.columns))
+        moved = marked.filter("moves").select(F.coalesce("new_source", "source_id").alias("source_id"), F.coalesce("new_target", "target_id").alias("target_id"), "relation_type", "confidence").filter("source_id <> target_id")
+        moved = moved.groupBy("source_id", "target_id", "relation_type").agg(F.max("confidence").alias("confidence"))
+        there = marked.filter("NOT moves AND valid_to IS NULL").select("source_id", "target_id", "relation_type")
+        moved = moved.join(there, ["source_id", "target_id", "relation_type"], "left_anti").select("source_id", "target_id", "relation_type", "confidence", at.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
         gone = folded.select("id", F.lit(True).alias("gone"))
-        columns = self.table("entities").columns
-        ended = self.table("entities").join(gone, "id", "left").select(*(F.when(F.col("gone"), F.coalesce("valid_to", at)).otherwise(F.col(c)).alias(c) if c == "valid_to" else F.col(c) for c in columns))
-        self.store.write(entities=ended, relations=self.table("relations").filter("valid_to IS NOT NULL").unionByName(moved))
+        closed = entities.join(gone, "id", "left").select(*(F.when(F.col("gone"), F.coalesce("valid_to", at)).otherwise(F.col(c)).alias(c) if c == "valid_to" else F.col(c) for c in entities.columns))
+        more = merged_properties(entities.join(folded, "id").select(F.col("survivor").alias("key"), "properties"), ["key"])
+        self.store.write(entities=_with_properties(closed, more.select(F.col("key").alias("id"), F.col("properties").alias("more")), own_first=True), relations=ended.unionByName(moved))
         return folded
 
     def erase(self, subjects: DataFrame, now: str, reason: str) -> DataFrame:
-        """Redact the archive rows of ``subjects`` and delete every frame that rests on them, at once; returns the frame ids."""
-        old = self.table("archive")
-        gone = archive.erased_frames(self.table("frames"), old, subjects)
+        """Redact the archive rows of ``subjects`` and delete all that rests on them, at once; returns the frame ids.
+
+        Entities that only deleted frames mention go with their relations.
+        """
+        old, kept = self.table("archive"), self.table("frames")
+        subjects = archive.with_decisions(subjects)
+        gone = written(archive.erased_frames(kept, old, subjects), "erased")
         after = archive.redacted(old, subjects, now, reason)
         if not archive.violations(old, after).isEmpty():
             raise RuntimeError("the redaction would change other rows")
-        self.store.write(archive=after, frames=frames.deleted(self.table("frames"), gone).select(*self.table("frames").columns))
+        entities, relations = self.table("entities"), self.table("relations")
+        seen = graph.mentions(kept.select("id", F.col("content").alias("text")), graph.active(entities).select("name")).join(graph.active(entities).select(F.col("id").alias("entity_id"), F.lower("name").alias("name")), "name")
+        lonely = written(archive.lonely_entities(seen.select("entity_id", F.col("id").alias("frame_id")), gone), "lonely")
+        ends = lambda c: lonely.select(F.col("entity_id").alias(c))
+        self.store.write(
+            archive=after,
+            frames=frames.deleted(kept, gone).select(*kept.columns),
+            entities=entities.join(ends("id"), "id", "left_anti").select(*entities.columns),
+            relations=relations.join(ends("source_id"), "source_id", "left_anti").join(ends("target_id"), "target_id", "left_anti").select(*relations.columns),
+        )
         return gone
 
     def compact(self, now: str) -> None:

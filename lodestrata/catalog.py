@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import derived, flows, frames, graph, ingest, lifecycle, search, surface, texts, times
+from lodestrata.plans import derived, flows, frames, graph, ingest, lifecycle, machines, search, surface, texts, times
 
-_MODULES = [frames, graph, lifecycle, search, derived, texts, flows, ingest, surface, times]
+_MODULES = [frames, graph, lifecycle, machines, search, derived, texts, flows, ingest, surface, times]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -242,9 +242,13 @@ def rounded_score(c: Column) -> Column:
     return F.floor(c * 1000 + 0.5) / 1000
 
 
+def conversation_key(conv: Column) -> Column:
+    """The id of a conversation as turn headers write it."""
+    return F.substring(F.regexp_replace(conv.cast("string"), "[^A-Za-z0-9_.-]", "_"), 1, 64)
+
+
 def turn_header(conv: Column, turn: Column, speaker: Column) -> Column:
-    key = F.substring(F.regexp_replace(conv.cast("string"), "[^A-Za-z0-9_.-]", "_"), 1, 64)
-    return F.concat(F.lit("[mind-rawturn conv:"), key, F.lit(" turn:"), turn.cast("string"), F.lit(" speaker:"), speaker, F.lit("]"))
+    return F.concat(F.lit("[mind-rawturn conv:"), conversation_key(conv), F.lit(" turn:"), turn.cast("string"), F.lit(" speaker:"), speaker, F.lit("]"))
 
 
 TURN_HEADER = r"^\[mind-rawturn conv:(\S+) turn:(\d+) speaker:([^\]]+)\]"

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import archive_uid, injection
+from lodestrata.functions.text import TURN_HEADER, archive_uid, conversation_key, decision_id, injection
 from lodestrata.tables import written
 
 MARKER = "[REDACTED — GDPR Art.17 erasure]"
+#: The source whose items decisions are drawn from.
+DECISION_SOURCE = "claude-code"
 
 
 def suppressed(archive: DataFrame) -> DataFrame:
@@ -24,12 +26,12 @@ def unsuppressed(items: DataFrame, subjects: DataFrame) -> DataFrame:
 def appended(items: DataFrame, archive: DataFrame, subjects: DataFrame) -> DataFrame:
     """What appending does with each item: item_id, uid, action (insert, present, suppressed), flags.
 
-    Of items with one uid the first by item_id is inserted.  The first 4096
+    Of items with one uid the first by item_id is inserted.  The first 4000
     characters are probed for attempts to take over a model.
     """
     ref = items.withColumn("source_ref", F.col("item_id"))
     marked = ref.join(subjects.select("source", "source_ref", F.lit(True).alias("hidden")).distinct(), ["source", "source_ref"], "left")
-    keyed = marked.withColumn("uid", archive_uid(F.col("source"), F.col("source_ref"), F.col("content"))).withColumn("flags", F.array_join(injection(F.substring("content", 1, 4096), F.lit("user_input"))["flags"], ","))
+    keyed = marked.withColumn("uid", archive_uid(F.col("source"), F.col("source_ref"), F.col("content"))).withColumn("flags", F.array_join(injection(F.substring("content", 1, 4000), F.lit("tool_output"))["flags"], ","))
     held = archive.select(F.col("archive_uid").alias("uid"), F.lit(True).alias("held")).distinct()
     first = keyed.filter("hidden IS NULL").groupBy("uid").agg(F.min("item_id").alias("first"))
     joined = keyed.join(held, "uid", "left").join(first, "uid", "left")
@@ -92,10 +94,29 @@ def referring(frames: DataFrame, gone: DataFrame, max_rounds: int = 50) -> DataF
 
 
 def erased_frames(frames: DataFrame, archive: DataFrame, subjects: DataFrame) -> DataFrame:
-    """id of every frame to delete when ``subjects`` are erased: linked to their rows, then referring to those."""
-    rows = archive.join(subjects.select("source", "source_ref").distinct(), ["source", "source_ref"], "left_semi").select("archive_uid")
-    direct = linked_uids(frames).join(rows, "archive_uid", "left_semi").select(F.col("frame_id").alias("id")).distinct()
-    return referring(frames, direct)
+    """id of every frame to delete when ``subjects`` are erased.
+
+    A frame goes if it is linked to a row of theirs, holds a turn of a conversation
+    of theirs, or names one as its origin in metadata and content; then every
+    bridge frame that refers to one that goes.  Decisions drawn from a subject are
+    subjects of their own and go with it.
+    """
+    subjects = with_decisions(subjects)
+    rows = archive.join(subjects, ["source", "source_ref"], "left_semi").select("archive_uid")
+    linked = linked_uids(frames).join(rows, "archive_uid", "left_semi").select(F.col("frame_id").alias("id"))
+    turn = F.regexp_extract("content", TURN_HEADER, 1)
+    keys = subjects.select(conversation_key(F.col("source_ref")).alias("conv")).distinct()
+    turns = frames.select("id", turn.alias("conv")).filter("conv <> ''").join(keys, "conv", "left_semi").select("id")
+    origin = frames.select("id", F.regexp_extract("content", r"^\[(?:Harvest:)?([^\]]+)\]", 1).alias("source"), F.get_json_object("metadata", "$.sourceId").alias("source_ref"))
+    named = origin.filter("source <> '' AND source_ref IS NOT NULL").join(subjects, ["source", "source_ref"], "left_semi").select("id")
+    return referring(frames, linked.unionByName(turns).unionByName(named).distinct())
+
+
+def with_decisions(subjects: DataFrame) -> DataFrame:
+    """``subjects(source, source_ref)`` and the decisions drawn from them."""
+    given = subjects.select("source", "source_ref").distinct()
+    drawn = given.filter(F.col("source") == DECISION_SOURCE).select("source", decision_id(F.col("source_ref")).alias("source_ref"))
+    return given.unionByName(drawn).distinct()
 
 
 def lonely_entities(bridge: DataFrame, gone: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.text import entity_key
+from lodestrata.tables import written
 
 
 def active(rows: DataFrame) -> DataFrame:
@@ -48,12 +49,12 @@ def reach(relations: DataFrame, seeds: DataFrame, depth: int = 3, kind: str | No
     edges = active(relations)
     if kind is not None:
         edges = edges.filter(F.col("relation_type") == kind)
-    edges = edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).distinct()
-    seen = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("distance")).distinct()
+    edges = written(edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).distinct(), "edges")
+    seen = written(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("distance")).distinct(), "frontier")
     frontier = seen.select("seed", "node")
     for d in range(1, depth + 1):
         step = frontier.join(edges, "node").select("seed", F.col("next").alias("node")).distinct()
-        frontier = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        frontier = written(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti"), "frontier")
         seen = seen.unionByName(frontier.withColumn("distance", F.lit(d)))
     return seen
 

@@ -80,18 +80,21 @@ def json_answer(c: Column) -> Column:
 
 
 def screened(items: DataFrame, probe: int = 4000) -> DataFrame:
-    """Items with ``blocked``: whether the first ``probe`` characters try to take over a model."""
-    return items.withColumn("blocked", F.coalesce(~injection(F.substring("content", 1, probe), F.lit("tool_output"))["safe"], F.lit(False)))
+    """Items with ``blocked``: whether title and content, their first ``probe`` characters, try to take over a model."""
+    title = F.coalesce("title", F.lit("")) if "title" in items.columns else F.lit("")
+    text = F.concat(title, F.lit("\n"), F.coalesce("content", F.lit("")))
+    return items.withColumn("blocked", F.coalesce(~injection(F.substring(text, 1, probe), F.lit("tool_output"))["safe"], F.lit(False)))
 
 
-def distilled(items: DataFrame, complete: Complete, schema: str = "importance string, content string, confidence double") -> DataFrame:
+def distilled(items: DataFrame, complete: Complete, schema: str = "importance string, content string, confidence double", shown: int | None = 1200) -> DataFrame:
     """Screened items through one model call each: id and the fields of the answers that can be read.
 
-    ``items``: id, content.  Blocked items and unreadable answers give no row; a
-    missing confidence is 0.7.
+    ``items``: id, content.  A prompt has the first ``shown`` characters of an item,
+    as the models it is for have a limited context; whole items go in if it is None.
+    Blocked items and unreadable answers give no row; a missing confidence is 0.7.
     """
     safe = screened(items).filter("NOT blocked")
-    prompts = safe.select("id", F.concat(F.lit("Distill as JSON:\n"), F.substring("content", 1, 1200)).alias("prompt"))
+    prompts = safe.select("id", F.concat(F.lit("Distill as JSON:\n"), F.substring("content", 1, shown) if shown else F.col("content")).alias("prompt"))
     read = completed(prompts, complete).select("id", F.from_json(json_answer(F.col("answer")), schema).alias("x")).filter("x.content IS NOT NULL")
     return read.select("id", "x.importance", "x.content", F.coalesce("x.confidence", F.lit(0.7)).alias("confidence"))
 

@@ -69,14 +69,19 @@ def raw_detail_lane(spark, root):
 _IMPORTANT = "il AS (SELECT q.qid, id FROM q, (SELECT id FROM memory_frames WHERE importance IN ('critical', 'important') ORDER BY importance = 'important', id DESC LIMIT 5))"
 
 
-@query(_hybrid_sql("balanced", 10) + f", {_IMPORTANT}, u AS (SELECT qid, id, 0 AS p, 'semantic' AS lane FROM h UNION ALL SELECT qid, id, 1, 'important' FROM il UNION ALL SELECT qid, id, 2, 'recent' FROM rl WHERE rank < 5) SELECT qid, id, arg_min(lane, p) AS lane FROM u GROUP BY 1, 2")
-def seven_lanes(spark, root):
+_RECENT = "rl AS (SELECT q.qid, id FROM q, (SELECT id FROM memory_frames ORDER BY created_at DESC, id DESC LIMIT 5))"
+
+
+@query(_hybrid_sql("balanced", 10) + f", {_IMPORTANT}, {_RECENT}, u AS (SELECT qid, id, 0 AS p, 'semantic' AS lane FROM h UNION ALL SELECT qid, id, 1, 'important' FROM il UNION ALL SELECT qid, id, 2, 'recent' FROM rl) SELECT qid, id, arg_min(lane, p) AS lane FROM u GROUP BY 1, 2")
+def merged_lanes(spark, root):
+    """Hybrid hits, important frames and the newest, each frame in the first lane that has it."""
     from lodestrata.operators.frames import important_lane
     from lodestrata.plans.search import for_each
-    from lodestrata.plans.search import lanes as two_lanes
 
-    important = for_each(asked(spark, root), important_lane(frames(spark, root), 5), F.desc("id"))
-    return lanes.merged_lanes(("semantic", hybrid(spark, root, limit=10)), ("important", important), ("recent", two_lanes(spark, root)[1].filter("rank < 5")))
+    q, kept = asked(spark, root), frames(spark, root)
+    important = for_each(q, important_lane(kept, 5), F.desc("id"))
+    recent = for_each(q, kept.orderBy(F.desc("created_at"), F.desc("id")).limit(5), F.desc("created_at"), F.desc("id"))
+    return lanes.merged_lanes(("semantic", hybrid(spark, root, limit=10)), ("important", important), ("recent", recent))
 
 
 @query(bm25_sql(_FRAMES, 60) + f""", k AS (SELECT kw.qid, kw.id, row_number() OVER (PARTITION BY kw.qid ORDER BY rank, kw.id) - 1 AS nth FROM kw JOIN memory_frames m ON m.id = kw.id WHERE regexp_matches(content, '{_re(fixed.FAILURE)}') AND NOT regexp_matches(content, '{_re(fixed.RESOLVED)}')

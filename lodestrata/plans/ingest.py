@@ -35,7 +35,7 @@ def semantic_chunks(spark, root):
     return op.chunks(frames(spark, root))
 
 
-@query(f"""SELECT id, regexp_matches(left(content, 4000), '{_re(fixed.ROLE_OVERRIDE)}') OR regexp_matches(left(content, 4000), '{_re(fixed.PROMPT_EXTRACTION)}') OR regexp_matches(left(content, 4000), '{_re(fixed.INSTRUCTION_INJECTION)}') AS blocked FROM raw_archive WHERE content IS NOT NULL""")
+@query(f"""SELECT id, regexp_matches(left(coalesce(title, '') || chr(10) || content, 4000), '{_re(fixed.ROLE_OVERRIDE)}') OR regexp_matches(left(coalesce(title, '') || chr(10) || content, 4000), '{_re(fixed.PROMPT_EXTRACTION)}') OR regexp_matches(left(coalesce(title, '') || chr(10) || content, 4000), '{_re(fixed.INSTRUCTION_INJECTION)}') AS blocked FROM raw_archive WHERE content IS NOT NULL""")
 def pipeline_gate(spark, root):
     return op.screened(table(spark, root, "raw_archive").filter("content IS NOT NULL")).select("id", "blocked")
 

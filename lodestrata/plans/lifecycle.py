@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import fixed
+from lodestrata.functions.text import TURN_HEADER
 from lodestrata.operators import archive as op
 from lodestrata.operators import state
 from lodestrata.plans.frames import NOW
@@ -44,7 +45,7 @@ def suppression_antijoin(spark, root):
     return op.unsuppressed(items, op.suppressed(archive(spark, root))).select("item_id", "source")
 
 
-@query(f"""WITH s AS {_SUP}, k AS (SELECT i.item_id, s.source IS NOT NULL AS hidden, sha256(coalesce(i.source, '') || chr(0) || i.item_id || chr(0) || coalesce(i.content, '')) AS uid, left(content, 4096) AS c FROM import_items i LEFT JOIN s ON s.source = i.source AND s.source_ref = i.item_id),
+@query(f"""WITH s AS {_SUP}, k AS (SELECT i.item_id, s.source IS NOT NULL AS hidden, sha256(coalesce(i.source, '') || chr(0) || i.item_id || chr(0) || coalesce(i.content, '')) AS uid, left(content, 4000) AS c FROM import_items i LEFT JOIN s ON s.source = i.source AND s.source_ref = i.item_id),
     f AS (SELECT uid, min(item_id) AS first FROM k WHERE NOT hidden GROUP BY 1)
     SELECT k.item_id, k.uid, CASE WHEN hidden THEN 'suppressed' WHEN k.uid IN (SELECT archive_uid FROM raw_archive) OR k.item_id <> f.first THEN 'present' ELSE 'insert' END AS action,
     concat_ws(',', CASE WHEN regexp_matches(c, '{_re(fixed.ROLE_OVERRIDE)}') THEN 'role_override' END, CASE WHEN regexp_matches(c, '{_re(fixed.PROMPT_EXTRACTION)}') THEN 'prompt_extraction' END, CASE WHEN regexp_matches(c, '{_re(fixed.INSTRUCTION_INJECTION)}') THEN 'instruction_injection' END) AS flags
@@ -77,7 +78,9 @@ def archive_violations(spark, root):
 
 _GONE = f"""WITH RECURSIVE u AS (SELECT id, unnest(list_concat(coalesce(from_json(json_extract(metadata, '$.archiveUids'), '["VARCHAR"]'), []), CASE WHEN json_extract_string(metadata, '$.archiveUid') IS NULL THEN [] ELSE [json_extract_string(metadata, '$.archiveUid')] END)) AS uid FROM memory_frames WHERE metadata IS NOT NULL),
     r AS (SELECT id, unnest(from_json(json_extract(content, '$.references'), '["BIGINT"]')) AS ref FROM memory_frames WHERE frame_type = 'B' AND json_valid(content)),
-    g(id) AS (SELECT DISTINCT u.id FROM u JOIN raw_archive a ON a.archive_uid = u.uid WHERE {_HIT} UNION SELECT r.id FROM r JOIN g ON r.ref = g.id)"""
+    g(id) AS (SELECT DISTINCT u.id FROM u JOIN raw_archive a ON a.archive_uid = u.uid WHERE {_HIT} UNION SELECT id FROM memory_frames WHERE regexp_extract(content, '{TURN_HEADER}', 1) IN (SELECT substr(regexp_replace(item_id, '[^A-Za-z0-9_.-]', '_', 'g'), 1, 64) FROM import_items WHERE source = 'cursor')
+        UNION SELECT f.id FROM memory_frames f JOIN import_items i ON i.source = 'cursor' AND regexp_extract(f.content, '^\\[(?:Harvest:)?([^\\]]+)\\]', 1) = i.source AND json_extract_string(f.metadata, '$.sourceId') = i.item_id
+        UNION SELECT r.id FROM r JOIN g ON r.ref = g.id)"""
 
 
 @query(_GONE + " SELECT id FROM g")
@@ -130,9 +133,11 @@ def awareness_context(spark, root):
     return state.awareness_context(awareness(spark, root), "2024-01-25 00:00:00")
 
 
-@query("SELECT event_id AS id FROM events WHERE json_extract_string(props, '$.k')::INT = 7 ORDER BY event_id")
+@query(f"WITH {_AWARE} SELECT a.id, priority FROM a JOIN events e ON e.event_id = a.id WHERE json_extract_string(props, '$.k') = '7' AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-25') ORDER BY priority DESC, a.id")
 def awareness_by_status(spark, root):
-    return table(spark, root, "events").filter(F.get_json_object("props", "$.k").try_cast("int") == 7).select(F.col("event_id").alias("id"))
+    """Items of one status that haven't expired, most urgent first."""
+    rows = awareness(spark, root).join(table(spark, root, "events").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").alias("status")), "id")
+    return state.awake(rows.filter("status = '7'"), "2024-01-25 00:00:00").orderBy(F.desc("priority"), "id").select("id", "priority")
 
 
 _MASTERY = """m AS (SELECT user_id AS concept, list_reduce(list_prepend(1, list(CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END ORDER BY ts, event_id)), lambda a, b: greatest(1, least(5, a + b)))::INT AS mastery_level,

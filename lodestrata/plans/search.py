@@ -178,8 +178,8 @@ def confidence_gate(spark, root):
 _OVERLAP = """(SELECT qid, h.id, h.rank, CASE WHEN (SELECT count(*) FROM qt WHERE qt.qid = h.qid) = 0 THEN 0.0::DOUBLE ELSE round((SELECT count(*) FROM qt WHERE qt.qid = h.qid AND list_contains(tok.ts, qt.term))::DOUBLE / (SELECT count(*) FROM qt WHERE qt.qid = h.qid), 6) END AS score FROM h JOIN tok USING (id) WHERE h.rank < {pool})"""
 
 
-@query(_hybrid_sql("balanced", 40) + f""", x AS (SELECT qid, id, rank AS r0, 'reranked' AS kind, score FROM {_OVERLAP.format(pool=30)} UNION ALL SELECT qid, id, rank, 'fused', score FROM h WHERE rank >= 30)
-    SELECT qid, id, kind, score, row_number() OVER (PARTITION BY qid ORDER BY kind DESC, CASE WHEN kind = 'reranked' THEN score END DESC, r0) - 1 AS rank FROM x""")
+@query(_hybrid_sql("balanced", 40) + f""", y AS (SELECT qid, id, rank AS r0, 'reranked' AS kind, score FROM {_OVERLAP.format(pool=30)} UNION ALL SELECT qid, id, rank, 'fused', score FROM h WHERE rank >= 30)
+    SELECT qid, id, kind, score, row_number() OVER (PARTITION BY qid ORDER BY kind DESC, CASE WHEN kind = 'reranked' THEN score END DESC, r0) - 1 AS rank FROM y""")
 def rerank_pool(spark, root):
     return op.rerank(hybrid(spark, root, limit=40), asked(spark, root), memory(spark, root))
 

@@ -100,7 +100,7 @@ def items(read: DataFrame) -> DataFrame:
     """One item per conversation of :func:`messages`: item_id, source, title, content, n_messages, started."""
     parts = read.groupBy("export_id", "source", "conv_idx", "conv_id", "title", "started").agg(F.array_sort(F.collect_list(F.struct("msg_idx", F.concat("role", F.lit(": "), "text").alias("line")))).alias("lines"))
     content = F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n")
-    key = F.coalesce("conv_id", F.concat_ws("\u0000", F.lit("conv"), "title", F.coalesce("started", F.lit(""))))
+    key = F.coalesce("conv_id", F.concat_ws("\u0000", F.lit("conv"), "title", F.coalesce("started", F.lit("")), content))
     return parts.select(stable_id(F.col("source"), key).alias("item_id"), "source", "title", content.alias("content"), F.size("lines").alias("n_messages"), "started")
 
 

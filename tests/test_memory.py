@@ -139,3 +139,63 @@ def test_numbering(spark):
     rows = numbered(df, "k").orderBy("k").collect()
     assert [r.nth for r in rows] == list(range(1000))
     assert numbered(df.limit(0), "k").count() == 0
+
+
+def test_twins_are_one_entity_and_properties_are_merged(spark, memory):
+    schema = "name string, entity_type string, properties string"
+    memory.save_entities(spark.createDataFrame([("Foo", "tool", '{"a": "1"}'), ("foo", "Tool", '{"b": "2"}'), (None, "tool", "{}"), ("Bar", None, None)], schema), NOW)
+    memory.save_entities(spark.createDataFrame([("FOO", "tool", '{"b": "3", "c": "4"}')], schema), NOW)
+    got = {r.name: r.properties for r in memory.table("entities").collect()}
+    assert len(got) == 2 and got["Bar"] == "{}"
+    import json
+
+    assert json.loads(got["Foo"]) == {"a": "1", "b": "3", "c": "4"}
+
+
+def test_folding_leaves_other_relations_alone(spark, memory):
+    schema = "name string, entity_type string, properties string"
+    memory.save_entities(spark.createDataFrame([("Postgres", "tool", '{"x": "own"}'), ("pg", "tool", '{"x": "other", "y": "1"}'), ("Ada", "person", "{}"), ("Bo", "person", "{}")], schema), NOW)
+    ids = {r.name: r.id for r in memory.table("entities").collect()}
+    rel = lambda *x: spark.createDataFrame([(ids[a], ids[b], k) for a, b, k in x], "source_id long, target_id long, relation_type string")
+    memory.relate(rel(("Ada", "Bo", "knows"), ("Ada", "pg", "uses")), NOW)
+    r = memory.table("relations")
+    memory.store.write(relations=r.withColumn("confidence", F.lit(0.5)))
+    later = "2025-02-01 00:00:00"
+    folded = {r.id: r.survivor for r in memory.dedupe_entities(later).collect()}
+    assert len(folded) == 1
+    rows = memory.table("relations").collect()
+    knows = [r for r in rows if r.relation_type == "knows"]
+    assert len(knows) == 1 and knows[0].valid_to is None and knows[0].confidence == 0.5 and str(knows[0].valid_from).startswith("2025-01-01")
+    assert all(r.confidence == 0.5 for r in rows) and sum(r.valid_to is None for r in rows if r.relation_type == "uses") == 1
+
+
+def test_erasure_reaches_turns_named_origins_decisions_and_lonely_entities(spark, memory):
+    memory.save(contents(spark, "[mind-rawturn conv:c_1 turn:0 speaker:user]\nabout Grimholt", "[Harvest:claude-code] a note", "[other] a note", "about Tolmar", "from a decision"), NOW)
+    f = memory.table("frames").withColumn("metadata", F.when(F.col("id").isin(2, 3), '{"sourceId": "c/1"}').when(F.col("id") == 5, '{"archiveUid": "u9"}').otherwise("{}"))
+    memory.store.write(frames=f)
+    from lodestrata.functions.text import decision_id
+
+    ref = spark.range(1).select(decision_id(F.lit("c/1"))).first()[0]
+    memory.store.write(archive=spark.createDataFrame([(9, "u9", "claude-code", ref, "t", "body", "h", None, None)], memory.table("archive").schema))
+    memory.save_entities(spark.createDataFrame([("Grimholt", "org", "{}"), ("Tolmar", "org", "{}")], "name string, entity_type string, properties string"), NOW)
+    ids = {r.name: r.id for r in memory.table("entities").collect()}
+    memory.relate(spark.createDataFrame([(ids["Grimholt"], ids["Tolmar"], "x")], "source_id long, target_id long, relation_type string"), NOW)
+    memory.erase(spark.createDataFrame([("claude-code", "c/1")], "source string, source_ref string"), NOW, "asked")
+    assert {r.id for r in memory.table("frames").collect()} == {3, 4}
+    assert [r.name for r in memory.table("entities").collect()] == ["Tolmar"] and memory.table("relations").count() == 0
+    assert memory.table("archive").first().title is None
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    from lodestrata.store import ConflictError
+
+    a, b = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    a.write(x=spark.range(1))
+    broken = tmp_path / "s" / "v000000002.claim"
+    broken.write_text("")
+    with pytest.raises(ConflictError):
+        b.write(x=spark.range(5))
+    assert a.read("x").count() == 1
+    a.unlock()
+    b.write(x=spark.range(5))
+    assert a.read("x").count() == 5
