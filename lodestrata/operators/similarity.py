@@ -53,6 +53,52 @@ def similar_pairs(texts: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", score.alias("similarity")).filter(F.col("similarity") >= least)
 
 
+def against(incoming: DataFrame, existing: DataFrame, least: float) -> DataFrame:
+    """a of ``incoming(id, text)``, b of ``existing(id, text)`` and their similarity, where it is at least ``least``.
+
+    As ``similar_pairs``, but only between the two; equal texts on one side count
+    once each.  Null and short texts are similar to none.
+    """
+    one, two = (trigrams(t).filter(F.size("grams") > 0).select("id", F.lit(side).alias("side"), F.size("grams").alias("n"), "grams") for t, side in ((incoming, 0), (existing, 1)))
+    each = one.unionByName(two).select("id", "side", "n", F.explode("grams").alias("gram"))
+    df = each.groupBy("gram").agg(F.count("*").alias("df"))
+    coded = each.join(df, "gram").select("id", "side", "n", (F.col("df") * (1 << 40) + F.pmod(F.xxhash64("gram"), F.lit(1 << 40))).alias("code"))
+    full = written(coded.groupBy("id", "side", "n").agg(F.array_sort(F.collect_list("code")).alias("codes")), "grams")
+    wanted = F.ceil(F.col("n") * least - 1e-9).cast("int")
+    prefix = full.select("id", "side", "n", F.explode(F.slice("codes", F.lit(1), F.least(F.col("n"), F.col("n") - wanted + COMMON))).alias("code"))
+    x, y = prefix.filter("side = 0").alias("x"), prefix.filter("side = 1").alias("y")
+    close = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least)
+    met = x.join(y, (F.col("x.code") == F.col("y.code")) & close).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.first(F.greatest("x.n", "y.n")).alias("n"))
+    likely = met.filter(F.col("c") >= F.least(F.lit(COMMON), wanted)).select("a", "b")
+    sets = lambda side, name: full.filter(F.col("side") == side).select(F.col("id").alias(name), F.col("codes").alias(f"c{name}"), F.col("n").alias(f"n{name}"))
+    joined = likely.join(sets(0, "a"), "a").join(sets(1, "b"), "b")
+    score = F.size(F.array_intersect("ca", "cb")) / F.greatest("na", "nb")
+    return joined.select("a", "b", score.alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def screened_against(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """What becomes of each of ``incoming(id, text)`` beside ``existing(id, text)``: id, action, match_id, similarity.
+
+    ``skip`` where a stored text is equal but for case and spaces, or nearly the
+    same (three quarters of the trigrams); else ``keep``.  The match is the most
+    similar stored text, of several the smallest id.  Null and blank texts are
+    skipped without a match; incoming ones are not compared with each other.
+    """
+    fold = lambda t: t.select("id", normalized(F.col("text")).alias("text")).filter("text <> ''")
+    new, old = fold(incoming), fold(existing)
+    held = old.groupBy("text").agg(F.min("id").alias("match_id"))
+    equal = new.join(held, "text").select("id", "match_id", F.lit(1.0).alias("similarity"))
+    # One of each text is compared, whatever the copies.
+    heads = new.join(held, "text", "left_anti").groupBy("text").agg(F.min("id").alias("head"))
+    pairs = against(heads.select(F.col("head").alias("id"), "text"), held.select(F.col("match_id").alias("id"), "text"), fixed.NEAR_DUPLICATE)
+    best = pairs.groupBy(F.col("a").alias("head")).agg(F.max(F.struct("similarity", (-F.col("b")).alias("minus"))).alias("m")).select("head", (-F.col("m.minus")).alias("match_id"), "m.similarity")
+    near = new.join(heads, "text").join(best, "head").select("id", "match_id", "similarity")
+    found = equal.unionByName(near)
+    told = incoming.select("id", normalized(F.coalesce("text", F.lit(""))).alias("text")).join(found, "id", "left")
+    action = F.when((F.col("text") == "") | F.col("match_id").isNotNull(), "skip").otherwise("keep")
+    return told.select("id", action.alias("action"), "match_id", F.round("similarity", 6).alias("similarity"))
+
+
 def links_per_text(texts: DataFrame) -> DataFrame:
     """id, class_id of equal texts, number of near duplicates and of contradiction candidates among the other classes.
 

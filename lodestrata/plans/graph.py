@@ -215,6 +215,22 @@ def trigram_near_dups(spark, root):
     return similarity.links_per_text(table(spark, root, "raw_archive").select("id", F.col("title").alias("text")))
 
 
+_FOLD = "trim(regexp_replace(lower({c}), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH x AS (SELECT id, coalesce({_FOLD.format(c='content')}, '') AS t FROM raw_archive WHERE run_id % 5 = 0), y AS (SELECT id, {_FOLD.format(c='content')} AS t FROM raw_archive WHERE run_id % 5 <> 0 AND content IS NOT NULL),
+    h AS (SELECT t, min(id) AS match_id FROM y WHERE t <> '' GROUP BY 1), n AS (SELECT DISTINCT t FROM x WHERE t <> '' AND t NOT IN (SELECT t FROM h)),
+    gx AS (SELECT DISTINCT t, substr(t, i, 3) AS gram FROM (SELECT t, unnest(range(1, length(t) - 1)) AS i FROM n)), gy AS (SELECT DISTINCT match_id, substr(t, i, 3) AS gram FROM (SELECT match_id, t, unnest(range(1, length(t) - 1)) AS i FROM h)),
+    zx AS (SELECT t, count(*) AS k FROM gx GROUP BY 1), zy AS (SELECT match_id, count(*) AS k FROM gy GROUP BY 1), c AS (SELECT t, match_id, count(*) AS c FROM gx JOIN gy USING (gram) GROUP BY 1, 2),
+    s AS (SELECT t, match_id, c::DOUBLE / greatest(zx.k, zy.k) AS similarity FROM c JOIN zx USING (t) JOIN zy USING (match_id) WHERE c::DOUBLE / greatest(zx.k, zy.k) >= {fixed.NEAR_DUPLICATE} QUALIFY row_number() OVER (PARTITION BY t ORDER BY c::DOUBLE / greatest(zx.k, zy.k) DESC, match_id) = 1),
+    m AS (SELECT t, match_id, 1.0::DOUBLE AS similarity FROM h UNION ALL SELECT * FROM s)
+    SELECT x.id, CASE WHEN x.t = '' OR match_id IS NOT NULL THEN 'skip' ELSE 'keep' END AS action, match_id, round(similarity, 6) AS similarity FROM x LEFT JOIN m ON m.t = x.t AND x.t <> ''""")
+def harvest_dedup(spark, root):
+    """The contents of every fifth run as incoming ones, checked against those of all other runs."""
+    rows = table(spark, root, "raw_archive").select("id", F.col("content").alias("text"), "run_id")
+    return similarity.screened_against(rows.filter("run_id % 5 = 0").drop("run_id"), rows.filter("run_id % 5 <> 0").drop("run_id"))
+
+
 _RULE_WORDS = f"""list_distinct(list_transform(list_filter(regexp_extract_all(lower({{c}}), '[a-z][a-z-]{{{{3,}}}}'), lambda w: w NOT IN ({", ".join("'" + w + "'" for w in fixed.RULE_STOP_WORDS)})), lambda w:
     CASE WHEN length(w) < 5 THEN w WHEN ends_with(w, 'ies') THEN left(w, length(w) - 3) || 'y' WHEN ends_with(w, 'ing') AND length(w) > 6 THEN left(w, length(w) - 3) WHEN ends_with(w, 'ed') AND length(w) > 5 THEN left(w, length(w) - 2)
     WHEN ends_with(w, 'es') AND length(w) > 5 THEN left(w, length(w) - 2) WHEN ends_with(w, 's') AND length(w) > 4 AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) ELSE w END))"""

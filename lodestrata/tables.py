@@ -44,11 +44,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there and any executor may be lost."""
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage ends there and any executor may be lost.
+
+    Stronger compression saves disk where texts are written; where joins follow, the
+    size of the files should stay near that of the rows, as Spark chooses by it.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
