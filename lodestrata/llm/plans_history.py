@@ -19,7 +19,7 @@ def classes(spark: SparkSession, root: str) -> DataFrame:
     live = live_contents(spark, root)
     middle = live.agg(F.percentile_approx("run_id", 0.5).alias("m")).first()["m"]
     border = live.filter(F.col("run_id") > F.lit(middle)).agg(F.min("id").alias("b")).first()["b"]
-    texts = written(vectors(live), "history-texts")
+    texts = written(vectors(live), "history-texts", "zstd")
     index = History(spark, scratch_path(spark, "history"))
     index.fit(texts)
     parts = [texts] if border is None else [texts.filter(F.col("id") < border), texts.filter(F.col("id") >= border)]

@@ -18,4 +18,11 @@ def p2_entities(spark: SparkSession, root: str) -> DataFrame:
     return link_names(table(spark, root, "knowledge_entities")).groupBy("entity_id").agg(F.count("*").alias("n_rows"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities}
+def p2_members(spark: SparkSession, root: str) -> DataFrame:
+    """Each row of a linked entity with the smallest id of the entity, which stands for it."""
+    linked = link_names(table(spark, root, "knowledge_entities"))
+    heads = linked.groupBy("entity_id").agg(F.min("id").alias("first_id"))
+    return linked.join(heads, "entity_id").select("id", "first_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p2_members": p2_members}
