@@ -11,6 +11,7 @@ from lodestrata.operators import derive, lanes, search
 from lodestrata.operators.graph import active, mentions
 from lodestrata.plans.frames import frames
 from lodestrata.plans.graph import _E, _R, relations, trade_entities
+from lodestrata.plans.lifecycle import _AWARE
 from lodestrata.plans.search import _FRAMES, _hybrid_sql, asked, bm25_sql, hybrid, memory
 from lodestrata.plans.texts import _re
 from lodestrata.tables import table
@@ -103,11 +104,21 @@ def semantic_filter(spark, root):
     return lanes.verified(q.join(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("b"), "label"), "label")).select("qid", "id")
 
 
-@query(bm25_sql(_FRAMES, 6) + """, l AS (SELECT qid, rank, CASE WHEN length(f) > 240 THEN substr(f, 1, 240) || '…' ELSE f END AS line FROM (SELECT qid, rank, content AS f FROM kw JOIN memory_frames m ON m.id = kw.id))
-    SELECT qid, '## frames' || chr(10) || '- ' || string_agg(line, chr(10) || '- ' ORDER BY rank) AS context FROM l GROUP BY 1""")
+@query(bm25_sql(_FRAMES, 6) + f""", {_AWARE}, l AS (SELECT qid, rank, CASE WHEN length(f) > 240 THEN substr(f, 1, 240) || '…' ELSE f END AS line FROM (SELECT qid, rank, content AS f FROM kw JOIN memory_frames m ON m.id = kw.id)),
+    f AS (SELECT qid, '## frames' || chr(10) || '- ' || string_agg(line, chr(10) || '- ' ORDER BY rank) AS text FROM l GROUP BY 1),
+    t AS (SELECT content, row_number() OVER (ORDER BY priority DESC, id) AS nth FROM a WHERE expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-25' QUALIFY nth <= 4), g AS (SELECT '## awareness' || chr(10) || '- ' || string_agg(content, chr(10) || '- ' ORDER BY nth) AS text FROM t)
+    SELECT q.qid, concat_ws(chr(10) || chr(10), g.text, f.text) AS context FROM q CROSS JOIN g LEFT JOIN f USING (qid)""")
 def compose_context(spark, root):
-    hits = search.bm25(asked(spark, root), memory(spark, root), 10).join(frames(spark, root).select("id", "content"), "id")
-    return lanes.composed(hits.select("qid", F.lit("frames").alias("section"), F.col("rank").alias("nth"), "content"))
+    from lodestrata.operators import state
+    from lodestrata.plans.lifecycle import awareness
+    from lodestrata.plans.search import for_each
+
+    q = asked(spark, root)
+    hits = search.bm25(q, memory(spark, root), 10).join(frames(spark, root).select("id", "content"), "id")
+    top = state.awareness_top(awareness(spark, root), "2024-01-25 00:00:00", 4)
+    urgent = for_each(q, top, F.desc("priority"), "id").join(top.select("id", "content"), "id")
+    parts = [x.select("qid", F.lit(name).alias("section"), F.col("rank").alias("nth"), "content") for name, x in (("awareness", urgent), ("frames", hits))]
+    return lanes.composed(parts[0].unionByName(parts[1]))
 
 
 _BRIDGE = "b AS (SELECT DISTINCT e.id AS entity_id, f.id AS frame_id FROM memory_frames f JOIN knowledge_entities e ON e.valid_to IS NULL AND length(e.name) >= 3 AND contains(lower(f.content), lower(e.name)))"

@@ -46,6 +46,38 @@ def export_items(spark, root):
     return exports.items(exports.messages(_export(spark, root))).select("item_id", "title", F.col("n_messages").cast("long").alias("n_messages"))
 
 
+def _shaped(spark: SparkSession, root: str, source: str) -> DataFrame:
+    """Each item's messages in another tool's shape; these keep the order of the list."""
+    m = table(spark, root, "conversation_messages").select("msg_id", "item_id", "msg_idx", "msg_role", "text").distinct()
+    text = F.coalesce("text", F.lit(""))
+    entry = {
+        "claude": F.struct(F.when(F.col("msg_role") == "user", "human").otherwise(F.col("msg_role")).alias("sender"), F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).alias("content")),
+        "gemini": F.struct(F.when(F.col("msg_role") == "assistant", "model").otherwise(F.col("msg_role")).alias("role"), F.array(F.struct(text.alias("text"))).alias("parts")),
+        "perplexity": F.struct(F.col("msg_role").alias("role"), text.alias("content")),
+    }[source]
+    rows = m.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("msg_idx", "msg_id", entry.alias("m")))).alias("rows")).withColumn("entries", F.transform("rows", lambda r: r["m"]))
+    named = F.concat(F.lit("about "), "item_id")
+    payload = {
+        "claude": F.struct(F.array(F.struct(F.col("item_id").alias("uuid"), named.alias("name"), F.col("entries").alias("chat_messages"))).alias("conversations")),
+        "gemini": F.array(F.struct(F.col("item_id").alias("conversationId"), named.alias("title"), F.col("entries").alias("messages"))),
+        "perplexity": F.struct(F.array(F.struct(F.col("item_id").alias("threadId"), named.alias("title"), F.col("entries").alias("messages"))).alias("threads")),
+    }[source]
+    return rows.select(F.col("item_id").alias("export_id"), F.lit(source).alias("source"), F.to_json(payload).alias("payload"))
+
+
+def _register_shape(source: str) -> None:
+    def read(spark, root):
+        got = exports.messages(_shaped(spark, root, source))
+        return got.groupBy("conv_id", "title", "role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+    QUERIES[f"export_{source}"] = read
+    SQL[f"export_{source}"] = f"WITH {_KEPT} SELECT item_id AS conv_id, 'about ' || item_id AS title, role, count(*) AS n, sum(length(text))::BIGINT AS chars FROM m GROUP BY ALL"
+
+
+for _source in ("claude", "gemini", "perplexity"):
+    _register_shape(_source)
+
+
 @query("""SELECT id, CASE WHEN contains(l, 'perplexity') THEN 'perplexity' WHEN contains(l, 'grok') OR contains(l, 'x.ai') THEN 'grok' WHEN contains(l, 'manus') THEN 'manus' WHEN contains(l, 'genspark') THEN 'genspark' WHEN contains(l, 'qwen') OR contains(l, 'tongyi') THEN 'qwen'
     WHEN contains(l, 'minimax') THEN 'minimax' WHEN contains(l, 'elevenlabs') THEN 'elevenlabs' ELSE 'unknown' END AS detected FROM (SELECT id, lower(content) AS l FROM raw_archive WHERE content IS NOT NULL)""")
 def source_detection(spark, root):
