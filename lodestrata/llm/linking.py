@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.names import Name, blocks, certainty, fits, read_name, same_name, short_blocks
+from lodestrata.llm.names import Name, certainty, fits, imaged_blocks, read_name, same_name, short_blocks
 from lodestrata.operators.components import connected_components
 from lodestrata.tables import written
 
@@ -32,9 +33,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         names = [_name(k) for k in b.column("key").to_pylist()]
-        own, other = [sorted(blocks(n)) for n in names], [sorted(short_blocks(n)) for n in names]
-        kind = pa.list_(pa.string())
-        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("node"), pa.array(own, kind), pa.array(other, kind)], ["key", "node", "own", "other"])
+        columns = []
+        for found in (imaged_blocks, short_blocks):
+            all_of = [list(found(n)) for n in names]
+            ends = pa.array(np.cumsum([0, *map(len, all_of)]).astype(np.int32))
+            parts = list(zip(*(x for xs in all_of for x in xs))) or [(), ()]
+            columns.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(parts[0], pa.string()), pa.array(parts[1], pa.int64())], ["block", "letters"])))
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("node"), *columns], ["key", "node", "own", "other"])
+
+
+def _alike() -> Column:
+    """Whether the letters of x and y differ by no more than two slips can make."""
+    away = lambda p, q: F.bit_count(F.col(f"{p}.letters").bitwiseAND(F.bitwise_not(f"{q}.letters"))) <= 2
+    return away("x", "y") & away("y", "x")
 
 
 def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,25 +71,27 @@ def link_names(entities: DataFrame) -> DataFrame:
     its spellings and by the types of all its rows together, so one wrong type
     doesn't matter.  entity_id is a 64-bit number, the same for equal input.
 
-    Null and blank names give no row.  The keys of a block are distinct spellings
-    a slip apart, so their number doesn't grow with the rows.
+    Null and blank names give no row.  Only keys of a block whose letters differ by
+    what two slips can make are met, which about one in a hundred does; repeated
+    spellings are one key.
     """
     read = entities.select(F.col("id").cast("long").alias("id"), "entity_type", "name").filter("id IS NOT NULL AND name IS NOT NULL").mapInArrow(_read, "id long, entity_type string, kind string, key string, sure long")
     rows = written(read.filter("kind <> 'none' AND kind <> 'thing'").withColumn("node", F.xxhash64("key")), "names")
     kind = F.lower(F.trim("entity_type"))
     vote = F.when(kind.isin(*BEING), 1).when(kind.isin(*OTHER), -1).otherwise(0)
     keys = rows.groupBy("key", "node").agg(F.sum(vote).alias("votes"), F.max("sure").alias("sure"))
-    keyed = written(keys.select("key", "node").mapInArrow(_block, "key string, node long, own array<string>, other array<string>"), "name-blocks")
-    own = keyed.select(F.explode("own").alias("block"), "key", "node")
+    keyed = written(keys.select("key", "node").mapInArrow(_block, "key string, node long, own array<struct<block string, letters long>>, other array<struct<block string, letters long>>"), "name-blocks")
+    own = keyed.select(F.inline("own"), "key", "node")
     x, y = own.alias("x"), own.alias("y")
-    met = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b")).distinct()
+    met = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node")) & _alike()).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b")).distinct()
     edges = written(met.mapInArrow(_matching, "a long, b long"), "name-links")
     alone = keys.select(F.col("node").alias("a"), F.col("node").alias("b"))
     groups = written(connected_components(edges.unionByName(alone)), "name-groups")
     # Initials and family names: the persons they fit, best fit first.
     shorts = own.filter("block LIKE 'i:%' OR block LIKE 'n:%'")
-    people = keyed.select(F.explode("other").alias("block"), F.col("key").alias("key_b"), F.col("node").alias("b"))
-    fitted = shorts.select("block", F.col("key").alias("key_a"), F.col("node").alias("a")).join(people, "block").select("a", "b", "key_a", "key_b").distinct().mapInArrow(_fitting, "a long, b long, fit int").filter("fit > 0")
+    people = keyed.select(F.inline("other"), "key", "node")
+    near = shorts.alias("x").join(people.alias("y"), (F.col("x.block") == F.col("y.block")) & _alike())
+    fitted = near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b")).distinct().mapInArrow(_fitting, "a long, b long, fit int").filter("fit > 0")
     per = fitted.join(groups.select(F.col("node").alias("b"), F.col("component").alias("person")), "b").groupBy("a", "person").agg(F.max("fit").alias("fit"))
     best = per.groupBy("a").agg(F.max("fit").alias("fit"))
     only = per.join(best, ["a", "fit"]).groupBy("a").agg(F.count("*").alias("n"), F.min("person").alias("person")).filter("n = 1").select(F.col("a").alias("node"), "person")

@@ -241,39 +241,60 @@ def certainty(name: Name) -> int:
     return {"family": 2, "initial": 1}.get(name.kind, 0)
 
 
-def blocks(name: Name) -> set[str]:
-    """Names that may mean the same person or firm share one of these."""
+@lru_cache(maxsize=200_000)
+def letters(word: str) -> int:
+    """A bit for each letter that occurs, another for each that occurs twice.
+
+    A slip takes away one bit at most and adds one at most.  The letter e has none,
+    as ``plain`` leaves some out.
+    """
+    once = twice = 0
+    for c in word:
+        if c != "e" and "a" <= c <= "z":
+            bit = 1 << (ord(c) - 97)
+            twice |= once & bit
+            once |= bit
+    return once | twice << 26
+
+
+def imaged_blocks(name: Name) -> set[tuple[str, int]]:
+    """The blocks of a name, each with the letters of the words that it stands for."""
     if name.kind == "firm":
         trade, rest = name.parts
-        return {f"f:{trade}:{c}" for c in with_slack("".join(sound(w) for w in rest.split()), 2 if len(rest) >= TWO_SLIPS else 1)}
+        return {(f"f:{trade}:{c}", letters(rest)) for c in with_slack("".join(sound(w) for w in rest.split()), 2 if len(rest) >= TWO_SLIPS else 1)}
     if name.kind == "person":
         out = set()
         long = [max(len(p), len(plain(p))) >= TWO_SLIPS for p in name.parts]
         for x in forms(name.parts[0]) | {name.parts[0]}:
             for y in forms(name.parts[1]) | {name.parts[1]}:
-                a, b = sound(x), sound(y)
+                a, b, image = sound(x), sound(y), letters(x + y)
                 # A slip in each part, or two in one long part beside the same other.
                 both = [(p, q) for p in with_slack(a) for q in with_slack(b)]
                 twice = [(p, b) for p in with_slack(a, 2)] if long[0] else []
                 twice += [(a, q) for q in with_slack(b, 2)] if long[1] else []
                 for p, q in both + twice:
-                    out.add("p:" + ":".join(sorted((p, q))))
+                    out.add(("p:" + ":".join(sorted((p, q))), image))
         return out
     if name.kind == "initial":
-        return {f"i:{name.parts[0]}:{c}" for c in with_slack(sound(name.parts[1]))}
+        return {(f"i:{name.parts[0]}:{c}", letters(name.parts[1])) for c in with_slack(sound(name.parts[1]))}
     if name.kind == "family":
-        return {f"n:{c}" for c in with_slack(sound(name.parts[0]))}
+        return {(f"n:{c}", letters(name.parts[0])) for c in with_slack(sound(name.parts[0]))}
     return set()
 
 
-def short_blocks(name: Name) -> set[str]:
-    """What initials and family names alone that may mean this person share with it."""
+def blocks(name: Name) -> set[str]:
+    """Names that may mean the same person or firm share one of these."""
+    return {b for b, _ in imaged_blocks(name)}
+
+
+def short_blocks(name: Name) -> set[tuple[str, int]]:
+    """What initials and family names alone that may mean this person share with it, with the family name's letters."""
     if name.kind != "person":
         return set()
     out = set()
     for given, family in (name.parts, name.parts[::-1]):
         for c in with_slack(sound(family)):
-            out |= {f"n:{c}"} | {f"i:{g[0]}:{c}" for g in forms(given) | {given}}
+            out |= {(b, letters(family)) for b in (f"n:{c}", *(f"i:{g[0]}:{c}" for g in forms(given) | {given}))}
     return out
 
 

@@ -33,3 +33,27 @@ def test_whatever_is_accepted_shares_a_block():
             seen += 1
             assert blocks(a) & blocks(b), (a, b)
     assert seen > 10_000
+
+
+def test_accepted_names_differ_by_few_letters():
+    import random
+
+    from lodestrata.llm.names import imaged_blocks, read_name, same_name
+
+    rng = random.Random(7)
+    base = ["Vladimir Kanoukkru", "Maria Hoelderlin", "Liz Muellerova", "Bob Whitechapel", "Kate Duerrenmatt", "Krupor Logistics GmbH", "M. Hoelderlin"]
+
+    def slip(t):
+        k = rng.randrange(1, len(t) - 1)
+        c = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        return rng.choice([t[:k] + t[k + 1 :], t[:k] + c + t[k:], t[:k] + c + t[k + 1 :], t[:k] + t[k + 1] + t[k] + t[k + 2 :]])
+
+    met = 0
+    for _ in range(4000):
+        t = rng.choice(base)
+        a, b = read_name(t), read_name(slip(slip(t)) if rng.random() < 0.6 else slip(t))
+        if a != b and same_name(a, b):
+            met += 1
+            pairs = [(x, y) for p, x in imaged_blocks(a) for q, y in imaged_blocks(b) if p == q]
+            assert any((x & ~y).bit_count() <= 2 and (y & ~x).bit_count() <= 2 for x, y in pairs), (a, b)
+    assert met > 300
