@@ -9,7 +9,8 @@ from lodestrata.tables import written
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0)).alias("h")).first()
+    """Count and sum of the 64-bit hashes: two rounds that agree in both have the same edges."""
+    row = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
     return row["n"], row["h"]
 
 

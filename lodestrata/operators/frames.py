@@ -42,15 +42,15 @@ def within(frames: DataFrame, since: str | None = None, until: str | None = None
 
 def latest_base(frames: DataFrame) -> DataFrame:
     """The I frame with the largest t of each group."""
-    w = Window.partitionBy("gop_id").orderBy(F.desc("t"), F.desc("id"))
-    return frames.filter("frame_type = 'I'").withColumn("nth", F.row_number().over(w)).filter("nth = 1").drop("nth")
+    base = frames.filter("frame_type = 'I'")
+    last = base.groupBy(F.col("gop_id").alias("g")).agg(F.max(F.struct("t", "id")).alias("last"))
+    return base.join(last, (F.col("g").eqNullSafe(F.col("gop_id"))) & (F.col("last.id") == F.col("id"))).select(*frames.columns)
 
 
 def deltas_since_base(frames: DataFrame) -> DataFrame:
     """P frames after the latest I frame of their group, with its id."""
-    base = F.max(F.when(F.col("frame_type") == "I", F.struct("t", "id"))).over(Window.partitionBy("gop_id"))
-    seen = frames.withColumn("base", base)
-    return seen.filter((F.col("frame_type") == "P") & (F.col("t") > F.col("base.t"))).withColumn("latest_i", F.col("base.id")).drop("base")
+    base = frames.filter("frame_type = 'I'").groupBy("gop_id").agg(F.max(F.struct("t", "id")).alias("base"))
+    return frames.filter("frame_type = 'P'").join(base, "gop_id").filter(F.col("t") > F.col("base.t")).withColumn("latest_i", F.col("base.id")).drop("base").select(*frames.columns, "latest_i")
 
 
 def state(frames: DataFrame) -> DataFrame:

@@ -192,9 +192,11 @@ def rehash_backfill(spark, root):
     return hashed.filter("stored IS NULL OR stored <> computed")
 
 
-@query("SELECT source, count(*) AS frames FROM memory_frames WHERE source NOT IN ('import') GROUP BY 1")
+@query("SELECT id, base_frame_id FROM (SELECT f.id, CASE WHEN b.source = 'import' THEN NULL ELSE f.base_frame_id END AS base_frame_id FROM memory_frames f LEFT JOIN memory_frames b ON b.id = f.base_frame_id WHERE f.source IS DISTINCT FROM 'import')")
 def wipe_imports(spark, root):
-    return frames(spark, root).filter("source NOT IN ('import')").groupBy("source").agg(F.count("*").alias("frames"))
+    """What is left when all imported frames are deleted, without references to them."""
+    f = frames(spark, root)
+    return op.deleted(f, f.filter("source = 'import'").select("id")).select("id", "base_frame_id")
 
 
 @query("""SELECT gop_id, min(created_at) AS started_at, max(created_at) AS last_at, count(*) AS frames, row_number() OVER (ORDER BY min(created_at) DESC, gop_id) AS nth FROM memory_frames GROUP BY 1

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import fixed
 from lodestrata.operators import search as op
-from lodestrata.operators.pipeline import byte_embedding
+from lodestrata.operators.pipeline import byte_embedding, embedded
 from lodestrata.plans.frames import NOW, frames
 from lodestrata.plans.graph import _E, _R, relations, trade_entities
 from lodestrata.tables import table
@@ -95,14 +95,6 @@ def knn_scoped(spark, root):
     return op.nearest(*_vectors(spark, root), 10, label="label")
 
 
-@query(f"""WITH h AS ({_KNN.format(d=_L2, where="", k=25)}), m AS (SELECT qid, id // 4 AS frame_id, min(distance) AS distance FROM h GROUP BY 1, 2)
-    SELECT qid, frame_id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, frame_id) - 1 AS rank FROM m QUALIFY rank < 5""")
-def chunk_knn(spark, root):
-    q, v = _vectors(spark, root)
-    chunks = v.select("id", F.floor(F.col("id") / 4).alias("frame_id"))
-    return op.first_per_frame(op.nearest(q, v, 25), chunks, 5)
-
-
 def for_each(queries: DataFrame, few: DataFrame, *order) -> DataFrame:
     """qid, id and rank of the ``few`` rows (a limit's worth) for every query: one array, looked up once."""
     from pyspark.sql.window import Window
@@ -117,6 +109,19 @@ def _vector(c: str) -> str:
     return f"list_transform(range(1, 17), lambda i: CASE WHEN i <= octet_length(encode({c})) THEN ((('0x' || substr(hex(encode({c})), 2 * i::INT - 1, 2))::INT - 128) / 128.0)::DOUBLE ELSE 0::DOUBLE END)"
 
 
+@query(f"""WITH {_ASKED}, p AS (SELECT chunk_id * 2 AS id, frame_id, text FROM frame_chunks WHERE text IS NOT NULL UNION ALL SELECT id * 2 + 1, id, content FROM memory_frames WHERE content IS NOT NULL AND id NOT IN (SELECT frame_id FROM frame_chunks WHERE text IS NOT NULL AND frame_id IS NOT NULL)),
+    pe AS (SELECT id, frame_id, {_vector("text")} AS v FROM p), qe AS (SELECT qid, {_vector("text")} AS v FROM q), h AS (SELECT qid, frame_id, round(list_distance(qe.v, pe.v), 6) AS distance, row_number() OVER (PARTITION BY qid ORDER BY round(list_distance(qe.v, pe.v), 6), id) AS k FROM qe JOIN pe ON true QUALIFY k <= 25),
+    m AS (SELECT qid, frame_id, min(distance) AS distance FROM h GROUP BY 1, 2) SELECT qid, frame_id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, frame_id) - 1 AS rank FROM m QUALIFY rank < 5""")
+def chunk_knn(spark, root):
+    """Frames by the nearest of their chunks; a frame without chunks counts as one."""
+    embed = byte_embedding(16)
+    pieces = table(spark, root, "frame_chunks").filter("text IS NOT NULL").select((F.col("chunk_id") * 2).alias("id"), "frame_id", "text")
+    whole = frames(spark, root).filter("content IS NOT NULL").select((F.col("id") * 2 + 1).alias("id"), F.col("id").alias("frame_id"), F.col("content").alias("text")).join(pieces.select("frame_id").distinct(), "frame_id", "left_anti")
+    chunks = pieces.unionByName(whole)
+    asks = embedded(asked(spark, root).select(F.col("qid").alias("id"), "text"), embed, 16).withColumnRenamed("id", "qid")
+    return op.first_per_frame(op.nearest(asks, embedded(chunks.select("id", "text"), embed, 16), 25), chunks, 5)
+
+
 def _hybrid_sql(profile: str, limit: int = 20, where: str = "true", depth: int | None = None) -> str:
     """The tables of the hybrid search: kw and vl are its lanes, f what fusing them gives, h the result."""
     depth = depth or 2 * limit
