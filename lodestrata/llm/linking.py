@@ -80,7 +80,9 @@ def link_names(entities: DataFrame) -> DataFrame:
     kind = F.lower(F.trim("entity_type"))
     vote = F.when(kind.isin(*BEING), 1).when(kind.isin(*OTHER), -1).otherwise(0)
     keys = rows.groupBy("key", "node").agg(F.sum(vote).alias("votes"), F.max("sure").alias("sure"))
-    keyed = written(keys.select("key", "node").mapInArrow(_block, "key string, node long, own array<struct<block string, letters long>>, other array<struct<block string, letters long>>"), "name-blocks")
+    # Blocks take far longer to make than the keys are wide, so the keys stay spread.
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = written(keys.select("key", "node").repartition(parts, "node").mapInArrow(_block, "key string, node long, own array<struct<block string, letters long>>, other array<struct<block string, letters long>>"), "name-blocks")
     own = keyed.select(F.inline("own"), "key", "node")
     x, y = own.alias("x"), own.alias("y")
     met = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node")) & _alike()).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b")).distinct()
