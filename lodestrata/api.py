@@ -104,6 +104,10 @@ class Memory:
         added = rows.select("source_id", "target_id", "relation_type", F.lit(1.0).alias("confidence"), at.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
         self.store.write(relations=self.table("relations").unionByName(added))
 
+    def traverse(self, ids: DataFrame, depth: int = 3, kind: str | None = None) -> DataFrame:
+        """seed, node and distance of what active relations lead to from ``ids(id)``, not through retired entities."""
+        return graph.reach(self.table("relations"), ids, depth, kind, self.table("entities"))
+
     def search_entities(self, text: str, limit: int = 10) -> DataFrame:
         return graph.active(self.table("entities")).filter(F.lower("name").contains(text.lower())).orderBy("name", "id").limit(limit)
 

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONTHS = "january february march april may june july august september october november december".split()
-_MONTH = "(" + "|".join(MONTHS) + ")"
-WEEKDAYS = "sunday monday tuesday wednesday thursday friday saturday".split()
+from lodestrata.functions.fixed import DAY_FIRST, ISO_INSTANT, LAST_WEEKDAY, MONTH_ALONE, MONTH_FIRST, MONTHS, NUMBER_AGO, ONE_AGO, THIRD_OF_MONTH, WEEK_OF_MONTH, WEEKDAYS, YEAR_ALONE
 
 
 def _month(c: Column) -> Column:
@@ -32,30 +30,29 @@ def date_window(text: Column) -> Column:
     day = lambda y, m, d: F.make_date(y, m, d)
     part = lambda p, i: F.regexp_extract(t, p, i)
 
-    week = rf"(first|second|third|fourth|last)\s+week\s+of\s+{_MONTH}\s+(\d{{4}})"
+    week = WEEK_OF_MONTH
     first = day(_number(part(week, 3)), _month(part(week, 2)), F.lit(1))
     last = F.last_day(first)
     nth = F.element_at(F.create_map(*[F.lit(x) for x in ("first", 0, "second", 7, "third", 14, "fourth", 21)]), part(week, 1))
     w1 = _window(t.rlike(week), F.when(part(week, 1) == "last", F.date_sub(last, 6)).otherwise(F.date_add(first, nth)), F.when(part(week, 1) == "last", last).otherwise(F.least(F.date_add(first, nth + 6), last)))
 
-    third = rf"(early|mid|late)\s+{_MONTH}\s+(\d{{4}})"
+    third = THIRD_OF_MONTH
     begin = day(_number(part(third, 3)), _month(part(third, 2)), F.lit(1))
     shift = F.element_at(F.create_map(*[F.lit(x) for x in ("early", 0, "mid", 10, "late", 20)]), part(third, 1))
     w2 = _window(t.rlike(third), F.date_add(begin, shift), F.when(part(third, 1) == "late", F.last_day(begin)).otherwise(F.date_add(begin, shift + 9)))
 
-    day_first = rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?{_MONTH},?\s+(\d{{4}})"
-    month_first = rf"{_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})"
+    day_first, month_first = DAY_FIRST, MONTH_FIRST
     is_day = t.rlike(day_first)
     d = _number(F.when(is_day, part(day_first, 1)).otherwise(part(month_first, 2)))
     start = day(_number(F.when(is_day, part(day_first, 3)).otherwise(part(month_first, 3))), _month(F.when(is_day, part(day_first, 2)).otherwise(part(month_first, 1))), F.lit(1))
     center = F.date_add(start, d - 1)
     w3 = _window((is_day | t.rlike(month_first)) & d.between(1, 31), F.date_sub(center, 2), F.date_add(center, 2))
 
-    month = rf"{_MONTH}\s+(\d{{4}})"
+    month = MONTH_ALONE
     of = day(_number(part(month, 2)), _month(part(month, 1)), F.lit(1))
     w4 = _window(t.rlike(month), of, F.last_day(of))
 
-    year = r"\b(?:in|during)\s+(20\d{2})\b"
+    year = YEAR_ALONE
     y = part(year, 1)
     w5 = F.when(t.rlike(year), F.struct(F.concat(y, F.lit("-01-01")).alias("since"), F.concat(y, F.lit("-12-31")).alias("until")))
     return F.coalesce(w1, w2, w3, w4, w5)
@@ -70,7 +67,7 @@ def _years(ref: Column, n: Column) -> Column:
 def relative_date(text: Column, ref: Column) -> Column:
     """The day (as text) that the first relative cue in a text means, seen from ``ref``; null without a cue."""
     t, day = F.lower(text), ref.cast("date")
-    ago, one, weekday = r"\b(\d{1,3})\s+(day|week|month|year)s?\s+ago\b", r"\ba\s+(week|month|year)\s+ago\b", rf"\blast\s+({'|'.join(WEEKDAYS)})\b"
+    ago, one, weekday = NUMBER_AGO, ONE_AGO, LAST_WEEKDAY
     n, unit = _number(F.regexp_extract(t, ago, 1)), F.regexp_extract(t, ago, 2)
 
     def back(unit: Column, n: Column) -> Column:
@@ -93,8 +90,7 @@ def relative_date(text: Column, ref: Column) -> Column:
 
 def is_iso(c: Column) -> Column:
     """A full ISO-8601 instant with a T and a zone, and a real one."""
-    shape = r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
-    return F.coalesce(c.rlike(shape) & F.substring(c, 1, 10).try_cast("date").isNotNull(), F.lit(False))
+    return F.coalesce(c.rlike(ISO_INSTANT) & F.substring(c, 1, 10).try_cast("date").isNotNull(), F.lit(False))
 
 
 def dated_snippet(at: Column, text: Column) -> Column:

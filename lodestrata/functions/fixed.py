@@ -170,3 +170,28 @@ NEAR_DUPLICATE, CONTRADICTION = 0.75, 0.40
 def any_of(patterns, flags: str = "(?i)") -> str:
     """One pattern that matches where any of ``patterns`` does."""
     return flags + "(?:" + "|".join(patterns) + ")"
+
+# Cues of dates in questions and texts.
+MONTHS = "january february march april may june july august september october november december".split()
+WEEKDAYS = "sunday monday tuesday wednesday thursday friday saturday".split()
+_MONTH = "(" + "|".join(MONTHS) + ")"
+WEEK_OF_MONTH = rf"(first|second|third|fourth|last)\s+week\s+of\s+{_MONTH}\s+(\d{{4}})"
+THIRD_OF_MONTH = rf"(early|mid|late)\s+{_MONTH}\s+(\d{{4}})"
+DAY_FIRST = rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?{_MONTH},?\s+(\d{{4}})"
+MONTH_FIRST = rf"{_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})"
+MONTH_ALONE = rf"{_MONTH}\s+(\d{{4}})"
+YEAR_ALONE = r"\b(?:in|during)\s+(20\d{2})\b"
+NUMBER_AGO = r"\b(\d{1,3})\s+(day|week|month|year)s?\s+ago\b"
+ONE_AGO = r"\ba\s+(week|month|year)\s+ago\b"
+LAST_WEEKDAY = rf"\blast\s+({'|'.join(WEEKDAYS)})\b"
+ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
+
+# How a page becomes text: elements left out, patterns and what replaces them, entities.
+HTML_LEFT_OUT = ("script", "style", "nav", "footer", "header")
+HTML_BREAKS = ((r"(?i)</p>", "\n\n"), (r"(?i)<br\s*/?>", "\n"), (r"(?i)<li[^>]*>", "\n- "), (r"<[^>]+>", ""))
+HTML_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
+HTML_TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+HTML_DESCRIPTIONS = (
+    r"""(?is)<meta[^>]*name=["']description["'][^>]*content=["'](.*?)["'][^>]*>""",
+    r"""(?is)<meta[^>]*content=["'](.*?)["'][^>]*name=["']description["'][^>]*>""",
+)

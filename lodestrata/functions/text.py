@@ -200,25 +200,24 @@ def content_type(c: Column) -> Column:
 
 def strip_html(c: Column) -> Column:
     """The readable text of a page."""
-    for tag in ("script", "style", "nav", "footer", "header"):
+    for tag in fixed.HTML_LEFT_OUT:
         c = F.regexp_replace(c, rf"(?is)<{tag}.*?</{tag}>", "")
     for n in (1, 2, 3):
         c = F.regexp_replace(c, rf"(?is)<h{n}[^>]*>(.*?)</h{n}>", "\n" + "#" * n + " $1\n")
-    for pattern, by in ((r"(?i)</p>", "\n\n"), (r"(?i)<br\s*/?>", "\n"), (r"(?i)<li[^>]*>", "\n- "), (r"<[^>]+>", "")):
+    for pattern, by in fixed.HTML_BREAKS:
         c = F.regexp_replace(c, pattern, by)
-    for entity, by in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
+    for entity, by in fixed.HTML_ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(by))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), "\n{3,}", "\n\n"), r"^\s+", ""), r"\s+$", "")
 
 
 def html_title(c: Column) -> Column:
-    found = F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return F.when(c.rlike(r"(?is)<title[^>]*>.*?</title>"), F.regexp_replace(F.trim(found), r"\s+", " "))
+    found = F.regexp_extract(c, fixed.HTML_TITLE, 1)
+    return F.when(c.rlike(fixed.HTML_TITLE), F.regexp_replace(F.trim(found), r"\s+", " "))
 
 
 def html_description(c: Column) -> Column:
-    first = F.regexp_extract(c, r"""(?is)<meta[^>]*name=["']description["'][^>]*content=["'](.*?)["'][^>]*>""", 1)
-    second = F.regexp_extract(c, r"""(?is)<meta[^>]*content=["'](.*?)["'][^>]*name=["']description["'][^>]*>""", 1)
+    first, second = (F.regexp_extract(c, p, 1) for p in fixed.HTML_DESCRIPTIONS)
     return F.nullif(F.trim(F.when(first != "", first).otherwise(second)), F.lit(""))
 
 

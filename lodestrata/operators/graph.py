@@ -40,16 +40,20 @@ def valid_at(rows: DataFrame, instants: DataFrame) -> DataFrame:
     return joined.filter((F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("at")))).drop("block")
 
 
-def reach(relations: DataFrame, seeds: DataFrame, depth: int = 3, kind: str | None = None) -> DataFrame:
+def reach(relations: DataFrame, seeds: DataFrame, depth: int = 3, kind: str | None = None, entities: DataFrame | None = None) -> DataFrame:
     """seed, node and the smallest number of active out-edges between them, up to ``depth``.
 
     Seeds are at distance 0.  Each step keeps only nodes not reached before, so
-    the frontier never holds a node twice for a seed.
+    the frontier never holds a node twice for a seed.  With ``entities`` retired
+    targets aren't reached, and nothing through them.
     """
     edges = active(relations)
     if kind is not None:
         edges = edges.filter(F.col("relation_type") == kind)
-    edges = written(edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).distinct(), "edges")
+    edges = edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).distinct()
+    if entities is not None:
+        edges = edges.join(active(entities).select(F.col("id").alias("next")).distinct(), "next", "left_semi").select("node", "next")
+    edges = written(edges, "edges")
     seen = written(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("distance")).distinct(), "frontier")
     frontier = seen.select("seed", "node")
     for d in range(1, depth + 1):

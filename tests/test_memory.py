@@ -199,3 +199,14 @@ def test_two_writers_of_one_version(spark, tmp_path):
     a.unlock()
     b.write(x=spark.range(5))
     assert a.read("x").count() == 5
+
+
+def test_traversal_stops_at_retired_entities(spark, memory):
+    memory.save_entities(spark.createDataFrame([(n, "tool", "{}") for n in "abc"], "name string, entity_type string, properties string"), NOW)
+    ids = {r.name: r.id for r in memory.table("entities").collect()}
+    memory.relate(spark.createDataFrame([(ids["a"], ids["b"], "x"), (ids["b"], ids["c"], "x")], "source_id long, target_id long, relation_type string"), NOW)
+    start = spark.createDataFrame([(ids["a"],)], "id long")
+    assert {r.node: r.distance for r in memory.traverse(start).collect()} == {ids["a"]: 0, ids["b"]: 1, ids["c"]: 2}
+    e = memory.table("entities")
+    memory.store.write(entities=e.withColumn("valid_to", F.when(F.col("name") == "b", F.lit(NOW).cast("timestamp_ntz")).otherwise(F.col("valid_to"))))
+    assert {r.node for r in memory.traverse(start).collect()} == {ids["a"]}
