@@ -44,10 +44,10 @@ mit von an bei für und oder laut danke hallo liebe lieber frag fragte traf sah
 avec par de à chez pour et ou selon après merci bonjour cher chère demande vu rencontré contacter appeler nom est
 con por para y o según gracias hola querido querida pregunta vio contactar llamar nombre es""".split())
 # What persons do; stands behind them.
-PERSON_AFTER = tuple("""said says wrote writes signed asked told called sent replied thinks wants works joined left agreed has is was will
+PERSON_AFTER = tuple("""said says wrote writes signed asked told called sent replied thinks wants works joined left agreed has is will
 sagte schrieb unterschrieb fragte rief schickte meint hat ist war will
-dit écrit signé demandé appelé envoyé a est était veut
-dijo escribió firmó preguntó llamó envió ha es era quiere""".split())
+dit écrit signé demandé appelé envoyé est était veut
+dijo escribió firmó preguntó llamó envió ha era quiere""".split())
 TITLES = "dr|mr|mrs|ms|prof|ing|herr|frau|mme|mlle|monsieur|madame|sr|sra|señor|señora|doña|dipl"
 
 _AMBIGUOUS = frozenset("will don dot may mark art pat sue bill max al ed em fi mo jo ant rich rick dan rob ray dick drew kit hank jack john tim dom ling wolf ring len red ned gail babs carrie".split())
@@ -77,8 +77,10 @@ _ADDRESS = (
 )
 _TITLED = re.compile(rf"(?<![\w.])(?:{TITLES})\b\.?\s+(?:(?:{TITLES})\b\.?\s+){{0,3}}(?P<who>[^\W\d_][^\W\d_'’-]{{2,}}(?:\s[^\W\d_][^\W\d_'’-]{{2,}})?)", re.I)
 _INITIAL = re.compile(r"(?<![\w.@&'’-])(?P<letter>[^\W\d_])\.\s?(?:[^\W\d_]\.\s?)?(?P<who>[^\W\d_][^\W\d_'’-]{2,})(?![\w@])")
-_PARTICLE = r"(?:(?:de|del|della|di|da|van|von|der|den|bin|al|el|la|le|ter) )"
-_SHAPED = re.compile(rf"([^\W\d_][^\W\d_'’-]+) (?:[^\W\d_]\. )?{_PARTICLE}{{0,2}}([^\W\d_][^\W\d_'’-]+)(?![\w@])")
+_PARTICLE = r"(?:(?:de la|de|del|della|di|da|van der|van den|van|von der|von|bin|al|el|la|le|ter) )"
+_SHAPED = re.compile(rf"([^\W\d_][^\W\d_'’-]+) (?:[^\W\d_]\. )?{_PARTICLE}?([^\W\d_][^\W\d_'’-]+)(?![\w@])")
+_UPPER = "A-Z\u00c0-\u00d6\u00d8-\u00de" + "".join(chr(c) for c in range(0x100, 0x180) if chr(c).isupper())
+_CAPITALS = re.compile(rf"(?<![\w@/.'’-])[{_UPPER}](?:['’-]?[^\W\d_])+ (?=(?:[^\W\d_]\. )?{_PARTICLE}?[{_UPPER}])")
 _MORE = re.compile(r" ?(?:,|&|and|or|und|oder|et|ou|y|o) ")
 _WORD_BEHIND = re.compile(r"[\s,*_`\"“”]*([^\W\d_]+)")
 _WORD_AHEAD = re.compile(r"([^\W\d_’']+)[\s:,*_`\"“„]*$")
@@ -129,8 +131,6 @@ def _anchors() -> ahocorasick.Automaton:
     add((*(x.replace("\\", "") for x in STREETS_DE.split("|")),), "street de")
     add((x for x in STREETS_ES.split("|")), "street es")
     add((f"{t}{e}" for t in TITLES.split("|") for e in (". ", " ")), "title")
-    add((f"{w}{e}" for w in PERSON_BEFORE for e in (" ", ": ")), "person before")
-    add((f" {w}" for w in PERSON_AFTER), "person after")
     found.make_automaton()
     return found
 
@@ -264,7 +264,10 @@ def _word_ahead(low: str, at: int) -> str:
 
 
 def _word_behind(low: str, at: int) -> str:
+    """The word that begins behind ``at``; behind the French auxiliary the one after it."""
     m = _WORD_BEHIND.match(low, at, at + 40)
+    if m and m[1] == "a":
+        m = _WORD_BEHIND.match(low, m.end(), m.end() + 40) or m
     return m[1] if m else ""
 
 
@@ -316,7 +319,7 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     spans: list[tuple[int, int, str]] = []
-    ids, given, streets, titled, ahead, behind = [], [], [], False, [], []
+    ids, given, streets, titled = [], [], [], False
     for stop, kinds in _anchors().iter(low):
         for kind, size in kinds:
             start, end = stop + 1 - size, stop + 1
@@ -329,12 +332,6 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
                 ids.append((start, end))
             elif kind == "title":
                 titled = True
-            elif kind == "person before":
-                if end < len(text) and text[end].isupper() and (not start or not text[start - 1].isalnum()):
-                    ahead.append(end)
-            elif kind == "person after":
-                if (end == len(text) or not text[end].isalnum()) and text[start - 1].isalpha():
-                    behind.append(start)
             else:
                 streets.append((start, end, kind))
     spans += [(a, b, "id_number") for a, b in _id_spans(text, low, ids)]
@@ -373,14 +370,19 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
         for m in _INITIAL.finditer(text):
             if _without_given(text, low, m) and not mail(m.start(), m.start() + 1):
                 names.append((m.start(), m.end()))
-    for at in ahead:
-        names += _shaped_names(text, low, at)
-    for at in behind:
-        # The two words before a verb.
-        first = text.rfind(" ", 0, text.rfind(" ", max(0, at - 60), at)) + 1 if " " in text[max(0, at - 60) : at] else max(0, at - 60)
-        m = _SHAPED.match(text, max(first, at - 60), at)
-        if m and m.end() == at and _edge(text, m.start(), m.end()) and m[1].lower() not in _BEFORE_SET and not (_starts_sentence(text, m.start()) and m[1].lower() not in GIVEN):
-            names += list(_shaped_names(text, low, m.start()))[:1]
+    done = 0
+    for m in _CAPITALS.finditer(text):
+        at = m.start()
+        if at < done:
+            continue
+        if _word_ahead(low, at) in _BEFORE_SET:
+            found = list(_shaped_names(text, low, at))
+        else:
+            shape = _SHAPED.match(text, at, at + 80)
+            told = shape and _word_behind(low, shape.end()) in _AFTER_SET and not (_starts_sentence(text, at) and shape[1].lower() not in GIVEN)
+            found = list(_shaped_names(text, low, at))[:1] if told else []
+        names += found
+        done = found[-1][1] if found else 0
     spans += [(a, b, "name") for a, b in names]
     return _disjoint(spans)
 
