@@ -39,9 +39,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return os.path.join(shared_folder(spark), f"lodestrata-{spark.sparkContext.applicationId}")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, for a table that is written once and read again."""
-    return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh path in this application's part of the shared folder, for a table that is written once and read again."""
+    return os.path.join(_own_folder(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete what this application has written between; only when no result that was read from there is needed any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:

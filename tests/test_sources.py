@@ -74,3 +74,13 @@ def test_folders(spark, tmp_path):
     assert [r.id for r in exports.queue_lines(spark, str(tmp_path / "q.jsonl"), "id int").collect()] == [1, 2]
     exports.export_pages(spark.createDataFrame([("s1", "# A\n\nb")], "slug string, markdown string"), str(tmp_path / "out"))
     assert (tmp_path / "out" / "slug=s1").is_dir()
+
+
+def test_tables_in_between_can_be_cleared(spark):
+    from lodestrata.tables import clear_scratch, scratch_path, written
+
+    assert written(spark.range(3), "x").count() == 3
+    other = scratch_path(spark, "y")
+    assert clear_scratch(spark) and not clear_scratch(spark)
+    spark.range(2).write.parquet(other)
+    assert spark.read.parquet(other).count() == 2
