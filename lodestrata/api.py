@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import frame_hash
-from lodestrata.operators import archive, derive, frames, graph, lanes, search, state
+from lodestrata.operators import archive, derive, frames, graph, lanes, pipeline, search, similarity, state
 from lodestrata.operators.pipeline import Embed
 from lodestrata.store import Store
 from lodestrata.tables import numbered, written
@@ -45,20 +45,45 @@ class Memory:
         return self.spark.createDataFrame([], SCHEMAS[name]) if found is None else found
 
     def save(self, contents: DataFrame, now: str, gop_id: str = "session", mind: str = "personal", importance: str = "normal", source: str = "agent_inferred") -> DataFrame:
-        """Save ``contents(id, content)`` as base frames; returns action and frame_id of each distinct body."""
+        """Save ``contents(id, content)``, with ``metadata`` if there is such a column, as base frames; returns action and frame_id of each distinct body."""
         stored = self.table("frames")
         top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id"), F.coalesce(F.max(F.when(F.col("gop_id") == gop_id, F.col("t"))), F.lit(-1)).alias("t")).first()
         plan = frames.admit(contents, stored)
         new = contents.join(plan.filter("action = 'insert'").select(F.col("frame_id").alias("id")), "id")
         new, nth = numbered(new, "id"), F.col("nth") + 1
         at = F.lit(now).cast("timestamp_ntz")
-        rows = new.select((nth + top["id"]).cast("long").alias("new_id"), F.col("id").alias("given"), (nth + top["t"]).cast("int").alias("t"), "content")
-        added = rows.select(F.col("new_id").alias("id"), F.lit("I").alias("frame_type"), F.lit(gop_id).alias("gop_id"), "t", F.lit(None).cast("long").alias("base_frame_id"), "content", F.lit(importance).alias("importance"), F.lit(source).alias("source"), F.lit(0).alias("access_count"), at.alias("created_at"), at.alias("last_accessed"), frame_hash(F.col("content")).alias("content_hash"), F.lit("{}").alias("metadata"), F.lit(mind).alias("mind"))
+        rows = new.select((nth + top["id"]).cast("long").alias("new_id"), F.col("id").alias("given"), (nth + top["t"]).cast("int").alias("t"), "content", (F.coalesce("metadata", F.lit("{}")) if "metadata" in contents.columns else F.lit("{}")).alias("metadata"))
+        added = rows.select(F.col("new_id").alias("id"), F.lit("I").alias("frame_type"), F.lit(gop_id).alias("gop_id"), "t", F.lit(None).cast("long").alias("base_frame_id"), "content", F.lit(importance).alias("importance"), F.lit(source).alias("source"), F.lit(0).alias("access_count"), at.alias("created_at"), at.alias("last_accessed"), frame_hash(F.col("content")).alias("content_hash"), "metadata", F.lit(mind).alias("mind"))
         touched = frames.touched(stored, plan.filter("touches > 0 AND action = 'touch'").select("frame_id", F.col("touches").alias("n"), at.alias("at")))
         kept = stored.drop("access_count", "last_accessed").join(touched, "id").select(*stored.columns)
         self.store.write(frames=kept.unionByName(added))
         return plan
 
+    def harvest(self, items: DataFrame, now: str, gop_id: str = "harvest", mind: str = "personal") -> DataFrame:
+        """Take in ``items(item_id, source, title, content)``; returns item_id and what became of each.
+
+        suppressed: its subject was erased; present: the archive has it already;
+        blocked: it tries to take over a model; skip: a stored frame says the same,
+        nearly the same, or it has no content; keep: it is a frame now.  Blocked and
+        skipped items are archived all the same.  Of repeated ids the smallest content counts.
+        """
+        given = items.groupBy("item_id").agg(F.min(F.struct("content", "source", "title")).alias("x")).select("item_id", "x.source", "x.title", "x.content")
+        stored = self.table("archive")
+        plan = written(archive.appended(given, stored, archive.suppressed(stored)), "appended")
+        start = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        fresh = written(numbered(given.join(plan.filter("action = 'insert'").select("item_id", "uid"), "item_id"), "item_id").withColumn("id", (F.col("nth") + 1 + start).cast("long")), "fresh")
+        none = lambda kind: F.lit(None).cast(kind)
+        added = fresh.select("id", F.col("uid").alias("archive_uid"), "source", F.col("item_id").alias("source_ref"), "title", "content", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_sha256"), none("timestamp_ntz").alias("erased_at"), none("string").alias("erased_reason"))
+        self.store.write(archive=stored.unionByName(added))
+        screened = written(pipeline.screened(fresh), "screened")
+        frames_now = self.table("frames").select("id", F.col("content").alias("text"))
+        judged = written(similarity.screened_against(screened.filter("NOT blocked").select("id", F.col("content").alias("text")), frames_now), "judged")
+        kept = screened.join(judged.filter("action = 'keep'").select("id"), "id")
+        metadata = F.to_json(F.struct(F.array("uid").alias("archiveUids"), F.col("item_id").alias("sourceId")))
+        self.save(kept.select("id", "content", metadata.alias("metadata")), now, gop_id, mind, source="import")
+        after = screened.select("id", "item_id", "blocked").join(judged.select("id", F.col("action").alias("judged")), "id", "left").select("item_id", F.when(F.col("blocked"), "blocked").otherwise(F.col("judged")).alias("became"))
+        return plan.select("item_id", "action").join(after, "item_id", "left").select("item_id", F.coalesce("became", "action").alias("action"))
+
     def recall(self, queries: DataFrame, now: str, limit: int = 10, profile: str = "balanced", mind: str | None = None, since: str | None = None, until: str | None = None, embed: Embed | None = None, dims: int = 384) -> DataFrame:
         """The best frames for each of ``queries(qid, text)``: lanes fused and scored with the graph context of the query.
 
