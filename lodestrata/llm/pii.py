@@ -61,6 +61,7 @@ _EMAIL_LEFT = re.compile(r"(?:[\w+%-]+(?:\s+dot\s+|\s*[(\[{]dot[)\]}]\s*|\.))*[\
 _DOT = r"(?:\.|\s*[(\[{<]\s*(?:dot|punkt|point|punto)\s*[)\]}>]\s*|\s+(?:dot|punkt|point|punto)\s+)"
 _EMAIL_RIGHT = re.compile(rf"\s{{0,2}}((?:[^\W_](?:[\w-]*[^\W_])?{_DOT})+[^\W\d_]{{2,24}})(?![\w@])", re.I)
 _DIGITS = re.compile(r"(?<![\w.,@/#])(?:\(?\+ ?)?\(?\d[\d \t().\-/]{5,24}\d(?![\w@])")
+_LONG_NUMBER = re.compile(r"\d(?:[ \t().\-/]{0,4}\d){5}")
 _GROUPS = re.compile(r"\d+")
 _ID_VALUE = re.compile(r"(?:\s*(?:number|nummer|numéro|número|no\.?|nr\.?|n[º°o]\.?|#|:|=|\.|is|ist|est|es|lautet|card|\(us\)|\"|'|’|“)){0,5}\s*([A-Za-z0-9](?:[ .\-/]?[A-Za-z0-9]){4,24})(?![A-Za-z0-9])", re.I)
 _NINO = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-Da-d](?![A-Za-z0-9])")
@@ -335,13 +336,15 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
             else:
                 streets.append((start, end, kind))
     spans += [(a, b, "id_number") for a, b in _id_spans(text, low, ids)]
-    digits = any(map(str.isdigit, text))
-    if digits:
+    # All numbers of persons and telephones have six digits with little between them.
+    numbers = _LONG_NUMBER.search(text) is not None
+    if numbers:
         spans += [(m.start(), m.end(), "id_number") for m in _NINO.finditer(text)]
         spans += [(m.start(), m.end(), "id_number") for m in _SSN.finditer(text) if _word_ahead(low, m.start()) not in _THING_SET]
         spans += [(m.start(), m.end(), "id_number") for m in _IBAN.finditer(text) if _iban(m[0])]
         spans += [(m.start(), m.end(), "id_number") for m in _CARD.finditer(text) if _card(m[0])]
         spans += [(m.start(), m.end(), "id_number") for m in _DNI.finditer(text) if "TRWAGMYFPDXBNJZSQVHLCKE"[int(m[1]) % 23] == m[2].upper()]
+    if streets and any(map(str.isdigit, text)):
         done = -1
         for start, end, kind in streets:
             which = {"street": 0, "street fr": 1, "street de": 2, "street es": 3}[kind]
@@ -352,6 +355,7 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
                 if _is_address(text, m, which):
                     spans.append((m.start(), m.end(), "address"))
                     done = m.end()
+    if numbers:
         taken = _covered([(a, b) for a, b, k in spans if k in ("id_number", "email")])
         for m in _DIGITS.finditer(text):
             if not taken(m.start(), m.end()) and _phone(text, low, m.start(), m.end()):
