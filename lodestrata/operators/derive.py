@@ -65,17 +65,23 @@ def concepts(entities: DataFrame, least: int = 3, limit: int = 20) -> DataFrame:
     return types.unionByName(names).groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(limit)
 
 
-def precision_at(hits: DataFrame, gold: DataFrame, k: int = 3) -> DataFrame:
-    """qid and the share of its first ``k`` hits that are right; a query without hits has 0."""
+def precision_at(hits: DataFrame, gold: DataFrame, k: int = 3, queries: DataFrame | None = None) -> DataFrame:
+    """qid and the share of its first ``k`` hits that are right; a query without hits has 0.
+
+    Only the pairs of ``gold(qid, id)`` that are hits matter if ``queries(qid)``
+    names the queries, each once; else they are those of ``gold``.
+    """
     right = gold.select("qid", "id", F.lit(1).alias("right")).distinct()
     top = hits.filter(F.col("rank") < k).join(right, ["qid", "id"], "left").groupBy("qid").agg((F.sum(F.coalesce("right", F.lit(0))) / F.count("*")).alias("precision"))
-    return gold.select("qid").distinct().join(top, "qid", "left").select("qid", F.round(F.coalesce("precision", F.lit(0.0)), 6).alias("precision"))
+    queries = gold.select("qid").distinct() if queries is None else queries
+    return queries.join(top, "qid", "left").select("qid", F.round(F.coalesce("precision", F.lit(0.0)), 6).alias("precision"))
 
 
-def recall_at(hits: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
-    """qid and whether any right row is among its first ``k`` hits."""
+def recall_at(hits: DataFrame, gold: DataFrame, k: int = 5, queries: DataFrame | None = None) -> DataFrame:
+    """qid and whether any right row is among its first ``k`` hits; ``queries`` as in ``precision_at``."""
     top = hits.filter(F.col("rank") < k).join(gold.select("qid", "id").distinct(), ["qid", "id"], "left_semi").select("qid", F.lit(True).alias("found")).distinct()
-    return gold.select("qid").distinct().join(top, "qid", "left").select("qid", F.coalesce("found", F.lit(False)).alias("found"))
+    queries = gold.select("qid").distinct() if queries is None else queries
+    return queries.join(top, "qid", "left").select("qid", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def judge_rollup(votes: DataFrame, by: str) -> DataFrame:

@@ -14,7 +14,7 @@ from lodestrata.plans.graph import _E, _R, relations, trade_entities
 from lodestrata.plans.lifecycle import _AWARE
 from lodestrata.plans.search import _FRAMES, _hybrid_sql, asked, bm25_sql, hybrid, memory
 from lodestrata.plans.texts import _re
-from lodestrata.tables import table
+from lodestrata.tables import table, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -198,23 +198,29 @@ _GOLD = "gold AS (SELECT a.doc_id AS qid, b.doc_id AS id FROM documents a JOIN d
 _DOCS = bm25_sql("SELECT doc_id AS id, text FROM documents", 5)
 
 
-def _gold(spark, root) -> DataFrame:
-    d = table(spark, root, "documents").select("doc_id", "mind", "lang")
-    return d.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "qid").join(d.withColumnRenamed("doc_id", "id"), ["mind", "lang"]).select("qid", "id")
-
-
 def _document_hits(spark, root) -> DataFrame:
     return search.bm25(asked(spark, root), table(spark, root, "documents").select(F.col("doc_id").alias("id"), "text"), 5)
 
 
+def _judged(spark, root, measure) -> DataFrame:
+    """The hits by a measure of right ones; pairs of one mind and language are only made of hits."""
+    hits = written(_document_hits(spark, root), "hits")
+    d = table(spark, root, "documents").select("doc_id", "mind", "lang").filter("mind IS NOT NULL AND lang IS NOT NULL")
+    asks = d.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "qid")  # each is right for itself
+    right = hits.select("qid", "id").join(asks, "qid").join(d.withColumnRenamed("doc_id", "id"), ["id", "mind", "lang"]).select("qid", "id")
+    return measure(hits, right, queries=asks.select("qid").distinct())
+
+
 @query(_DOCS + f", {_GOLD}, pr AS (SELECT qid, avg(CASE WHEN (qid, id) IN (SELECT (qid, id) FROM gold) THEN 1.0 ELSE 0.0 END) AS pv FROM kw WHERE rank < 3 GROUP BY 1) SELECT qid, round(coalesce(pv, 0.0), 6)::DOUBLE AS precision FROM (SELECT DISTINCT qid FROM gold) LEFT JOIN pr USING (qid)")
 def precision_at_3(spark, root):
-    return derive.precision_at(_document_hits(spark, root), _gold(spark, root))
+    return _judged(spark, root, derive.precision_at)
 
 
 @query(_DOCS + f", {_GOLD} SELECT qid, coalesce(bool_or((qid, id) IN (SELECT (qid, id) FROM gold)), false) AS found FROM (SELECT DISTINCT qid FROM gold) LEFT JOIN kw USING (qid) GROUP BY 1")
 def recall_at_5(spark, root):
-    return derive.recall_at(_document_hits(spark, root), _gold(spark, root))
+    d = table(spark, root, "documents").select("doc_id", "mind", "lang")
+    gold = d.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "qid").join(d.withColumnRenamed("doc_id", "id"), ["mind", "lang"]).select("qid", "id")
+    return derive.recall_at(_document_hits(spark, root), gold)
 
 
 _VOTES = "v AS (SELECT lang, coalesce(n_chars, 0) % 2 = 0 AS j1, coalesce(n_chars, 0) % 3 > 0 AS j2, doc_id % 5 > 0 AS j3 FROM documents)"
