@@ -218,9 +218,7 @@ def precision_at_3(spark, root):
 
 @query(_DOCS + f", {_GOLD} SELECT qid, coalesce(bool_or((qid, id) IN (SELECT (qid, id) FROM gold)), false) AS found FROM (SELECT DISTINCT qid FROM gold) LEFT JOIN kw USING (qid) GROUP BY 1")
 def recall_at_5(spark, root):
-    d = table(spark, root, "documents").select("doc_id", "mind", "lang")
-    gold = d.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "qid").join(d.withColumnRenamed("doc_id", "id"), ["mind", "lang"]).select("qid", "id")
-    return derive.recall_at(_document_hits(spark, root), gold)
+    return _judged(spark, root, derive.recall_at)
 
 
 _VOTES = "v AS (SELECT lang, coalesce(n_chars, 0) % 2 = 0 AS j1, coalesce(n_chars, 0) % 3 > 0 AS j2, doc_id % 5 > 0 AS j3 FROM documents)"

@@ -8,7 +8,7 @@ import pytest
 from lodestrata import catalog
 
 
-@pytest.mark.parametrize("name", ["precision_at_3"])
+@pytest.mark.parametrize("name", ["precision_at_3", "recall_at_5"])
 def test_only_hits_are_judged(spark, tmp_path, name):
     at = str(tmp_path / "documents.parquet")
     c = duckdb.connect()
