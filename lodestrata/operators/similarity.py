@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,55 +26,221 @@ def trigrams(texts: DataFrame) -> DataFrame:
     return texts.select("id", normalized(F.col("text")).alias("text")).filter("text IS NOT NULL").mapInArrow(_grams, "id long, grams array<string>")
 
 
-#: So many of the rarest grams must be common before two sets are compared.
-COMMON = 2
+def _gram_numbers(texts: list[str]) -> Iterator[np.ndarray]:
+    """The set of trigrams of each text, each as one number, in order."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    at = 0
+    for t in texts:
+        p = points[at : at + len(t)]
+        at += len(t)
+        g = np.sort(p[:-2] << 42 | p[1:-1] << 21 | p[2:])
+        yield g[np.concatenate([[True], g[1:] != g[:-1]])]
 
 
-def similar_pairs(texts: DataFrame, least: float) -> DataFrame:
-    """a < b and their similarity, |A and B| / max(|A|, |B|), where it is at least ``least``.
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        grams, n = np.unique(np.concatenate([np.empty(0, np.int64), *_gram_numbers(b.column("text").to_pylist())]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], ["gram", "n"])
+
+
+def _blocked(held, block: int):
+    """Blocks of sets of about one size: how many grams the sets have at least and at most, and ids, sizes and codes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = held.value
+        ids, sets = [], []
+
+        def cut() -> Iterator[pa.RecordBatch]:
+            order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
+            for lo in range(0, len(order), block):
+                own = order[lo : lo + block]
+                sizes = np.array([len(sets[i]) for i in own], np.int32)
+                data = np.array([ids[i] for i in own], np.int64).tobytes() + sizes.tobytes() + np.concatenate([sets[i] for i in own]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([int(sizes[0])], pa.int32()), pa.array([int(sizes[-1])], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([data], pa.binary())], ["low", "high", "m", "data"])
+            ids.clear()
+            sets.clear()
+
+        for b in batches:
+            ids += b.column("id").to_pylist()
+            sets += [np.sort(rank[np.searchsorted(known, g)]) for g in _gram_numbers(b.column("text").to_pylist())]
+            if len(ids) >= 8 * block:
+                yield from cut()
+        yield from cut()
+
+    return run
+
+
+def _opened(data: bytes, m: int, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(data, np.int64, m), np.frombuffer(data, np.int32, m, 8 * m), np.frombuffer(data, kind, -1, 12 * m)
+
+
+def _needed(most: int, least: float) -> np.ndarray:
+    """For sets of 0, 1, ... ``most`` grams the smallest number of common ones that is ``least`` of them."""
+    n = np.arange(most + 1)
+    c = np.maximum(np.ceil(least * n).astype(np.int64) - 1, 0)
+    return np.where(c / np.maximum(n, 1) >= least, c, c + 1)
+
+
+def _comparing(least: float, kind, what: str, near: float, chunk: int = 128):
+    """Compares the sets of two blocks.  ``what``: "pairs" that are similar, the "best" of each left one, or "counts" of similar and near ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                at = {c: b.column(c)[r].as_py() for c in b.schema.names}
+                out = compared(_opened(at["xdata"], at["xm"], kind), _opened(at["ydata"], at["ym"], kind), at["same"])
+                for lo in range(0, len(out[0]), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 18)]) for x in out], ["a", "near", "related"] if what == "counts" else ["a", "b", "similarity"])
 
-    Sets that similar share at least ``c`` of their rarest n - ceil(least n) + c
-    grams, and their sizes differ by at most the factor ``least``: only pairs that
-    do are compared.
+    def compared(x, y, same: bool) -> list[np.ndarray]:
+        (xid, xn, xc), (yid, yn, yc) = x, y
+        width, space = len(yid), int(max(xc.max(), yc.max())) + 1
+        need, closer = (_needed(int(max(xn.max(), yn.max())), s) for s in (least, near))
+        own, own_near = need[yn], closer[yn]
+        # Grams of many texts are rows of ones, the others lists of texts.
+        df = np.bincount(yc, minlength=space)
+        of = np.repeat(np.arange(width, dtype=np.int32), yn)
+        common = np.argsort(-df, kind="stable")[: (96 << 20) // width]
+        common = common[df[common] >= max(2, width // 200)]
+        row = np.full(space, -1)
+        row[common] = np.arange(len(common))
+        ones = np.zeros((len(common), width), np.uint8)
+        many = row[yc] >= 0
+        ones[row[yc[many]], of[many]] = 1
+        order = np.argsort(yc[~many], kind="stable")
+        listed = of[~many][order]
+        df[common] = 0
+        start = np.cumsum(df) - df
+        xs, ys = np.cumsum(xn) - xn, np.cumsum(yn) - yn
+        flag = np.zeros(space, bool)
+        counts = [np.zeros(len(xid), np.int64), np.zeros(len(xid), np.int64), np.zeros(width, np.int64), np.zeros(width, np.int64)]
+        found = []
+        for u in range(0, len(xid), chunk):
+            part = np.arange(u, min(u + chunk, len(xid)))
+            n = xn[part]
+            # At least need[n] of a set's n grams are common, so of its rarest n - need[n] + c at least c are.
+            c = need[n] if least < 0.6 else np.minimum(need[n], 2 + n // 16)
+            first = n - need[n] + c
+            table = np.zeros((len(part), width), np.uint8 if first.max() < 256 else np.uint16)
+            which = np.repeat(np.arange(len(part)), first)
+            codes = xc[np.repeat(xs[part], first) + np.arange(len(which)) - np.repeat(np.cumsum(first) - first, first)]
+            k = df[codes]
+            w = np.repeat(np.arange(len(codes)), k)
+            met = which[w] * width + listed[np.repeat(start[codes], k) + np.arange(len(w)) - np.repeat(np.cumsum(k) - k, k)]
+            if len(met):
+                np.add.at(table.reshape(-1), met, table.dtype.type(1))
+            low, high = np.searchsorted(yn, np.ceil(n * least - 1e-9)), np.searchsorted(yn, np.floor(n / least + 1e-9), "right")
+            rows, ends = row[codes], np.concatenate([[0], np.cumsum(first)])
+            for i, at in enumerate(part):
+                lo, hi = low[i], high[i]
+                if same:
+                    lo = max(lo, at + 1)
+                if lo >= hi:
+                    continue
+                line = table[i, lo:hi]
+                for g in rows[ends[i] : ends[i + 1]]:
+                    if g >= 0:
+                        np.add(line, ones[g, lo:hi], out=line)
+                if first[i] == n[i]:
+                    hit = np.flatnonzero(line >= np.maximum(need[n[i]], own[lo:hi]).astype(line.dtype))
+                    c_hit = line[hit].astype(np.int64)
+                    hit += lo
+                else:
+                    hit = np.flatnonzero(line >= c[i]) + lo
+                    if not len(hit):
+                        continue
+                    flag[xc[xs[at] : xs[at] + n[i]]] = True
+                    size = yn[hit]
+                    ends_hit = np.cumsum(size)
+                    there = flag[yc[np.repeat(ys[hit] - ends_hit + size, size) + np.arange(ends_hit[-1])]]
+                    c_hit = np.add.reduceat(there, ends_hit - size, dtype=np.int64)
+                    flag[xc[xs[at] : xs[at] + n[i]]] = False
+                    keep = c_hit >= np.maximum(need[n[i]], own[hit])
+                    hit, c_hit = hit[keep], c_hit[keep]
+                if not len(hit):
+                    continue
+                if what == "counts":
+                    close = c_hit >= np.maximum(closer[n[i]], own_near[hit])
+                    counts[0][at] += close.sum()
+                    counts[1][at] += len(close) - close.sum()
+                    counts[2][hit[close]] += 1
+                    counts[3][hit[~close]] += 1
+                    continue
+                similar = c_hit / np.maximum(n[i], yn[hit])
+                if what == "best":
+                    best = np.lexsort((yid[hit], -similar))[:1]
+                    hit, similar = hit[best], similar[best]
+                found.append((np.full(len(hit), xid[at]), yid[hit], similar))
+        if what == "counts":
+            ids, near_by, related = np.concatenate([xid, yid]), np.concatenate(counts[::2]), np.concatenate(counts[1::2])
+            some = near_by + related > 0
+            return [ids[some], near_by[some], related[some]]
+        return [np.concatenate([np.empty(0, t), *(f[i] for f in found)]) for i, t in enumerate((np.int64, np.int64, np.float64))]
+
+    return run
+
+
+def _compared(texts: DataFrame, other: DataFrame | None, least: float, what: str, near: float = 1.0, block: int = 16384) -> DataFrame:
+    """The sets of trigrams of ``texts(id, text)`` compared with one another or with those of ``other``, block by block.
+
+    Sets are written once, as numbers by rarity, in blocks of sets of about one
+    size; every two blocks whose sizes are within the factor ``least`` meet in one
+    task, which passes on what was found.  No pair is moved before it is known to
+    be similar.  What reaches the driver is the number of texts of each trigram.
     """
-    sets = trigrams(texts).filter(F.size("grams") > 0).withColumn("n", F.size("grams"))
-    each = sets.select("id", "n", F.explode("grams").alias("gram"))
-    df = each.groupBy("gram").agg(F.count("*").alias("df"))
-    # Numbers by rarity: what is rare comes first in every set, and sets of numbers are quick to compare.
-    coded = each.join(df, "gram").select("id", "n", (F.col("df") * (1 << 40) + F.pmod(F.xxhash64("gram"), F.lit(1 << 40))).alias("code"))
-    full = written(coded.groupBy("id", "n").agg(F.array_sort(F.collect_list("code")).alias("codes")), "grams")
-    wanted = F.ceil(F.col("n") * least - 1e-9).cast("int")
-    prefix = full.select("id", "n", F.explode(F.slice("codes", F.lit(1), F.least(F.col("n"), F.col("n") - wanted + COMMON))).alias("code"))
-    x, y = prefix.alias("x"), prefix.alias("y")
-    close = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least)
-    met = x.join(y, (F.col("x.code") == F.col("y.code")) & (F.col("x.id") < F.col("y.id")) & close).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.first(F.greatest("x.n", "y.n")).alias("n"))
-    likely = met.filter(F.col("c") >= F.least(F.lit(COMMON), wanted)).select("a", "b")
-    joined = likely.join(full.select(F.col("id").alias("a"), F.col("codes").alias("ca"), F.col("n").alias("na")), "a").join(full.select(F.col("id").alias("b"), F.col("codes").alias("cb"), F.col("n").alias("nb")), "b")
-    score = F.size(F.array_intersect("ca", "cb")) / F.greatest("na", "nb")
-    return joined.select("a", "b", score.alias("similarity")).filter(F.col("similarity") >= least)
-
-
-def against(incoming: DataFrame, existing: DataFrame, least: float) -> DataFrame:
+    sides = [t.select("id", normalized(F.col("text")).alias("text")).filter("length(text) >= 3") for t in ([texts] if other is None else [texts, other])]
+    counted = None
+    for t in sides:
+        part = t.mapInArrow(_gram_counts, "gram long, n long")
+        counted = part if counted is None else counted.unionByName(part)
+    df = counted.groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
+    known = df["gram"].to_numpy()
+    kind = np.uint16 if len(known) <= 1 << 16 else np.uint32
+    rank = np.empty(len(known), kind)
+    rank[np.lexsort((known, df["n"].to_numpy()))] = np.arange(len(known))  # what is rare comes first in every set
+    held = texts.sparkSession.sparkContext.broadcast((known, rank))
+    blocks = [written(t.mapInArrow(_blocked(held, block), "low int, high int, m int, data binary").withColumn("block", F.monotonically_increasing_id()), "grams", "zstd") for t in sides]
+    x, y = (t.select(*(F.col(c).alias(side + c) for c in t.columns)) for side, t in (("x", blocks[0]), ("y", blocks[-1])))
+    meet = (F.col("xlow") * least <= F.col("yhigh") + 1e-6) & (F.col("ylow") * least <= F.col("xhigh") + 1e-6)
+    same = F.lit(False)
+    if other is None:
+        meet, same = meet & (F.col("xblock") <= F.col("yblock")), F.col("xblock") == F.col("yblock")
+    pairs = x.join(y, meet).select("xm", "xdata", "ym", "ydata", same.alias("same"))
+    return pairs.mapInArrow(_comparing(least, kind, what, near), "a long, near long, related long" if what == "counts" else "a long, b long, similarity double")
+
+
+def similar_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """a < b and their similarity, |A and B| / max(|A|, |B|), where it is at least ``least``."""
+    return _compared(texts, None, least, "pairs").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+
+
+def against(incoming: DataFrame, existing: DataFrame, least: float, best: bool = False) -> DataFrame:
     """a of ``incoming(id, text)``, b of ``existing(id, text)`` and their similarity, where it is at least ``least``.
 
-    As ``similar_pairs``, but only between the two; equal texts on one side count
-    once each.  Null and short texts are similar to none.
+    As ``similar_pairs``, but only between the two.  Null and short texts are
+    similar to none.  With ``best`` only the most similar of each two blocks, of
+    several the smallest id.
     """
-    one, two = (trigrams(t).filter(F.size("grams") > 0).select("id", F.lit(side).alias("side"), F.size("grams").alias("n"), "grams") for t, side in ((incoming, 0), (existing, 1)))
-    each = one.unionByName(two).select("id", "side", "n", F.explode("grams").alias("gram"))
-    df = each.groupBy("gram").agg(F.count("*").alias("df"))
-    coded = each.join(df, "gram").select("id", "side", "n", (F.col("df") * (1 << 40) + F.pmod(F.xxhash64("gram"), F.lit(1 << 40))).alias("code"))
-    full = written(coded.groupBy("id", "side", "n").agg(F.array_sort(F.collect_list("code")).alias("codes")), "grams")
-    wanted = F.ceil(F.col("n") * least - 1e-9).cast("int")
-    prefix = full.select("id", "side", "n", F.explode(F.slice("codes", F.lit(1), F.least(F.col("n"), F.col("n") - wanted + COMMON))).alias("code"))
-    x, y = prefix.filter("side = 0").alias("x"), prefix.filter("side = 1").alias("y")
-    close = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least)
-    met = x.join(y, (F.col("x.code") == F.col("y.code")) & close).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.first(F.greatest("x.n", "y.n")).alias("n"))
-    likely = met.filter(F.col("c") >= F.least(F.lit(COMMON), wanted)).select("a", "b")
-    sets = lambda side, name: full.filter(F.col("side") == side).select(F.col("id").alias(name), F.col("codes").alias(f"c{name}"), F.col("n").alias(f"n{name}"))
-    joined = likely.join(sets(0, "a"), "a").join(sets(1, "b"), "b")
-    score = F.size(F.array_intersect("ca", "cb")) / F.greatest("na", "nb")
-    return joined.select("a", "b", score.alias("similarity")).filter(F.col("similarity") >= least)
+    return _compared(incoming, existing, least, "best" if best else "pairs", block=8192)
+
+
+def _heads(keyed: DataFrame, keys: DataFrame, most: int = 200_000) -> DataFrame:
+    """id and text of the rows of ``keyed(id, text, key)`` that stand for their text in ``keys(key, head, n, ids)``.
+
+    Texts stay where they are unless there are more than ``most`` others.
+    """
+    n = keys.agg(F.max("n")).first()[0]
+    others = written(keyed.select("id", "key").join(keys, "key", "left").filter("head IS NULL OR id <> head").select("id", "key"), "copies")
+    if (n or 1) == 1 and others.count() <= most:
+        return keyed.join(F.broadcast(others), ["id", "key"], "left_anti").select("id", "text")
+    return keyed.join(keys.select("key", F.col("head").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["key", "id"]).select("id", "text")
+
+
+def _keyed(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts folded, with a digest that moves in their place; and of each digest the smallest id, how often that has it, and the number of ids."""
+    keyed = texts.filter("text IS NOT NULL").select("id", normalized(F.col("text")).alias("text")).withColumn("key", F.unhex(F.sha2("text", 256)))
+    each = keyed.select("key", "id").groupBy("key", "id").agg(F.count("*").alias("n"))
+    return keyed, written(each.groupBy("key").agg(F.min("id").alias("head"), F.min_by("n", "id").alias("n"), F.count("*").alias("ids")), "keys")
 
 
 def screened_against(incoming: DataFrame, existing: DataFrame) -> DataFrame:
@@ -84,18 +251,18 @@ def screened_against(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     similar stored text, of several the smallest id.  Null and blank texts are
     skipped without a match; incoming ones are not compared with each other.
     """
-    fold = lambda t: t.select("id", normalized(F.col("text")).alias("text")).filter("text <> ''")
-    new, old = fold(incoming), fold(existing)
-    held = old.groupBy("text").agg(F.min("id").alias("match_id"))
-    equal = new.join(held, "text").select("id", "match_id", F.lit(1.0).alias("similarity"))
+    new, new_keys = _keyed(incoming.filter(normalized(F.col("text")) != ""))
+    old, old_keys = _keyed(existing.filter(normalized(F.col("text")) != ""))
+    held = old_keys.select("key", F.col("head").alias("match_id"))
     # One of each text is compared, whatever the copies.
-    heads = new.join(held, "text", "left_anti").groupBy("text").agg(F.min("id").alias("head"))
-    pairs = against(heads.select(F.col("head").alias("id"), "text"), held.select(F.col("match_id").alias("id"), "text"), fixed.NEAR_DUPLICATE)
+    rest = written(new_keys.join(held, "key", "left_anti"), "rest")
+    heads = _heads(new, rest)
+    pairs = against(heads, _heads(old, old_keys), fixed.NEAR_DUPLICATE, True)
     best = pairs.groupBy(F.col("a").alias("head")).agg(F.max(F.struct("similarity", (-F.col("b")).alias("minus"))).alias("m")).select("head", (-F.col("m.minus")).alias("match_id"), "m.similarity")
-    near = new.join(heads, "text").join(best, "head").select("id", "match_id", "similarity")
-    found = equal.unionByName(near)
-    told = incoming.select("id", normalized(F.coalesce("text", F.lit(""))).alias("text")).join(found, "id", "left")
-    action = F.when((F.col("text") == "") | F.col("match_id").isNotNull(), "skip").otherwise("keep")
+    near = rest.join(best, "head").select("key", "match_id", "similarity")
+    found = new_keys.join(held, "key").select("key", "match_id", F.lit(1.0).alias("similarity")).unionByName(near)
+    told = incoming.select("id", normalized(F.coalesce("text", F.lit(""))).alias("text")).select("id", (F.col("text") == "").alias("blank"), F.unhex(F.sha2("text", 256)).alias("key")).join(found, "key", "left")
+    action = F.when(F.col("blank") | F.col("match_id").isNotNull(), "skip").otherwise("keep")
     return told.select("id", action.alias("action"), "match_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -104,13 +271,11 @@ def links_per_text(texts: DataFrame) -> DataFrame:
 
     Equal normalised texts form one class; only its smallest id is compared.
     """
-    keyed = texts.filter("text IS NOT NULL").select("id", normalized(F.col("text")).alias("text"))
-    heads = keyed.groupBy("text").agg(F.min("id").alias("class_id"))
-    pairs = similar_pairs(heads.select(F.col("class_id").alias("id"), "text"), fixed.CONTRADICTION)
-    both = pairs.select(F.col("a").alias("class_id"), "similarity").unionByName(pairs.select(F.col("b").alias("class_id"), "similarity"))
-    near = F.col("similarity") >= fixed.NEAR_DUPLICATE
-    counts = both.groupBy("class_id").agg(F.sum(near.cast("long")).alias("near"), F.sum((~near).cast("long")).alias("related"))
-    return keyed.join(heads, "text").select("id", "class_id").join(counts, "class_id", "left").select("id", "class_id", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("related", F.lit(0)).alias("related"))
+    keyed, keys = _keyed(texts)
+    counts = _compared(_heads(keyed, keys), None, fixed.CONTRADICTION, "counts", fixed.NEAR_DUPLICATE)
+    sums = counts.groupBy(F.col("a").alias("head")).agg(F.sum("near").alias("near"), F.sum("related").alias("related"))
+    of = keyed.select("id", "key").join(keys.select("key", "head"), "key")
+    return of.join(sums, "head", "left").select("id", F.col("head").alias("class_id"), F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("related", F.lit(0)).alias("related"))
 
 
 def shared_words(left: DataFrame, right: DataFrame, least: int = 2, top: int = 3) -> DataFrame:
