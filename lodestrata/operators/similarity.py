@@ -130,7 +130,8 @@ def _comparing(least: float, kind, what: str, near: float, chunk: int = 128):
             if len(met):
                 np.add.at(table.reshape(-1), met, table.dtype.type(1))
             low, high = np.searchsorted(yn, np.ceil(n * least - 1e-9)), np.searchsorted(yn, np.floor(n / least + 1e-9), "right")
-            rows, ends = row[codes], np.concatenate([[0], np.cumsum(first)])
+            limit = np.minimum(own, np.iinfo(table.dtype).max).astype(table.dtype)
+            rows, ends = row[codes].tolist(), [0, *np.cumsum(first).tolist()]
             for i, at in enumerate(part):
                 lo, hi = low[i], high[i]
                 if same:
@@ -142,7 +143,7 @@ def _comparing(least: float, kind, what: str, near: float, chunk: int = 128):
                     if g >= 0:
                         np.add(line, ones[g, lo:hi], out=line)
                 if first[i] == n[i]:
-                    hit = np.flatnonzero(line >= np.maximum(need[n[i]], own[lo:hi]).astype(line.dtype))
+                    hit = np.flatnonzero(line >= np.maximum(limit[lo:hi], line.dtype.type(need[n[i]])))
                     c_hit = line[hit].astype(np.int64)
                     hit += lo
                 else:

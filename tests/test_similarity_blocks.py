@@ -44,3 +44,20 @@ def test_copies_and_repeated_rows(spark):
     frame = lambda t: spark.createDataFrame(t, "id long, text string")
     got = {r.id: (r.action, r.match_id) for r in similarity.screened_against(frame(new), frame(old)).collect()}
     assert got == {10: ("skip", 1), 11: ("skip", 7), 12: ("skip", 7), 13: ("skip", None), 14: ("skip", None), 15: ("keep", None)}
+
+
+def test_counts_of_blocks(spark):
+    rows = [*enumerate(texts(80, 3)), (900, None)]
+    keys = {t: min(i for i, x in rows if x == t) for t in {t for _, t in rows if t}}
+    of = lambda t: [alike(t, x) for x in keys if x != t]
+    want = {t: (sum(s >= 0.75 for s in of(t)), sum(0.4 <= s < 0.75 for s in of(t))) for t in keys}
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    full = similarity.links_per_text(df)
+    assert {r.id: (r.class_id, r.near, r.related) for r in full.collect()} == {i: (keys[t], *want[t]) for i, t in rows if t}
+    assert "code" not in full._jdf.queryExecution().executedPlan().toString()
+    heads = spark.createDataFrame([(i, t) for t, i in keys.items()], "id long, text string").repartition(3)
+    got = {}
+    for r in similarity._compared(heads, None, 0.4, "counts", 0.75, block=9).collect():
+        near, related = got.get(r.a, (0, 0))
+        got[r.a] = near + r.near, related + r.related
+    assert got == {keys[t]: n for t, n in want.items() if sum(n)}
