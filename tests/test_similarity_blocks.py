@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestrata.operators import similarity
@@ -61,3 +63,43 @@ def test_counts_of_blocks(spark):
         near, related = got.get(r.a, (0, 0))
         got[r.a] = near + r.near, related + r.related
     assert got == {keys[t]: n for t, n in want.items() if sum(n)}
+
+
+def test_few_pairs_are_counted(spark, monkeypatch):
+    """Texts of three languages made of few words: bounds leave few of all pairs to be counted, and lose none."""
+    rng = random.Random(6)
+    tongues = [["".join(rng.choice(a) for _ in range(rng.choice((5, 7, 9)))) for _ in range(60)] for a in ("abcdefghi", "jklmnopqr", "rstuvwxyz")]
+    old = [" ".join(rng.choice(tongues[i % 3]) for _ in range(rng.choice((20, 30, 45)))) for i in range(900)]
+    new = [" ".join(rng.choice(tongues[i % 3]) for _ in range(rng.choice((20, 30, 45)))) for i in range(150)] + [t[: -len(t) // 8] + " end" for t in old[::20]]
+    frame = lambda t: spark.createDataFrame([*enumerate(t)], "id long, text string").repartition(2)
+    want = {(i, j) for i, x in enumerate(new) for j, y in enumerate(old) if alike(x, y) >= 0.75}
+    assert {(r.a, r.b) for r in similarity.against(frame(new), frame(old), 0.75).collect()} == want and len(want) > 30
+    known = sorted({g for t in [*new, *old] for _, grams, _, _ in similarity._gram_sets([t]) for g in grams.tolist()})
+    rank = np.arange(len(known), dtype=np.int32)
+    held = type("Held", (), {"value": similarity._kinds(np.array(known), rank, old)})
+    batch = lambda t: pa.RecordBatch.from_arrays([pa.array(range(len(t))), pa.array(t)], ["id", "text"])
+    x, y = (pa.Table.from_batches(similarity._kept(held, 4096, p)(iter([batch(t)]))).to_pylist() for t, p in ((new, False), (old, True)))
+    counted, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda bits: counted.append(len(bits)) or count(bits))
+    rows = [{"xblock": 0, "xm": x[0]["m"], "xrare": x[0]["rare"], "xdata": x[0]["data"], "ykind": b["kind"], "ym": b["m"], "yrare": b["rare"], "ydata": b["data"]} for b in y]
+    found = [p for b in similarity._meeting(held, 0.75, False)(iter([pa.RecordBatch.from_pylist(rows)])) for p in zip(b["a"].to_pylist(), b["b"].to_pylist())]
+    assert set(found) == want and len(found) == len(want)
+    assert sum(counted) < len(new) * len(old) / 50
+
+
+def test_texts_are_folded_once(spark):
+    frame = lambda t: spark.createDataFrame(t, "id long, text string")
+    told = similarity.screened_against(frame([(1, "Amber  basin"), (2, " \t")]), frame([(7, "amber basin")]))
+    assert "regexp_replace" not in told._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.id, r.action, r.match_id, r.similarity) for r in told.collect()) == [(1, "skip", 7, 1.0), (2, "skip", None, None)]
+
+
+def test_trigrams_of_any_letters():
+    """As one number each, in order, whatever the letters; short texts have none."""
+    batch = ["", "ab", "abc", "aaaa", "\U0001f600\U0001f601x\U0001f600\U0001f601x", "zß\u0000é", "abcabc" * 5]
+    [(m, sets, n, of)] = similarity._gram_sets(batch)
+    got = [set() for _ in batch]
+    for g, t in zip(np.repeat(sets, n).tolist(), of.tolist()):
+        got[t].add("".join(chr(g >> s & 0x1FFFFF) for s in (42, 21, 0)))
+    assert m == len(batch) and got == [grams(t) for t in batch]
+    assert sets.tolist() == sorted(set(sets.tolist()))
